@@ -6,12 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.llm.embedding_dedup import near_duplicate_vectors
 from attesta.llm.line_dedup import drop_boilerplate
+from attesta.llm.prob_minhash import near_duplicate_documents
 from attesta.llm.session import table
 from attesta.llm.token_counts import count_tokens
 from attesta.llm.topk import exact_top_k, quantised
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -27,6 +37,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_line_dedup": op8_line_dedup,
