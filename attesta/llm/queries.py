@@ -10,6 +10,7 @@ from attesta.llm.embedding_dedup import near_duplicate_vectors
 from attesta.llm.line_dedup import drop_boilerplate
 from attesta.llm.prob_minhash import near_duplicate_documents
 from attesta.llm.session import table
+from attesta.llm.suffix_dedup import remove_repeats
 from attesta.llm.token_counts import count_tokens
 from attesta.llm.topk import exact_top_k, quantised
 
@@ -36,12 +37,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_line_dedup": op8_line_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
