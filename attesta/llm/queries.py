@@ -6,19 +6,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.llm.cost_packing import pack
 from attesta.llm.embedding_dedup import near_duplicate_vectors
 from attesta.llm.line_dedup import drop_boilerplate
+from attesta.llm.merge_dropout import decode, encode_with_dropout
+from attesta.llm.preference import format_preferences
 from attesta.llm.prob_minhash import near_duplicate_documents
 from attesta.llm.session import table
 from attesta.llm.suffix_dedup import remove_repeats
 from attesta.llm.token_counts import count_tokens
 from attesta.llm.topk import exact_top_k, quantised
+from attesta.llm.toxicity_chain import toxicity
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2 n and 2 n + 1 are pair n: the even one is preferred."""
+    pairs = format_preferences(table(spark, sf_dir, "conversations"), F.expr("floor(conv_id / 2)"), F.expr("pmod(conv_id, 2) = 0"))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
+    return pairs.select("pair_id", "paired", "n_common", *digests, spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))
+
+
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    documents = table(spark, sf_dir, "documents")
+    back = decode(encode_with_dropout(documents, model), model)
+    return back.select("doc_id", "variant", "n_bytes", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def packed_digest(documents: DataFrame) -> DataFrame:
+    pieces = pack(documents, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_documents(table(spark, sf_dir, "documents"))
 
@@ -37,6 +65,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
@@ -45,14 +77,40 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_preference_format": op2_preference_format,
+    "op3_merge_dropout": op3_merge_dropout,
+    "op4_cost_packing": op4_cost_packing,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity_chain": op9_toxicity_chain,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {
+    "op2_preference_format": """
+        WITH turns AS (
+            SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), facing AS (
+            SELECT pair_id, pos, coalesce(c.role = r.role AND c.text = r.text, false) AS same
+            FROM (SELECT * FROM turns WHERE side = 0) AS c FULL JOIN (SELECT * FROM turns WHERE side = 1) AS r USING (pair_id, pos)
+        ), common AS (
+            SELECT pair_id, coalesce(min(pos) FILTER (NOT same) - 1, count(*)) AS n_common FROM facing GROUP BY pair_id
+        ), rendered AS (
+            SELECT t.*, n_common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece FROM turns AS t JOIN common USING (pair_id)
+        ), placed AS (
+            SELECT *, sum(length(piece)) OVER (PARTITION BY pair_id, side, pos > n_common ORDER BY pos) AS stop FROM rendered
+        )
+        SELECT pair_id, count(DISTINCT side) = 2 AS paired, any_value(n_common) AS n_common,
+            sha256(coalesce(string_agg(piece, '' ORDER BY pos) FILTER (side = 0 AND pos <= n_common), '')) AS prompt_sha256,
+            sha256(coalesce(string_agg(piece, '' ORDER BY pos) FILTER (side = 0 AND pos > n_common), '')) AS chosen_sha256,
+            sha256(coalesce(string_agg(piece, '' ORDER BY pos) FILTER (side = 1 AND pos > n_common), '')) AS rejected_sha256,
+            coalesce(string_agg((stop - length(text) - 8) || '-' || stop, ',' ORDER BY pos) FILTER (side = 0 AND pos > n_common AND role = 'assistant'), '') AS chosen_mask,
+            coalesce(string_agg((stop - length(text) - 8) || '-' || stop, ',' ORDER BY pos) FILTER (side = 1 AND pos > n_common AND role = 'assistant'), '') AS rejected_mask
+        FROM placed GROUP BY pair_id""",
     "op7_exact_top_k": """
         WITH q AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q

@@ -270,36 +270,44 @@ def _resolved(group: pa.Table) -> pa.Table:
     return pa.Table.from_pydict({"doc": doc[owners], "tag": tag[owners], "start": start, "stop": stop})
 
 
-def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = textops.buffers(batch.column(2))
-        lists = batch.column(3).fill_null([])
-        flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-        starts, stops = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-        kept, spans = [], []
-        for k in range(batch.num_rows):
-            text = data[offsets[k] : offsets[k + 1]]
-            found: list[tuple[int, int]] = []
-            if ends[k] < ends[k + 1]:
-                s, e = starts[ends[k] : ends[k + 1]], stops[ends[k] : ends[k + 1]]
-                order = np.argsort(s)
-                s, e = s[order], np.maximum.accumulate(e[order])
-                head = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
-                found = list(zip(s[head].tolist(), e[np.append(head[1:], len(s)) - 1].tolist(), strict=True))
-            at = [0, *[x for pair in found for x in pair], len(text)]
-            kept.append(b"".join(text[a:b].tobytes() for a, b in zip(at[::2], at[1::2], strict=True)))
-            spans.append([{"start": a, "stop": b} for a, b in found])
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "tag", "n_bytes", "spans", "kept"])
-
-
-def remove_repeats(documents: DataFrame) -> DataFrame:
-    """One row per row of ``documents`` (doc_id long, text): doc_id, tag, n_bytes, spans, kept.
+def _remover(whole_characters: bool):
+    """Cuts the ranges out of each text; bytes of characters cut in two go too where only whole ones are wanted."""
+    part = (lambda x: x.decode("utf-8", "ignore").encode()) if whole_characters else bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = textops.buffers(batch.column(2))
+            lists = batch.column(3).fill_null([])
+            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
+            starts, stops = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
+            kept, spans = [], []
+            for k in range(batch.num_rows):
+                text = data[offsets[k] : offsets[k + 1]]
+                found: list[tuple[int, int]] = []
+                if ends[k] < ends[k + 1]:
+                    s, e = starts[ends[k] : ends[k + 1]], stops[ends[k] : ends[k + 1]]
+                    order = np.argsort(s)
+                    s, e = s[order], np.maximum.accumulate(e[order])
+                    head = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+                    found = list(zip(s[head].tolist(), e[np.append(head[1:], len(s)) - 1].tolist(), strict=True))
+                at = [0, *[x for pair in found for x in pair], len(text)]
+                kept.append(b"".join(part(text[a:b].tobytes()) for a, b in zip(at[::2], at[1::2], strict=True)))
+                spans.append([{"start": a, "stop": b} for a, b in found])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            cells = [batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "tag", "n_bytes", "spans", "kept", "rest"][: len(cells)])
+
+    return run
+
+
+def remove_repeats(documents: DataFrame, carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
+    """One row per row of ``documents`` (doc_id long, text): doc_id, tag, n_bytes, spans, kept, and the columns ``carry`` as a struct ``rest``.
 
     Texts are UTF-8 bytes. A byte is removed when a SPAN-byte string that covers it also
     starts in a document with a smaller doc_id; all strings are judged on the input.
     ``spans`` are the maximal removed runs as array<struct<start, stop>>, ``kept`` the
-    remaining bytes (binary), ``tag`` a hash of the text (null for a null one). A null text counts as empty, texts
+    remaining bytes (binary; valid UTF-8 with ``whole_characters``, which also takes away
+    what is left of a character cut in two), ``tag`` a hash of the text. A null text counts as empty, texts
     below SPAN bytes stay whole. Rows without doc_id stay whole and remove nothing.
     Rows that share a doc_id don't remove from each other. Further columns are ignored.
 
@@ -313,7 +321,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"), *rest)
     named = rows.where(F.col("doc_id").isNotNull())
     digests = named.select("doc_id", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
     digests = digests.where(F.col("n") >= SPAN)
@@ -324,10 +333,13 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     strings = single.select("doc_id", "tag", "text").mapInArrow(_emitter(buckets), _STRINGS)
     repeating = cut(strings.groupBy("bucket").applyInArrow(_repeating, "doc long, tag long, h long, first int, last int"))
     runs = repeating.groupBy(F.col("doc").alias("doc_id"), "tag").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs"))
-    passages = named.join(runs, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs").mapInArrow(_cutter(buckets), _PASSAGES)
+    also = ["rest"] if carry else []  # taken along here too, so that both joins can share one shuffle of the texts
+    passages = named.join(runs, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs", *also).mapInArrow(_cutter(buckets), _PASSAGES)
     ranges = passages.groupBy("bucket").applyInArrow(_resolved, "doc long, tag long, start long, stop long")
     ranges = ranges.union(copies.select("doc_id", "tag", F.lit(0).cast("long"), "n"))
     per_doc = ranges.groupBy(F.col("doc").alias("doc_id"), "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     nameless = rows.where(F.col("doc_id").isNull()).withColumn("ranges", F.lit(None).cast("array<struct<start:long,stop:long>>"))
-    joined = named.join(per_doc, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "ranges").union(nameless)
-    return joined.mapInArrow(_remover, "doc_id long, tag long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
+    joined = named.join(per_doc, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "ranges", *also)
+    joined = joined.union(nameless.select(joined.columns))
+    schema = "doc_id long, tag long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
+    return joined.mapInArrow(_remover(whole_characters), schema + (f", rest {dict(rows.dtypes)['rest']}" if carry else ""))

@@ -84,16 +84,7 @@ def slices(offsets: np.ndarray, most: int = 2 * STEP) -> Iterator[tuple[int, int
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and for each row the index of its first word (n + 1 of them). Words don't cross rows."""
-    inside = WORD[data]
-    before, after = np.empty_like(inside), np.empty_like(inside)
-    if len(inside):
-        before[0], before[1:] = False, inside[:-1]
-        after[-1], after[:-1] = False, inside[1:]
-        at = offsets[:-1][offsets[:-1] < len(data)]
-        before[at] = False
-        after[at[at > 0] - 1] = False
-    starts = np.flatnonzero(inside & ~before)
-    ends = np.flatnonzero(inside & ~after) + 1
+    starts, ends = word_spans(data, offsets)
     return spans(data, starts, ends), np.searchsorted(starts, offsets)
 
 
@@ -107,3 +98,34 @@ def shingles(word_hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         total = total * np.uint64(BASE) + word_hashes[k : n - size + 1 + k]
     return mix(total)
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after it. Words don't cross rows."""
+    inside = WORD[data]
+    before, after = np.empty_like(inside), np.empty_like(inside)
+    if len(inside):
+        before[0], before[1:] = False, inside[:-1]
+        after[-1], after[:-1] = False, inside[1:]
+        at = offsets[:-1][offsets[:-1] < len(data)]
+        before[at] = False
+        after[at[at > 0] - 1] = False
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
+def stems(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and of the first ``lengths`` bytes of those that are as long: (word index, hash)."""
+    index, hashes = [], []
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + STEP, "right")))
+        s, e, at = starts[i:j] - lo, ends[i:j] - lo, np.arange(i, j)
+        sums, back = prefix_hashes(data[lo : int(ends[j - 1])]), powers(INVERSE, int(s[-1]) + 1)
+        for k in (None, *lengths):
+            long = slice(None) if k is None else e - s >= k
+            b, size = s[long], (e - s)[long] if k is None else np.full(int(long.sum()), k)
+            index.append(at[long])
+            hashes.append(mix((sums[b + size] - sums[b]) * back[b] + size.astype(np.uint64) + np.uint64((k or 0) << 32)))
+        i = j
+    return (np.concatenate(index), np.concatenate(hashes)) if index else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
