@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens of document ends that one task packs, about.
 SHARD_TOKENS = 2_000_000
 #: White-space separated words whose ids a Python worker remembers; bounds its memory.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: White space for Python only: a text that holds one of these goes to the library whole.
 _ODD = frozenset("\x1c\x1d\x1e\x1f\x85")
 
@@ -26,6 +27,7 @@ class WordEncoder:
     """Ids of a tokenizer that cuts at white space, remembered by word; little-endian unsigned 16-bit (32-bit for large vocabularies)."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -33,10 +35,11 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        new = [w for w in words if w not in self.known]
+        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[word] = np.array(found.ids, self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -48,8 +51,7 @@ class WordEncoder:
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            self._learn(list({w for w in words if w not in known}))
-            self._learn([w for w in set(words) if w not in known])
+            self._learn(set(words))
             return b"".join(map(known.__getitem__, words))
 
 
