@@ -1,0 +1 @@
+"""Screening analytics on Spark: relational views, record rules, evidence fusion and streams over identity documents."""
