@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,34 +21,60 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SHARD_TOKENS = 2_000_000
 #: White-space separated words whose ids a Python worker remembers; bounds its memory.
 REMEMBERED = 800_000
-#: White space for Python only: a text that holds one of these goes to the library whole.
-_ODD = frozenset("\x1c\x1d\x1e\x1f\x85")
+#: White space for Python only, and a letter whose lower case depends on its place: a text with one goes to the library whole.
+_ODD = "\x1c\x1d\x1e\x1f\x85\u03a3"
+#: A stop or comma that may go on a run of signs.
+_PAIR = re.compile(r"[^\w\s][.,]|_[.,]|[.,](?=[^\sa-z0-9])")
 
 
 class WordEncoder:
-    """Ids of a tokenizer that cuts at white space, remembered by word; little-endian unsigned 16-bit (32-bit for large vocabularies)."""
+    """Ids of a lower-casing word BPE, remembered by word; little-endian unsigned 16-bit (32-bit for large vocabularies).
+
+    The tokenizer composes characters (NFC), makes white space single blanks, lower-cases
+    character by character and cuts runs of letters, single digits and runs of other
+    signs apart. So a text's ids are those of its words in turn, in lower case, and a stop or comma
+    with no sign beside it stands alone. Texts for which Python's own rules could differ go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, self.kind).tobytes()
+        # A word of letters only is one unit, closed by its last id: such words are encoded in one go.
+        plain = [w for w in new if w.isalpha()]
+        if plain:
+            ids = self._ids(" ".join(plain))
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * self.kind.itemsize
+            if len(ends) == len(plain):
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(plain, ends.tolist(), strict=True):
+                    self.known[word] = raw[start:end]
+                    start = end
+        for word in new:
+            if word not in self.known:
+                self.known[word] = self._ids(word).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """White space separates words for the tokenizer, so ids of a text are those of its words in turn; special strings may hold none."""
-        if any(s in text for s in self.special) or not _ODD.isdisjoint(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        words = text.split()
+        small = text.lower()
+        if any(s in text for s in self.special) or any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", small):
+            return self._ids(text).tobytes()
+        if not _PAIR.search(small):  # then stops and commas stand alone
+            small = small.replace(",", " ,").replace(".", " .")
+        words = small.split()
         known = self.known
         try:
             return b"".join(map(known.__getitem__, words))
