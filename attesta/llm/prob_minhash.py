@@ -14,7 +14,7 @@ from attesta.llm.graph import connected_components
 from attesta.llm.session import cut
 
 #: Words of a shingle; registers of a signature, as BANDS bands of ROWS registers.
-SHINGLE, BANDS, ROWS = 5, 20, 5
+SHINGLE, BANDS, ROWS = 5, 33, 6
 REGISTERS = BANDS * ROWS
 #: Standard errors below the threshold at which an estimate still goes to verification.
 SLACK = 4.0
@@ -22,6 +22,8 @@ SLACK = 4.0
 PIVOT_ROUNDS = 2
 #: Up to this many documents with a candidate are broadcast as ids to pick their texts; more are joined.
 BROADCAST_IDS = 500_000
+#: A bucket with more documents is split into blocks, each pair of which is one group of work.
+BLOCK = 1024
 _GOLDEN = np.uint64(textops.BASE)
 
 
@@ -127,6 +129,46 @@ def _verifier(threshold: float):
     return run
 
 
+def _within(threshold: float):
+    """Links between documents of one bucket (or two of its blocks) that are in different classes so far."""
+    least = threshold * REGISTERS - SLACK * (threshold * (1 - threshold) * REGISTERS) ** 0.5
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        n, band = group.num_rows, group["band"][0].as_py()
+        across = group["low"][0].as_py() != group["high"][0].as_py()
+        ids, label, side = (group[c].to_numpy() for c in ("id", "label", "side"))
+        marks = group["signature"].combine_chunks().flatten().to_numpy().reshape(n, REGISTERS)
+        classes = {x: x for x in label.tolist()}
+
+        def root(x: int) -> int:
+            while classes[x] != x:
+                x = classes[x]
+            return x
+
+        candidates = []
+        for u in range(n - 1):
+            v = np.flatnonzero((label[u + 1 :] != label[u]) & ((side[u + 1 :] != side[u]) | (not across))) + u + 1
+            same = marks[v] == marks[u]
+            # of the bands a pair shares, the first one answers for it
+            first = same.reshape(len(v), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            candidates += [(u, int(x)) for x in v[(same.sum(axis=1) >= least) & (first == band)]]
+        found, sets = [], {}
+        if candidates:
+            data, offsets = textops.buffers(group["text"].combine_chunks())
+            for u, v in candidates:
+                for k in (u, v):
+                    if k not in sets:
+                        sets[k] = weighted_shingles(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[1:3]
+                a, b = root(int(label[u])), root(int(label[v]))
+                if a != b and probability_jaccard(*sets[u], *sets[v]) >= threshold:
+                    classes[max(a, b)] = min(a, b)
+                    found.append((ids[u], ids[v]))
+        return pa.Table.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return run
+
+
 def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per row of ``documents`` (doc_id long, text): doc_id, class_id, kept.
 
@@ -141,19 +183,19 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
 
     Documents with the same words are first folded into one. Documents that agree in a
     band are candidates: each is held against one pivot of its buckets per round, which
-    joins large groups in linear work; then pairs of a bucket that are still in
-    different classes, and whose signatures agree enough, are verified in full. So no link
-    between classes is lost beyond what banding misses (chance below 0.001 at the
-    threshold), and no group is expanded into its pairs. Verification compares the texts.
+    joins large groups in linear work; then buckets that still hold different classes are
+    compared within, in blocks, where signatures that agree enough are verified on the texts. So no
+    link between classes is lost beyond what banding and estimates miss (chance below 0.001
+    at the threshold), and tasks send on links between classes only, never a group's pairs.
     """
     own = documents.select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
     signed = cut(own.where(F.col("id").isNotNull()).mapInArrow(_sign, "id long, a long, b long, bands array<long>, signature array<short>"))
     reps = signed.groupBy("a", "b").agg(F.min("id").alias("rep"))
     members = cut(signed.select("id", "a", "b").join(reps, ["a", "b"]).select("id", "rep").distinct())
     single = signed.join(members.where("id = rep").select("id").distinct(), "id").dropDuplicates(["id"])
-    keyed = single.select("id", F.explode("bands").alias("key"))
+    keyed = single.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = cut(keyed.join(shared, "key").select("key", "id"))
+    buckets = cut(keyed.join(shared, "key").select("key", "band", "id"))
     active = buckets.select("id").distinct()
     few = cut(active)
     picked = own.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "id", "left_semi")
@@ -177,15 +219,16 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
         pairs = now.join(pivots, "key").where("label <> other").groupBy(F.col("id").alias("u")).agg(F.min("pivot").alias("v"))
         edges = edges.union(verified(pairs))
         labels = relabelled()
-    now = buckets.join(labels, "id").join(single.select("id", "bands", "signature"), "id")
+    now = buckets.join(labels, "id").join(single.select("id", "signature"), "id")
     # A bucket whose documents are all in one class has nothing left to find.
     mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
     now = now.join(mixed, "key")
-    left, right = now.select("key", *[F.col(c).alias(f"l_{c}") for c in now.columns[1:]]), now.select("key", *[F.col(c).alias(f"r_{c}") for c in now.columns[1:]])
-    least = threshold * REGISTERS - SLACK * (threshold * (1 - threshold) * REGISTERS) ** 0.5
-    agree = F.aggregate(F.zip_with("l_signature", "r_signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
-    pairs = left.join(right, "key").where((F.col("l_id") < F.col("r_id")) & (F.col("l_label") != F.col("r_label")) & (F.col("key") == F.element_at(F.array_intersect("l_bands", "r_bands"), 1)) & (agree >= int(least)))
-    edges = edges.union(verified(pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v"))))
+    large = cut(now.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    spread = now.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "band", "id", "label", "signature")
+    links = spread.join(texts, "id").groupBy("key", "low", "high").applyInArrow(_within(threshold), "u long, v long")
+    edges = edges.union(cut(links))
     classes = connected_components(edges, "u", "v").withColumnRenamed("node", "rep")
     found = members.join(classes, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id") == F.col("id"), "left")
