@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         stars = cut(moved.union(least.select("hi", "m")).distinct())

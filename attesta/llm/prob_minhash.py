@@ -19,7 +19,7 @@ REGISTERS = BANDS * ROWS
 #: Standard errors below the threshold at which an estimate still goes to verification.
 SLACK = 4.0
 #: Rounds in which each document is held against one pivot of its buckets, before the rest is compared in full.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
 #: Up to this many documents with a candidate are broadcast as ids to pick their texts; more are joined.
 BROADCAST_IDS = 500_000
 #: A bucket with more documents is split into blocks, each pair of which is one group of work.

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import textops
@@ -16,6 +16,10 @@ from attesta.llm.session import cut
 SPAN, ANCHOR = 50, 16
 #: Anchors that a string of SPAN bytes has to choose from.
 WINDOW = SPAN - ANCHOR + 1
+#: Bytes beside an anchor that a string is sure to have on one side at least.
+SIDE = WINDOW // 2
+#: Text bytes of a group of work at most, about; there are as many groups as shuffle partitions at least.
+GROUP_BYTES = 8 << 20
 #: Up to this many copies of whole documents are broadcast as ids; more are joined.
 BROADCAST_IDS = 500_000
 
@@ -23,25 +27,31 @@ _U = np.uint64
 _LOW = _U(63)
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of neighbouring SPAN-byte strings with the same anchor: the anchor's hash, the first string's start, the last one's.
+def anchored(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For runs of neighbouring SPAN-byte strings with the same anchor: anchor hash, first and last string's start, hashes left and right of the anchor.
 
     A string's anchor is the one of its WINDOW substrings of ANCHOR bytes with the least
-    hash, so equal strings have equal anchors wherever they stand. Strings don't cross texts.
+    hash, so equal strings have equal anchors wherever they stand. Strings don't cross
+    texts. Beside its anchor a string has at least SIDE bytes on the left or on the right, so
+    equal strings agree in one of the side hashes too (one byte each; elsewhere they are of no account).
     """
     total = len(data) - SPAN + 1
     for s in range(0, total, textops.STEP):
         n = min(textops.STEP, total - s)
-        sums = textops.prefix_hashes(data[s : s + n + SPAN - 1])
-        h = textops.mix((sums[ANCHOR:] - sums[:-ANCHOR]) * textops.powers(textops.INVERSE, len(sums) - ANCHOR))
-        places = np.arange(len(h), dtype=np.uint64)
+        lead = min(s, SIDE)
+        sums = textops.prefix_hashes(data[s - lead : s + n + SPAN - 1 + SIDE])
+        inverse = textops.powers(textops.INVERSE, len(sums))
+        m = n + WINDOW - 1
+        h = textops.mix((sums[lead + ANCHOR : lead + ANCHOR + m] - sums[lead : lead + m]) * inverse[lead : lead + m])
+        places = np.arange(m, dtype=np.uint64)
         least = (h & ~_LOW) | (places & _LOW)
         reach = 1
         while 2 * reach <= WINDOW:
             least = np.minimum(least[:-reach], least[reach:])
             reach *= 2
         least = np.minimum(least[:n], least[WINDOW - reach : WINDOW - reach + n])
-        anchor = places[:n] + ((least - places[:n]) & _LOW)
+        anchor = (places[:n] + ((least - places[:n]) & _LOW)).astype(np.int64)
+        _leftmost(anchor, h >> _U(6))
         over = np.zeros(n + 1, np.int64)  # strings that start less than SPAN bytes before a text's end
         ends = offsets[1:-1]
         ends = ends[(ends > s) & (ends < s + n + SPAN - 1)] - s
@@ -53,100 +63,178 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         begin = np.flatnonzero(new)
         last = np.append(begin[1:], n) - 1
         begin, last = begin[valid[begin]], last[valid[begin]]
-        yield h[anchor[begin].astype(np.int64)], begin + s, last + s
+        at = anchor[begin]
+        top = len(sums) - 1
+        side = lambda a, b: (textops.mix((sums[b] - sums[a]) * inverse[a]) >> _U(56)).astype(np.uint8)  # noqa: B023, E731
+        left = side(np.maximum(lead + at - SIDE, 0), lead + at)
+        right = side(np.minimum(lead + at + ANCHOR, top), np.minimum(lead + at + ANCHOR + SIDE, top))
+        yield h[at] >> _U(24), begin + s, last + s, left, right
+
+
+def _leftmost(anchor: np.ndarray, h: np.ndarray) -> None:
+    """Moves anchors, string by string, to the first of equal hashes in the string: content alone decides."""
+    head, n = _runs(anchor)
+    p = anchor[head]
+    again = np.zeros(len(p), bool)
+    for d in range(1, WINDOW):
+        again |= (h[np.maximum(p - d, 0)] == h[p]) & (p >= d)
+    strings = np.flatnonzero(np.repeat(again, n))
+    for i in range(0, len(strings), 1 << 14):
+        x = strings[i : i + (1 << 14)]
+        anchor[x] = x + (h[x[:, None] + np.arange(WINDOW)] == h[anchor[x]][:, None]).argmax(axis=1)
 
 
 def _bytes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-_STRINGS = "bucket int, h binary, doc binary, tag binary, first binary, last binary, known binary"
+def _cells(**columns: tuple[np.ndarray, str]) -> dict[str, pa.Array]:
+    """One row with each array as bytes of its type."""
+    return {k: pa.array([_bytes(a.astype(t))], pa.binary()) for k, (a, t) in columns.items()}
+
+
+def _column(group: pa.Table, name: str, kind: str) -> np.ndarray:
+    parts = [np.frombuffer(x, kind) for x in group[name].to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal values."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    begin = np.flatnonzero(new)
+    return begin, np.diff(np.append(begin, len(x)))
+
+
+def _shared(key: np.ndarray, doc: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Whether a key stands with two different documents, or with a string that is known to."""
+    order = np.argsort(key, kind="stable")
+    begin, n = _runs(key[order])
+    out = np.zeros(len(key), bool)
+    if len(begin):
+        several = np.minimum.reduceat(doc[order], begin) != np.maximum.reduceat(doc[order], begin)
+        if known is not None:
+            several |= np.logical_or.reduceat(known[order], begin)
+        out[order] = np.repeat(several, n)
+    return out
+
+
+#: Packed strings: documents as runs (doc, tag, n), then for each string the anchor's hash in two parts, side hashes, start in two parts, and length with the known bit.
+_STRINGS = "bucket int, doc binary, tag binary, n binary, h_low binary, h_high binary, left binary, right binary, at_low binary, at_high binary, more binary"
+
+
+def _smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most GROUP_BYTES of text, or one row."""
+    for batch in batches:
+        for i, j in textops.slices(textops.buffers(batch.column(2))[1], GROUP_BYTES):
+            yield batch.slice(i, j - i)
 
 
 def _emitter(buckets: int):
     """Each text's anchored strings, packed by bucket of the anchor's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _smaller(batches):
             data, offsets = textops.buffers(batch.column(2))
             docs, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             parts = list(anchored(data, offsets))
             if not parts:
                 continue
-            h, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-            at = np.searchsorted(offsets, first, "right") - 1
-            first, last = first - offsets[at], last - offsets[at]
-            # An anchor that stands in two documents of this batch is known to repeat: one of its
-            # strings goes to the anchor's bucket, the others anywhere, so that frequent anchors fill no bucket.
-            order = np.argsort(h, kind="stable")
-            hs, ds = h[order], docs[at[order]]
-            new = np.ones(len(hs), bool)
-            new[1:] = hs[1:] != hs[:-1]
-            run_of = np.cumsum(new) - 1
-            begin = np.flatnonzero(new)
-            several = np.minimum.reduceat(ds, begin) != np.maximum.reduceat(ds, begin) if len(begin) else np.zeros(0, bool)
-            known, bucket = np.zeros(len(h), np.uint8), (h % _U(buckets)).astype(np.int32)
-            known[order] = several[run_of]
-            away = several[run_of] & ~new
-            bucket[order[away]] = np.arange(away.sum()) % buckets
+            h, first, last, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+            row = np.searchsorted(offsets, first, "right") - 1
+            first, more = first - offsets[row], last - first
+            # Equal neighbourhoods of two documents of this batch are known to repeat: one string of them
+            # goes to the anchor's bucket, the others anywhere, so that frequent anchors fill no bucket.
+            triple = (h << _U(16)) | (left.astype(np.uint64) << _U(8)) | right
+            known = _shared(triple, docs[row])
+            order = np.argsort(triple, kind="stable")
+            heads = np.zeros(len(h), bool)
+            heads[order[_runs(triple[order])[0]]] = True
+            bucket, away = (h % _U(buckets)).astype(np.int32), known & ~heads
+            bucket[away] = np.arange(away.sum()) % buckets
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in range(buckets):
                 i = order[cuts[b] : cuts[b + 1]]
                 if len(i):
-                    cells = [_bytes(h[i]), _bytes(docs[at[i]]), _bytes(tags[at[i]]), _bytes(first[i].astype(np.int32)), _bytes(last[i].astype(np.int32)), _bytes(known[i])]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], _STRINGS.replace(" int", "").replace(" binary", "").split(", "))
+                    begin, n = _runs(row[i])
+                    at = row[i[begin]]
+                    cells = _cells(doc=(docs[at], "<i8"), tag=(tags[at], "<i4"), n=(n, "<u4"), h_low=(h[i], "<u4"), h_high=(h[i] >> _U(32), "u1"), left=(left[i], "u1"), right=(right[i], "u1"), at_low=(first[i], "<u2"), at_high=(first[i] >> 16, "<u2"), more=(more[i] + 128 * known[i], "u1"))
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32())} | cells)
 
     return run
 
 
-def _column(group: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in group[name].to_pylist()])
+_REPEATING = "part int, doc binary, tag binary, h binary, first binary, last binary"
 
 
-def _repeating(group: pa.Table) -> pa.Table:
-    """Of a bucket's strings, those whose anchor stands in two documents or more."""
-    h, doc, known = _column(group, "h", np.uint64), _column(group, "doc", np.int64), _column(group, "known", np.uint8)
-    order = np.argsort(h, kind="stable")
-    hs, ds = h[order], doc[order]
-    new = np.ones(len(hs), bool)
-    new[1:] = hs[1:] != hs[:-1]
-    begin = np.flatnonzero(new)
-    several = (np.minimum.reduceat(ds, begin) != np.maximum.reduceat(ds, begin)) | (np.maximum.reduceat(known[order], begin) > 0)
-    i = order[several[np.cumsum(new) - 1]]
-    return pa.Table.from_pydict({"doc": doc[i], "tag": _column(group, "tag", np.int64)[i], "h": h[i].view(np.int64), "first": _column(group, "first", np.int32)[i], "last": _column(group, "last", np.int32)[i]})
+def _part(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (doc.view(np.uint64) % _U(parts)).astype(np.int32)
+
+
+def _by_part(part: np.ndarray, parts: int, **columns: tuple[np.ndarray, str]) -> pa.Table:
+    """Rows packed by part, one row each."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = [{"part": pa.array([p], pa.int32())} | _cells(**{k: (a[order[cuts[p] : cuts[p + 1]]], t) for k, (a, t) in columns.items()}) for p in range(parts) if cuts[p] < cuts[p + 1]]
+    empty = pa.table({"part": pa.array([], pa.int32())} | {k: pa.array([], pa.binary()) for k in columns})
+    return pa.concat_tables([empty, *[pa.table(r) for r in rows]])
+
+
+def _repeating(parts: int):
+    """Of a bucket's strings, those whose anchor and one side stand in two documents or more."""
+
+    def run(group: pa.Table) -> pa.Table:
+        n = _column(group, "n", "<u4")
+        doc, tag = np.repeat(_column(group, "doc", "<i8"), n), np.repeat(_column(group, "tag", "<i4"), n)
+        h = (_column(group, "h_high", "u1").astype(np.uint64) << _U(32)) | _column(group, "h_low", "<u4")
+        more = _column(group, "more", "u1")
+        known = more >= 128
+        found = known.copy()
+        for side in ("left", "right"):
+            found |= _shared((h << _U(8)) | _column(group, side, "u1"), doc, known)
+        first = (_column(group, "at_high", "<u2").astype(np.int64) << 16) | _column(group, "at_low", "<u2")
+        return _by_part(_part(doc[found], parts), parts, doc=(doc[found], "<i8"), tag=(tag[found], "<i4"), h=(h[found], "<i8"), first=(first[found], "<i4"), last=((first + (more & 127))[found], "<i4"))
+
+    return run
 
 
 _PASSAGES = "bucket int, h binary, doc binary, tag binary, first binary, size binary, content binary, known binary"
 
 
-def _cutter(buckets: int):
-    """The bytes of each repeating string run, packed by bucket. Of equal ones in a batch only the earliest document's go on; the others are known repeats."""
+def _rows_of(texts: pa.Table, doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Row of ``texts`` with each (doc, tag), or -1."""
+    ids = texts["doc_id"].combine_chunks()
+    rows = {(d, t): k for k, (d, t) in enumerate(zip(ids.to_pylist(), texts["tag"].to_pylist(), strict=True))}
+    return np.array([rows.get(x, -1) for x in zip(doc.tolist(), tag.tolist(), strict=True)], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = textops.buffers(batch.column(2))
-            runs = batch.column(3)
-            sizes = np.diff(runs.offsets.to_numpy())
-            flat = runs.flatten()
-            h, first, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            doc, tag = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1))
-            begin, size = offsets[row] + first, last - first + SPAN
-            content = [data[b : b + z].tobytes() for b, z in zip(begin, size, strict=True)]
-            least: dict[tuple[int, bytes], int] = {}
-            for key in zip(h.tolist(), content, doc.tolist(), strict=True):
-                if key[2] < least.get(key[:2], key[2] + 1):
-                    least[key[:2]] = key[2]
-            known = np.array([least[a, c] < d for a, c, d in zip(h.tolist(), content, doc.tolist(), strict=True)], np.uint8)
-            bucket = np.where(known, np.arange(len(h)) % buckets, h.view(np.uint64) % _U(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                i = order[cuts[b] : cuts[b + 1]]
-                if len(i):
-                    cells = [_bytes(h[i]), _bytes(doc[i]), _bytes(tag[i]), _bytes(first[i].astype(np.int32)), _bytes(size[i].astype(np.int32)), b"".join(content[k] for k in i if not known[k]), _bytes(known[i])]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], _PASSAGES.replace(" int", "").replace(" binary", "").split(", "))
+
+def _cutter(buckets: int):
+    """The bytes of each repeating string run, packed by bucket. Of equal ones in a part only the earliest document's go on; the others are known repeats."""
+
+    def run(texts: pa.Table, strings: pa.Table) -> pa.Table:
+        data, offsets = textops.buffers(texts["text"].combine_chunks())
+        doc, tag, h = _column(strings, "doc", "<i8"), _column(strings, "tag", "<i4"), _column(strings, "h", "<i8")
+        first, last = _column(strings, "first", "<i4").astype(np.int64), _column(strings, "last", "<i4").astype(np.int64)
+        row = _rows_of(texts, doc, tag)
+        begin, size = offsets[row] + first, last - first + SPAN
+        content = [data[b : b + z].tobytes() for b, z in zip(begin.tolist(), size.tolist(), strict=True)]
+        least: dict[tuple[int, bytes], int] = {}
+        for key in zip(h.tolist(), content, doc.tolist(), strict=True):
+            if key[2] < least.get(key[:2], key[2] + 1):
+                least[key[:2]] = key[2]
+        known = np.array([least[a, c] < d for a, c, d in zip(h.tolist(), content, doc.tolist(), strict=True)], np.uint8)
+        bucket = np.where(known, np.arange(len(h)) % buckets, h % buckets).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for b in range(buckets):
+            i = order[cuts[b] : cuts[b + 1]]
+            if len(i):
+                cells = _cells(h=(h[i], "<i8"), doc=(doc[i], "<i8"), tag=(tag[i], "<i4"), first=(first[i], "<i4"), size=(size[i], "<i4"))
+                rows.append(pa.table({"bucket": pa.array([b], pa.int32())} | cells | {"content": pa.array([b"".join(content[k] for k in i if not known[k])], pa.binary()), "known": pa.array([_bytes(known[i])], pa.binary())}))
+        empty = pa.table({"bucket": pa.array([], pa.int32())} | {k: pa.array([], pa.binary()) for k in ("h", "doc", "tag", "first", "size", "content", "known")})
+        return pa.concat_tables([empty, *rows])
 
     return run
 
@@ -234,68 +322,80 @@ class Suffixes:
 
 
 def _earlier(suffixes: Suffixes, group: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether an equal string of the group stands in a document with a smaller id."""
-    order, differs = suffixes.sort(group, begin, size)
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(differs)) if len(order) else doc
-    out = np.zeros(len(order), bool)
-    out[order] = least[np.cumsum(differs) - 1] < doc[order]
+    """Whether an equal string of the group stands in a document with a smaller id. Strings whose whole hash is alone have no equal and aren't sorted."""
+    whole = (suffixes.sums[begin + size] - suffixes.sums[begin]) * textops.powers(textops.INVERSE, len(suffixes.sums))[begin]
+    some = np.flatnonzero(_shared(textops.mix(whole ^ textops.mix(group.astype(np.uint64) + size.astype(np.uint64))), doc))
+    out = np.zeros(len(group), bool)
+    if len(some):
+        order, differs = suffixes.sort(group[some], begin[some], size[some])
+        least = np.minimum.reduceat(doc[some][order], np.flatnonzero(differs))
+        out[some[order]] = least[np.cumsum(differs) - 1] < doc[some][order]
     return out
 
 
-def _resolved(group: pa.Table) -> pa.Table:
+_RANGES = "part int, doc binary, tag binary, start binary, stop binary"
+
+
+def _resolved(parts: int):
     """Byte ranges to remove: whole string runs that an earlier document has too, then single strings of the runs left."""
-    h, doc, tag = _column(group, "h", np.int64), _column(group, "doc", np.int64), _column(group, "tag", np.int64)
-    first, size, known = _column(group, "first", np.int32).astype(np.int64), _column(group, "size", np.int32).astype(np.int64), _column(group, "known", np.uint8) > 0
-    data = _column(group, "content", np.uint8)
-    left = np.flatnonzero(~known)
-    begin = np.zeros(len(h), np.int64)
-    begin[left] = np.cumsum(size[left]) - size[left]
-    suffixes = Suffixes(data)
-    gone = _earlier(suffixes, h[left], begin[left], size[left], doc[left])
-    whole = np.concatenate([np.flatnonzero(known), left[gone]])
-    left = left[~gone]
-    strings = size[left] - SPAN + 1
-    at = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-    owner = np.repeat(left, strings)
-    gone = _earlier(suffixes, h[owner], begin[owner] + at, np.full(len(owner), SPAN), doc[owner])
-    owner, at = owner[gone], at[gone]
-    # neighbouring strings of a run make one range
-    joins = np.zeros(len(at), bool)
-    joins[1:] = (owner[1:] == owner[:-1]) & (at[1:] - at[:-1] <= SPAN)
-    head = np.flatnonzero(~joins)
-    tail = np.append(head[1:], len(at)) - 1 if len(at) else head
-    owners = np.concatenate([whole, owner[head]])
-    start = np.concatenate([first[whole], first[owner[head]] + at[head]])
-    stop = np.concatenate([first[whole] + size[whole], first[owner[head]] + at[tail] + SPAN])
-    return pa.Table.from_pydict({"doc": doc[owners], "tag": tag[owners], "start": start, "stop": stop})
+
+    def run(group: pa.Table) -> pa.Table:
+        h, doc, tag = _column(group, "h", "<i8"), _column(group, "doc", "<i8"), _column(group, "tag", "<i4")
+        first, size, known = _column(group, "first", "<i4").astype(np.int64), _column(group, "size", "<i4").astype(np.int64), _column(group, "known", "u1") > 0
+        suffixes = Suffixes(_column(group, "content", "u1"))
+        left = np.flatnonzero(~known)
+        begin = np.zeros(len(h), np.int64)
+        begin[left] = np.cumsum(size[left]) - size[left]
+        gone = _earlier(suffixes, h[left], begin[left], size[left], doc[left])
+        whole = np.concatenate([np.flatnonzero(known), left[gone]])
+        left = left[~gone]
+        strings = size[left] - SPAN + 1
+        at = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+        owner = np.repeat(left, strings)
+        gone = _earlier(suffixes, h[owner], begin[owner] + at, np.full(len(owner), SPAN), doc[owner])
+        owner, at = owner[gone], at[gone]
+        # neighbouring strings of a run make one range
+        joins = np.zeros(len(at), bool)
+        joins[1:] = (owner[1:] == owner[:-1]) & (at[1:] - at[:-1] <= SPAN)
+        head = np.flatnonzero(~joins)
+        tail = np.append(head[1:], len(at)) - 1 if len(at) else head
+        owners = np.concatenate([whole, owner[head]])
+        start = np.concatenate([first[whole], first[owner[head]] + at[head]])
+        stop = np.concatenate([first[whole] + size[whole], first[owner[head]] + at[tail] + SPAN])
+        return _by_part(_part(doc[owners], parts), parts, doc=(doc[owners], "<i8"), tag=(tag[owners], "<i4"), start=(start, "<i4"), stop=(stop, "<i4"))
+
+    return run
 
 
 def _remover(whole_characters: bool):
     """Cuts the ranges out of each text; bytes of characters cut in two go too where only whole ones are wanted."""
     part = (lambda x: x.decode("utf-8", "ignore").encode()) if whole_characters else bytes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = textops.buffers(batch.column(2))
-            lists = batch.column(3).fill_null([])
-            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
-            starts, stops = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-            kept, spans = [], []
-            for k in range(batch.num_rows):
-                text = data[offsets[k] : offsets[k + 1]]
-                found: list[tuple[int, int]] = []
-                if ends[k] < ends[k + 1]:
-                    s, e = starts[ends[k] : ends[k + 1]], stops[ends[k] : ends[k + 1]]
-                    order = np.argsort(s)
-                    s, e = s[order], np.maximum.accumulate(e[order])
-                    head = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
-                    found = list(zip(s[head].tolist(), e[np.append(head[1:], len(s)) - 1].tolist(), strict=True))
-                at = [0, *[x for pair in found for x in pair], len(text)]
-                kept.append(b"".join(part(text[a:b].tobytes()) for a, b in zip(at[::2], at[1::2], strict=True)))
-                spans.append([{"start": a, "stop": b} for a, b in found])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            cells = [batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), *batch.columns[4:]]
-            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "tag", "n_bytes", "spans", "kept", "rest"][: len(cells)])
+    def run(texts: pa.Table, ranges: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        data, offsets = textops.buffers(texts["text"].combine_chunks())
+        doc, start, stop = _column(ranges, "doc", "<i8"), _column(ranges, "start", "<i4").astype(np.int64), _column(ranges, "stop", "<i4").astype(np.int64)
+        # Rows that repeat a (doc_id, tag) hold the same text: each takes the ranges of the last of them.
+        last = _rows_of(texts, *(np.array(texts[c].fill_null(-1).to_pylist(), np.int64) for c in ("doc_id", "tag")))
+        row = _rows_of(texts, doc, _column(ranges, "tag", "<i4"))
+        order = np.lexsort((start, row))
+        row, start, stop = row[order], start[order], stop[order]
+        kept, spans = [], []
+        for k in range(texts.num_rows):
+            text = data[offsets[k] : offsets[k + 1]]
+            i, j = np.searchsorted(row, (last[k], last[k] + 1)) if last[k] >= 0 else (0, 0)
+            found: list[tuple[int, int]] = []
+            if i < j:
+                s, e = start[i:j], np.maximum.accumulate(stop[i:j])
+                head = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
+                found = list(zip(s[head].tolist(), e[np.append(head[1:], len(s)) - 1].tolist(), strict=True))
+            at = [0, *[x for pair in found for x in pair], len(text)]
+            kept.append(b"".join(part(text[a:b].tobytes()) for a, b in zip(at[::2], at[1::2], strict=True)))
+            spans.append([{"start": a, "stop": b} for a, b in found])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        cells = [texts["doc_id"], texts["tag"], pa.array(np.diff(offsets), pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
+        names = ["doc_id", "tag", "n_bytes", "spans", "kept"]
+        return pa.Table.from_arrays([*cells, texts["rest"]] if "rest" in texts.column_names else cells, [*names, "rest"] if "rest" in texts.column_names else names)
 
     return run
 
@@ -312,34 +412,39 @@ def remove_repeats(documents: DataFrame, carry: list[str] | None = None, whole_c
     Rows that share a doc_id don't remove from each other. Further columns are ignored.
 
     Copies of whole documents are settled by a hash of the text. In the others each
-    SPAN-byte string has an anchor, the ANCHOR bytes in it with the least hash; runs of neighbouring
-    strings with one anchor (about 18 bytes) travel as 30 packed bytes to the anchor's bucket, and
-    only those whose anchor stands in two documents are looked at further. Their bytes
-    come together by anchor and are suffix sorted: first whole runs, then single strings of the
-    runs no earlier document has. Equal runs of a batch go on once, so frequent passages
-    fill no bucket.
+    SPAN-byte string has an anchor, the ANCHOR bytes in it with the least hash; runs of
+    neighbouring strings with one anchor (18 on average) travel as about 12 packed bytes to
+    the anchor's bucket, and only those whose anchor and one side of it stand in two documents are looked
+    at further. Their bytes come together by anchor and are suffix sorted: first whole runs, then
+    single strings of the runs that no earlier document has. Equal runs of a part go on
+    once, so frequent passages fill no bucket. Both visits to the texts share one shuffle of them by document.
     """
     spark = documents.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [F.struct(*carry).alias("rest")] if carry else []
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"), *rest)
+    tag = F.coalesce(F.hash("text"), F.lit(0))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"), *rest)
     named = rows.where(F.col("doc_id").isNotNull())
-    digests = named.select("doc_id", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n"))
+    digests = cut(named.select("doc_id", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("int").alias("n")))
+    total = digests.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
     digests = digests.where(F.col("n") >= SPAN)
     least = digests.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sha", "least")
     copies = cut(digests.join(least, "sha").where("doc_id > least").select("doc_id", "tag", "n").distinct())
     ids = copies.select("doc_id", "tag")
     single = named.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "tag"], "left_anti")
     strings = single.select("doc_id", "tag", "text").mapInArrow(_emitter(buckets), _STRINGS)
-    repeating = cut(strings.groupBy("bucket").applyInArrow(_repeating, "doc long, tag long, h long, first int, last int"))
-    runs = repeating.groupBy(F.col("doc").alias("doc_id"), "tag").agg(F.collect_list(F.struct("h", "first", "last")).alias("runs"))
-    also = ["rest"] if carry else []  # taken along here too, so that both joins can share one shuffle of the texts
-    passages = named.join(runs, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs", *also).mapInArrow(_cutter(buckets), _PASSAGES)
-    ranges = passages.groupBy("bucket").applyInArrow(_resolved, "doc long, tag long, start long, stop long")
-    ranges = ranges.union(copies.select("doc_id", "tag", F.lit(0).cast("long"), "n"))
-    per_doc = ranges.groupBy(F.col("doc").alias("doc_id"), "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    nameless = rows.where(F.col("doc_id").isNull()).withColumn("ranges", F.lit(None).cast("array<struct<start:long,stop:long>>"))
-    joined = named.join(per_doc, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "ranges", *also)
-    joined = joined.union(nameless.select(joined.columns))
-    schema = "doc_id long, tag long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
-    return joined.mapInArrow(_remover(whole_characters), schema + (f", rest {dict(rows.dtypes)['rest']}" if carry else ""))
+    repeating = strings.groupBy("bucket").applyInArrow(_repeating(buckets), _REPEATING)
+    part = F.coalesce(F.expr(f"CASE WHEN doc_id >= 0 THEN pmod(doc_id, {buckets}) ELSE pmod(cast(doc_id AS decimal(20,0)) + 18446744073709551616, {buckets}) END"), F.lit(0)).cast("int")
+    parted = rows.withColumn("part", part)
+    passages = parted.groupBy("part").cogroup(repeating.groupBy("part")).applyInArrow(_cutter(buckets), _PASSAGES)
+    ranges = passages.groupBy("bucket").applyInArrow(_resolved(buckets), _RANGES)
+    whole = copies.withColumn("part", part).select("part", _little_endian("doc_id", 8).alias("doc"), _little_endian("tag", 4).alias("tag"), F.lit(bytes(4)).alias("start"), _little_endian("n", 4).alias("stop"))
+    schema = "doc_id long, tag int, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
+    removed = parted.groupBy("part").cogroup(ranges.union(whole).groupBy("part"))
+    return removed.applyInArrow(_remover(whole_characters), schema + (f", rest {dict(rows.dtypes)['rest']}" if carry else ""))
+
+
+def _little_endian(column: str, width: int) -> Column:
+    """A whole number as the ``width`` bytes of one packed value."""
+    digits = F.lpad(F.hex(F.col(column).cast("long")), 16, "0")
+    return F.substring(F.unhex(F.array_join(F.reverse(F.regexp_extract_all(digits, F.lit("(..)"), F.lit(1))), "")), 1, width)
