@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.operators import relational as R
+from attesta.operators.neighbours import ratio_pairs
 from attesta.plans import query
 
 #: Order priorities as severities.
@@ -250,6 +251,15 @@ def knn_ratio(t):
     return near.select("a", first["b"].alias("b"), F.round(first["d"], 6).alias("distance"), (first["d"] < 0.98 * second["d"]).alias("distinct_match"))
 
 
+@query("j18_descriptor_pairs", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM d QUALIFY r <= 2)
+    SELECT x.a, x.b, round(x.d, 6) AS distance FROM k x JOIN k y ON x.a = y.a AND x.r = 1 AND y.r = 2 WHERE x.a < x.b AND x.d < 0.74 * y.d""")
+def descriptor_pairs(t):
+    """The whole of J18: every descriptor against all others, pairs that pass the reference's ratio, each once."""
+    return ratio_pairs(t("embeddings")).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
 @query("t2_severity_order", f"SELECT o_orderkey, severity FROM (SELECT *, {_SEVERITY_SQL} AS severity FROM orders WHERE o_custkey % 20 = 1) ORDER BY CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 4 WHEN 'INFO' THEN 5 ELSE 6 END, o_orderdate, o_orderkey LIMIT 50")
 def severity_order(t):
     return _severe(t).where("o_custkey % 20 = 1").orderBy(R.severity_rank("severity"), "o_orderdate", "o_orderkey").limit(50).select("o_orderkey", "severity")
