@@ -195,7 +195,17 @@ def star_top10(t):
 @query("j7_rbac_permissions", "SELECT DISTINCT c_custkey, p_type AS permission FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_custkey % 50 = 7")
 def rbac_permissions(t):
     """Member to roles to permissions, distinct."""
-    roles = t("customer").where("c_custkey % 50 = 7").join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
+    return _permissions(t, t("customer").where("c_custkey % 50 = 7"))
+
+
+@query("j7_all_permissions", "SELECT DISTINCT c_custkey, p_type AS permission FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
+def all_permissions(t):
+    """Member to roles to permissions, distinct, for every member."""
+    return _permissions(t, t("customer"))
+
+
+def _permissions(t, members):
+    roles = members.join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
     grants = roles.join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return grants.join(t("part").select("p_partkey", "p_type"), F.col("p_partkey") == F.col("l_partkey")).select("c_custkey", F.col("p_type").alias("permission")).distinct()
 
@@ -234,7 +244,17 @@ def watchlist(t):
 @query("j16_children", "SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS children FROM lineitem WHERE l_orderkey % 10 = 1 GROUP BY l_orderkey")
 def children(t):
     """A parent with its ordered child list, in one grouping rather than a query per parent."""
-    return t("lineitem").where("l_orderkey % 10 = 1").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda x: x.cast("string")), ",").alias("children"))
+    return _children(t("lineitem").where("l_orderkey % 10 = 1"))
+
+
+@query("j16_all_children", "SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS children FROM lineitem GROUP BY l_orderkey")
+def all_children(t):
+    """Every parent with its ordered child list."""
+    return _children(t("lineitem"))
+
+
+def _children(rows):
+    return rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda x: x.cast("string")), ",").alias("children"))
 
 
 @query("j18_knn_ratio", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 200),
@@ -262,7 +282,17 @@ def descriptor_pairs(t):
 
 @query("t2_severity_order", f"SELECT o_orderkey, severity FROM (SELECT *, {_SEVERITY_SQL} AS severity FROM orders WHERE o_custkey % 20 = 1) ORDER BY CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 4 WHEN 'INFO' THEN 5 ELSE 6 END, o_orderdate, o_orderkey LIMIT 50")
 def severity_order(t):
-    return _severe(t).where("o_custkey % 20 = 1").orderBy(R.severity_rank("severity"), "o_orderdate", "o_orderkey").limit(50).select("o_orderkey", "severity")
+    return _severest(_severe(t).where("o_custkey % 20 = 1"))
+
+
+@query("t2_severity_first_page", f"SELECT o_orderkey, severity FROM (SELECT *, {_SEVERITY_SQL} AS severity FROM orders) ORDER BY CASE severity WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 WHEN 'LOW' THEN 4 WHEN 'INFO' THEN 5 ELSE 6 END, o_orderdate, o_orderkey LIMIT 50")
+def severity_first_page(t):
+    """The first page over all orders."""
+    return _severest(_severe(t))
+
+
+def _severest(rows):
+    return rows.orderBy(R.severity_rank("severity"), "o_orderdate", "o_orderkey").limit(50).select("o_orderkey", "severity")
 
 
 @query("t3_page", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50")

@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 
+import __spark_entry__ as entry
 from attesta.operators import neighbours
+from tests.oracle import DATA
 
 
 def _pairs(rows, ratio=0.74):
@@ -41,3 +43,23 @@ def test_two_nearest_where_products_round():
     full = np.sqrt(((c[:, None] - c) ** 2).sum(axis=2))
     np.fill_diagonal(full, np.inf)
     assert (ids == np.repeat(np.arange(300), 2)).all() and (d.reshape(-1, 2) == np.sort(full, axis=1)[:, :2]).all()
+
+
+def _keys(spark, table, column):
+    return {r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(column).collect()}
+
+
+def test_every_member_and_parent(spark):
+    run = entry.queries()
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect()
+    children = {r.l_orderkey: r.children.split(",") for r in run["j16_all_children"](spark, DATA).collect()}
+    assert children.keys() == {r.l_orderkey for r in lines} and sum(map(len, children.values())) == len(lines)
+    owners = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey", "o_custkey").collect()}
+    members = {r.c_custkey for r in run["j7_all_permissions"](spark, DATA).collect()}
+    assert members == {owners[k] for k in children if k in owners} & _keys(spark, "customer", "c_custkey")
+
+
+def test_first_page_of_all_orders(spark):
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderpriority", "o_orderdate", "o_orderkey").collect()
+    page = [r.o_orderkey for r in entry.queries()["t2_severity_first_page"](spark, DATA).collect()]
+    assert page == [k for *_, k in sorted(map(tuple, orders))[:50]]
