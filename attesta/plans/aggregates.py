@@ -74,8 +74,21 @@ def storage(t):
 )
 def field_confidence(t):
     """Mean of the positive confidences of a document's fields, 0.90 without any."""
+    return _confidence(t("lineitem").where("l_orderkey % 4 = 0"))
+
+
+@query(
+    "a15_all_confidences",
+    "SELECT l_orderkey, coalesce(floor(avg(CASE WHEN c > 0 THEN c END) + 0.5), 90) / 100 AS confidence FROM (SELECT l_orderkey, CAST(round(l_discount * 1000) AS BIGINT) AS c FROM lineitem UNION ALL SELECT l_orderkey, CAST(round(l_tax * 1000) AS BIGINT) FROM lineitem) GROUP BY 1",
+)
+def all_confidences(t):
+    """The mean for every document."""
+    return _confidence(t("lineitem"))
+
+
+def _confidence(lines):
     c = F.explode(F.array(F.round(F.col("l_discount") * 1000).cast("long"), F.round(F.col("l_tax") * 1000).cast("long")))  # in hundredths
-    rows = t("lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", c.alias("c"))
+    rows = lines.select("l_orderkey", c.alias("c"))
     return rows.groupBy("l_orderkey").agg((F.coalesce(F.floor(F.avg(F.when(F.col("c") > 0, F.col("c"))) + 0.5), F.lit(90)) / 100).alias("confidence"))
 
 

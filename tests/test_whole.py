@@ -63,3 +63,8 @@ def test_first_page_of_all_orders(spark):
     orders = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderpriority", "o_orderdate", "o_orderkey").collect()
     page = [r.o_orderkey for r in entry.queries()["t2_severity_first_page"](spark, DATA).collect()]
     assert page == [k for *_, k in sorted(map(tuple, orders))[:50]]
+
+
+def test_confidence_of_every_document(spark):
+    got = {r.l_orderkey for r in entry.queries()["a15_all_confidences"](spark, DATA).collect()}
+    assert got == _keys(spark, "lineitem", "l_orderkey")
