@@ -77,7 +77,17 @@ def name_tokens(t):
 
 @query("u5_distinct_dates", "SELECT o_custkey, string_agg(DISTINCT strftime(o_orderdate, '%Y-%m-%d'), ',' ORDER BY strftime(o_orderdate, '%Y-%m-%d')) AS dates FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey")
 def distinct_dates(t):
-    return t("orders").where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM-dd"))), ",").alias("dates"))
+    return _dates(t("orders").where("o_custkey % 10 = 0"))
+
+
+@query("u5_all_dates", "SELECT o_custkey, string_agg(DISTINCT strftime(o_orderdate, '%Y-%m-%d'), ',' ORDER BY strftime(o_orderdate, '%Y-%m-%d')) AS dates FROM orders GROUP BY o_custkey")
+def all_dates(t):
+    """The date set of every customer."""
+    return _dates(t("orders"))
+
+
+def _dates(orders):
+    return orders.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM-dd"))), ",").alias("dates"))
 
 
 @query("f13_date_order", "SELECT o_orderkey, b < DATE '1996-01-01' AS birth_past, e > DATE '1996-01-01' AS expiry_future, e > b AS in_order FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS b, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 - 100 AS INT) AS e FROM orders)")

@@ -68,3 +68,8 @@ def test_first_page_of_all_orders(spark):
 def test_confidence_of_every_document(spark):
     got = {r.l_orderkey for r in entry.queries()["a15_all_confidences"](spark, DATA).collect()}
     assert got == _keys(spark, "lineitem", "l_orderkey")
+
+
+def test_dates_of_every_customer(spark):
+    got = {r.o_custkey for r in entry.queries()["u5_all_dates"](spark, DATA).collect()}
+    assert got == _keys(spark, "orders", "o_custkey")
