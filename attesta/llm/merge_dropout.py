@@ -6,6 +6,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ from attesta.llm import textops
 SPACE = "▁"
 #: Stands for a word mark that is part of the text itself; as a lone surrogate it occurs in no text.
 LITERAL = "\ud881"
-#: Segmentations a text can get; the variant is a hash of its doc_id and the seed.
+#: Segmentations a text can get by default; the variant is a hash of its doc_id and the seed.
 VARIANTS = 4
+#: Steps of merge paths that a Python worker remembers; and bytes of text walked at once.
+STEPS, WALKED = 400_000, 1 << 19
 #: Pre-tokens whose ids a Python worker remembers; bounds its memory.
 REMEMBERED = 600_000
 #: Longest pre-token segmented in bulk; longer ones go through a heap, one by one.
@@ -163,6 +166,78 @@ def segment(model: MergeModel, parts: list[str], seed: int, variant: int, rate:
     return out
 
 
+class Paths:
+    """Merge agendas of pre-tokens as trees: a step is the best merge left, and is made or skipped.
+
+    A tree holds what follows from each outcome, so it is the same for every key; only
+    the outcomes depend on the key. Walking it gives what ``_one`` gives under that key.
+    """
+
+    def __init__(self, model: MergeModel):
+        self.model, self.roots, self.n = model, {}, 0
+        self.step, self.next, self.leaf = np.zeros((1024, 3), np.int64), np.full((1024, 2), -1, np.int64), np.zeros(1024, bool)
+        self.found: list[bytes] = []
+        self.states: list[tuple | None] = []
+
+    def _add(self, part: str, symbols: tuple, places: tuple, skips: tuple) -> int:
+        k, self.n = self.n, self.n + 1
+        if k == len(self.leaf):
+            self.step, self.leaf = np.concatenate([self.step, np.zeros_like(self.step)]), np.concatenate([self.leaf, np.zeros_like(self.leaf)])
+            self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
+        best = None
+        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+            merge = self.model.merges.get(pair)
+            if merge and (best is None or merge[0] < best[0]) and (places[i], *pair) not in skips:
+                best = (*merge, i)
+        if best:
+            i = best[2]
+            self.step[k] = places[i], symbols[i], symbols[i + 1]
+        self.leaf[k] = best is None
+        self.found.append(b"" if best else _ids(self.model, part, list(symbols), list(places)))
+        self.states.append((part, symbols, places, skips, best) if best else None)
+        return k
+
+    def _grow(self, k: int, skip: int) -> None:
+        part, symbols, places, skips, (_, merged, i) = self.states[k]
+        if skip:
+            child = self._add(part, symbols, places, (*skips, (places[i], symbols[i], symbols[i + 1])))
+        else:
+            child = self._add(part, (*symbols[:i], merged, *symbols[i + 2 :]), places[: i + 1] + places[i + 2 :], skips)
+        self.next[k, skip] = child
+        if self.next[k].min() >= 0:
+            self.states[k] = None
+
+    def segment(self, parts: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
+        """Ids of each pre-token under its own key."""
+        if self.n > STEPS:
+            self.__init__(self.model)
+        for p in set(parts).difference(self.roots):
+            if len(p) <= BULK:
+                self.roots[p] = self._add(p, tuple(self.model.start(p)), tuple(range(len(p))), ())
+        now = np.fromiter((self.roots.get(p, -1) for p in parts), np.int64, len(parts))
+        long = np.flatnonzero(now < 0)
+        active = np.flatnonzero(now >= 0)
+        active = active[~self.leaf[now[active]]]
+        while len(active):
+            at = now[active]
+            skip = skipped(keys[active], *self.step[at].T, rate).astype(np.int64)
+            new = self.next[at, skip] < 0
+            for e in np.unique(at[new] * 2 + skip[new]).tolist():
+                self._grow(e >> 1, e & 1)
+            now[active] = self.next[at, skip]
+            active = active[~self.leaf[now[active]]]
+        out = list(map(self.found.__getitem__, now.tolist())) if self.found else [b""] * len(parts)
+        for k in long.tolist():
+            out[k] = _ids(self.model, parts[k], *_one(self.model, parts[k], keys[k : k + 1], rate))
+        return out
+
+
+def occurrence_keys(texts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A key for each pre-token of each text, from the text's key and the pre-token's place among the text's."""
+    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return textops.mix(np.repeat(texts, sizes) ^ textops.mix(at.astype(np.uint64)))
+
+
 def _ids(model: MergeModel, part: str, symbols: list[int], places: list[int]) -> bytes:
     n = len(model.bytes)
     if max(symbols) >= n:
@@ -180,13 +255,14 @@ def pre_tokens(text: str) -> list[str]:
 
 _models: dict[str, MergeModel] = {}
 _known: dict[tuple, dict[str, bytes]] = {}
+_paths: dict[str, Paths] = {}
 
 
 def _model(path: str) -> MergeModel:
     return _models.get(path) or _models.setdefault(path, MergeModel(path))
 
 
-def encode_with_dropout(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 11, variants: int = VARIANTS) -> DataFrame:
+def encode_with_dropout(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 11, variants: int | None = VARIANTS) -> DataFrame:
     """doc_id, variant (int), n_bytes (long) and ids (binary, little-endian unsigned 32-bit) for each row of ``documents`` (doc_id, text).
 
     Ids are those of the SentencePiece BPE model, but a candidate merge is skipped with
@@ -197,6 +273,12 @@ def encode_with_dropout(documents: DataFrame, model_path: str, rate: float = 0.1
     back. A null or empty text has no ids. Rows with null or repeated doc_id are encoded like
     others; further columns are ignored. Each distinct pre-token of a variant is segmented
     once while a worker remembers it. There is no shuffle.
+
+    With ``variants`` None the hash is keyed by seed, doc_id and the pre-token's place in the text
+    instead, so every document and every occurrence is segmented on its own; ``variant``
+    then is the upper half of the 64-bit hash of doc_id and seed. What a worker remembers is how
+    merges go on from each outcome, not the outcomes. Only rows with the same
+    doc_id (or none) and text are encoded alike, as nothing tells them apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +297,24 @@ def encode_with_dropout(documents: DataFrame, model_path: str, rate: float = 0.1
                 ids = [b"".join(map(_known[model_path, rate, seed, v].__getitem__, p)) for v, p in split]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets[i : j + 1]), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "variant", "n_bytes", "ids"])
 
+    def run_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(model_path)
+        paths = _paths.get(model_path) or _paths.setdefault(model_path, Paths(model))
+        for whole in batches:
+            _, offsets = textops.buffers(whole.column(2))
+            for i, j in textops.slices(offsets, WALKED):
+                batch = whole.slice(i, j - i)
+                split = [pre_tokens(t or "") for t in batch.column(2).to_pylist()]
+                keys, sizes = batch.column(1).to_numpy(), np.array([len(p) for p in split], np.int64)
+                found = paths.segment(list(chain.from_iterable(split)), occurrence_keys(keys.view(np.uint64), sizes), rate)
+                ends = np.cumsum(sizes).tolist()
+                ids = [b"".join(found[b - n : b]) for b, n in zip(ends, sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys >> 32, pa.int32()), pa.array(np.diff(offsets[i : j + 1]), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "variant", "n_bytes", "ids"])
+
     kind = dict(documents.dtypes)["doc_id"]
+    if variants is None:
+        rows = documents.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("key"), "text")
+        return rows.mapInArrow(run_each, f"doc_id {kind}, variant int, n_bytes long, ids binary")
     rows = documents.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)).cast("int").alias("variant"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, variant int, n_bytes long, ids binary")
 

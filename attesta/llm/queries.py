@@ -34,7 +34,7 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     documents = table(spark, sf_dir, "documents")
-    back = decode(encode_with_dropout(documents, model), model)
+    back = decode(encode_with_dropout(documents, model, variants=None), model)
     return back.select("doc_id", "variant", "n_bytes", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -154,6 +154,45 @@ def test_bulk_and_heap_agree():
         assert many == [merge_dropout._ids(model, p, *merge_dropout._one(model, p, keys[i : i + 1], rate)) for i, p in enumerate(parts)]
 
 
+def test_merge_dropout_of_each_occurrence(spark, docs, texts, edges, empty):
+    each = lambda df, **k: merge_dropout.encode_with_dropout(df, PIECES, variants=None, **k)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    plain = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in each(docs, rate=0.0).collect()}
+    assert plain == {k: sp.encode(v) for k, v in texts.items()}
+    encoded = each(docs)
+    back = {r.doc_id: r for r in merge_dropout.decode(encoded, PIECES).collect()}
+    assert {k: r.text for k, r in back.items()} == texts
+    assert 1.02 < sum(len(r.ids) / 4 for r in back.values()) / sum(map(len, plain.values())) < 1.2
+    assert [r.ids for r in encoded.orderBy("doc_id").collect()] == [r.ids for r in encoded.repartition(3).orderBy("doc_id").collect()]
+    same = spark.createDataFrame([(i, "international relations of the provinces") for i in range(64)], "doc_id long, text string")
+    assert len({bytes(r.ids) for r in each(same, rate=0.3).collect()}) > 32
+    again = each(spark.createDataFrame([(1, " ".join(["international"] * 200))], "doc_id long, text string"), rate=0.3).first().ids
+    table_of = merge_dropout.MergeModel(PIECES).bytes
+    words, spelled = set(), []
+    for i in np.frombuffer(again, "<u4").tolist():
+        if table_of[i].startswith(b" ") and spelled:
+            words, spelled = words | {tuple(spelled)}, []
+        spelled.append(i)
+    assert len(words) > 20
+    odd = merge_dropout.decode(each(edges, rate=0.3), PIECES).collect()
+    assert Counter((r.doc_id, r.text) for r in odd) == Counter((e[0], e[1] or "") for e in EDGES)
+    assert each(empty).count() == 0
+    assert len({r.ids_crc32 for r in queries.op3_merge_dropout(spark, DATA).where("n_bytes > 0").collect()}) > 100
+
+
+def test_paths_and_heap_agree(monkeypatch):
+    model, rng = merge_dropout.MergeModel(PIECES), random.Random(2)
+    parts = ["▁" + "".join(rng.choices("thereinanodsx日é", k=rng.randint(1, 60))) for _ in range(300)]
+    parts += ["▁international", "▁the", "\n"] * 100
+    keys = merge_dropout.occurrence_keys(np.arange(3, dtype=np.uint64), np.array([200, 0, 400]))
+    assert len(set(keys.tolist())) == 600
+    monkeypatch.setattr(merge_dropout, "STEPS", 2000)
+    paths = merge_dropout.Paths(model)
+    for rate in (0.0, 0.2, 0.5, 0.2):
+        want = [merge_dropout._ids(model, p, *merge_dropout._one(model, p, keys[i : i + 1], rate)) for i, p in enumerate(parts)]
+        assert paths.segment(parts, keys, rate) == want
+
+
 def test_token_counts(docs, texts, edges, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, PIECES).collect()}
