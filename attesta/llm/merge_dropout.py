@@ -22,8 +22,8 @@ SPACE = "▁"
 LITERAL = "\ud881"
 #: Segmentations a text can get by default; the variant is a hash of its doc_id and the seed.
 VARIANTS = 4
-#: Steps of merge paths that a Python worker remembers; and bytes of text walked at once.
-STEPS, WALKED = 400_000, 1 << 19
+#: Merges without skips that a Python worker remembers; and bytes of text segmented at once.
+STEPS, WALKED = 1_000_000, 1 << 19
 #: Pre-tokens whose ids a Python worker remembers; bounds its memory.
 REMEMBERED = 600_000
 #: Longest pre-token segmented in bulk; longer ones go through a heap, one by one.
@@ -153,7 +153,12 @@ def _bulk(model: MergeModel, parts: list[str], keys: np.ndarray, rate: float) ->
 
 def segment(model: MergeModel, parts: list[str], seed: int, variant: int, rate: float) -> list[bytes]:
     """Ids of each pre-token as little-endian unsigned 32-bit."""
-    keys, out = word_keys(parts, seed, variant), [b""] * len(parts)
+    return _under(model, parts, word_keys(parts, seed, variant), rate)
+
+
+def _under(model: MergeModel, parts: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
+    """Ids of each pre-token under its own key."""
+    out = [b""] * len(parts)
     lengths = np.array([len(p) for p in parts])
     for lo, hi in ((0, 8), (8, 14), (14, 24), (24, BULK)):
         some = np.flatnonzero((lengths > lo) & (lengths <= hi)).tolist()
@@ -167,68 +172,55 @@ def segment(model: MergeModel, parts: list[str], seed: int, variant: int, rate:
 
 
 class Paths:
-    """Merge agendas of pre-tokens as trees: a step is the best merge left, and is made or skipped.
+    """Merges that the agendas of pre-tokens make when none is skipped, remembered for all keys.
 
-    A tree holds what follows from each outcome, so it is the same for every key; only
-    the outcomes depend on the key. Walking it gives what ``_one`` gives under that key.
+    Where a key skips none of these, what it skips besides would never have been made, so the ids are
+    those without skips. Other occurrences go through their agenda under their own key.
     """
 
     def __init__(self, model: MergeModel):
-        self.model, self.roots, self.n = model, {}, 0
-        self.step, self.next, self.leaf = np.zeros((1024, 3), np.int64), np.full((1024, 2), -1, np.int64), np.zeros(1024, bool)
-        self.found: list[bytes] = []
-        self.states: list[tuple | None] = []
-
-    def _add(self, part: str, symbols: tuple, places: tuple, skips: tuple) -> int:
-        k, self.n = self.n, self.n + 1
-        if k == len(self.leaf):
-            self.step, self.leaf = np.concatenate([self.step, np.zeros_like(self.step)]), np.concatenate([self.leaf, np.zeros_like(self.leaf)])
-            self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-        best = None
-        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
-            merge = self.model.merges.get(pair)
-            if merge and (best is None or merge[0] < best[0]) and (places[i], *pair) not in skips:
-                best = (*merge, i)
-        if best:
-            i = best[2]
-            self.step[k] = places[i], symbols[i], symbols[i + 1]
-        self.leaf[k] = best is None
-        self.found.append(b"" if best else _ids(self.model, part, list(symbols), list(places)))
-        self.states.append((part, symbols, places, skips, best) if best else None)
-        return k
-
-    def _grow(self, k: int, skip: int) -> None:
-        part, symbols, places, skips, (_, merged, i) = self.states[k]
-        if skip:
-            child = self._add(part, symbols, places, (*skips, (places[i], symbols[i], symbols[i + 1])))
-        else:
-            child = self._add(part, (*symbols[:i], merged, *symbols[i + 2 :]), places[: i + 1] + places[i + 2 :], skips)
-        self.next[k, skip] = child
-        if self.next[k].min() >= 0:
-            self.states[k] = None
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.steps: list[tuple[int, int, int]] = []
+        self.first = [0]
+
+    def _add(self, part: str) -> None:
+        symbols, places = self.model.start(part), list(range(len(part)))
+        merges = [self.model.merges.get(pair) for pair in zip(symbols, symbols[1:], strict=False)]
+        while made := [(m[0], i) for i, m in enumerate(merges) if m]:
+            i = min(made)[1]
+            self.steps.append((places[i], symbols[i], symbols[i + 1]))
+            symbols[i : i + 2] = [merges[i][1]]
+            del places[i + 1], merges[i]
+            for j in (i - 1, i):
+                if 0 <= j < len(merges):
+                    merges[j] = self.model.merges.get((symbols[j], symbols[j + 1]))
+        self.known[part] = len(self.ids)
+        self.ids.append(_ids(self.model, part, symbols, places))
+        self.first.append(len(self.steps))
 
     def segment(self, parts: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
         """Ids of each pre-token under its own key."""
-        if self.n > STEPS:
-            self.__init__(self.model)
-        for p in set(parts).difference(self.roots):
+        if len(self.steps) > STEPS:
+            self._clear()
+        for p in set(parts).difference(self.known):
             if len(p) <= BULK:
-                self.roots[p] = self._add(p, tuple(self.model.start(p)), tuple(range(len(p))), ())
-        now = np.fromiter((self.roots.get(p, -1) for p in parts), np.int64, len(parts))
-        long = np.flatnonzero(now < 0)
-        active = np.flatnonzero(now >= 0)
-        active = active[~self.leaf[now[active]]]
-        while len(active):
-            at = now[active]
-            skip = skipped(keys[active], *self.step[at].T, rate).astype(np.int64)
-            new = self.next[at, skip] < 0
-            for e in np.unique(at[new] * 2 + skip[new]).tolist():
-                self._grow(e >> 1, e & 1)
-            now[active] = self.next[at, skip]
-            active = active[~self.leaf[now[active]]]
-        out = list(map(self.found.__getitem__, now.tolist())) if self.found else [b""] * len(parts)
-        for k in long.tolist():
-            out[k] = _ids(self.model, parts[k], *_one(self.model, parts[k], keys[k : k + 1], rate))
+                self._add(p)
+        at = np.fromiter((self.known.get(p, -1) for p in parts), np.int64, len(parts))
+        first, steps = np.array(self.first), np.array(self.steps, np.int64).reshape(-1, 3)
+        size = np.where(at >= 0, first[at + 1] - first[at], 0)
+        owner = np.repeat(np.arange(len(parts)), size)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + first[at[owner]]
+        other = at < 0
+        other[owner[skipped(keys[owner], *steps[step].T, rate)]] = True
+        rest = np.flatnonzero(other)
+        out = [self.ids[k] if k >= 0 else b"" for k in at.tolist()]
+        for k, ids in zip(rest.tolist(), _under(self.model, [parts[k] for k in rest.tolist()], keys[rest], rate) if len(rest) else [], strict=True):
+            out[k] = ids
         return out
 
 
@@ -276,8 +268,8 @@ def encode_with_dropout(documents: DataFrame, model_path: str, rate: float = 0.1
 
     With ``variants`` None the hash is keyed by seed, doc_id and the pre-token's place in the text
     instead, so every document and every occurrence is segmented on its own; ``variant``
-    then is the upper half of the 64-bit hash of doc_id and seed. What a worker remembers is how
-    merges go on from each outcome, not the outcomes. Only rows with the same
+    then is the upper half of the 64-bit hash of doc_id and seed. A worker remembers
+    the merges made without skips, and uses them where an occurrence skips none. Only rows with the same
     doc_id (or none) and text are encoded alike, as nothing tells them apart.
     """
 
