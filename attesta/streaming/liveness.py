@@ -10,7 +10,8 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Limits of the challenge: degrees, nose ratios, frames and seconds.
@@ -71,14 +72,20 @@ def _fold(state: Challenge, frames: pd.DataFrame) -> None:
 
 
 def judge(frames: DataFrame) -> DataFrame:
-    """Verdict per session of a batch of frames (session_id, frame_id, at in seconds, faces, yaw, pitch, nose)."""
+    """Verdict per session of a batch of frames (session_id, frame_id, at in seconds, faces, yaw, pitch, nose).
+
+    A challenge is finished by the frame after MAX_FRAMES at the latest and stays as it is then, so no
+    more frames of a session are handed on.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         state = Challenge()
         _fold(state, rows)
         return pd.DataFrame([state.result(key[0])])
 
-    return frames.groupBy("session_id").applyInPandas(run, RESULT)
+    order = Window.partitionBy("session_id").orderBy(F.col("at").asc_nulls_last(), F.col("frame_id").asc_nulls_last())
+    first = frames.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= MAX_FRAMES + 1).drop("__place")
+    return first.groupBy("session_id").applyInPandas(run, RESULT)
 
 
 def judge_stream(frames: DataFrame) -> DataFrame:

@@ -37,6 +37,29 @@ def test_liveness_stream_equals_batch(spark, tmp_path):
     assert {k: (v.stage, v.reason, v.frames) for k, v in last.items()} == {k: (v.stage, v.reason, v.frames) for k, v in want.items()}
 
 
+def test_hot_session_hands_on_first_frames_only(spark, monkeypatch):
+    import pandas as pd
+
+    from attesta.streaming import liveness
+
+    rows = [(s, i, i / 1000, 1, 0.0, 0.0, 1.0) for s, n in ((1, 3000), (2, 301), (3, 300)) for i in range(n)]
+    every = spark.createDataFrame(rows, "session_id long, frame_id long, at double, faces int, yaw double, pitch double, nose double").repartition(5)
+    want = {}
+    for s in (1, 2, 3):
+        c = Challenge()
+        for r in rows:
+            if r[0] == s:
+                c.step(*r[2:])
+        want[s] = c.result(s)
+    assert {r.session_id: r.asDict() for r in judge(every).collect()} == want
+
+    def counted(state, frames: pd.DataFrame) -> None:
+        state.frames = len(frames)
+
+    monkeypatch.setattr(liveness, "_fold", counted)
+    assert {r.session_id: r.frames for r in judge(every).collect()} == {1: 301, 2: 301, 3: 300}
+
+
 def test_audit_stream(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.write.parquet(f"{tmp_path}/in")
