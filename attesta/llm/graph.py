@@ -18,16 +18,17 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     ``edges`` holds two long columns; self links and rows with nulls are ignored,
     direction and repetition do not matter. Each step shuffles at most one row per
-    edge and aggregates with map-side combining; the driver sees only two numbers.
+    edge and aggregates with map-side combining; the driver sees only two numbers. Both sides of
+    a join are cut first, so adaptive execution can split the links of one large star over tasks.
     """
     a, b = F.col(left), F.col(right)
     stars = cut(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     seen = _checksum(stars)
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")))
+        least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
         moved = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         stars = cut(moved.union(least.select("hi", "m")).distinct())
         now = _checksum(stars)

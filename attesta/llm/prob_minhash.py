@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import textops
@@ -18,12 +18,10 @@ SHINGLE, BANDS, ROWS = 5, 33, 6
 REGISTERS = BANDS * ROWS
 #: Standard errors below the threshold at which an estimate still goes to verification.
 SLACK = 4.0
-#: Rounds in which each document is held against one pivot of its buckets, before the rest is compared in full.
-PIVOT_ROUNDS = 1
 #: Up to this many documents with a candidate are broadcast as ids to pick their texts; more are joined.
 BROADCAST_IDS = 500_000
-#: A bucket with more documents is split into blocks, each pair of which is one group of work.
-BLOCK = 1024
+#: A bucket with more documents or bytes is split into blocks, each pair of which is one group of work.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 _GOLDEN = np.uint64(textops.BASE)
 
 
@@ -79,17 +77,19 @@ def signatures(owner: np.ndarray, value: np.ndarray, count: np.ndarray, texts: i
 
 def probability_jaccard(xh: np.ndarray, xw: np.ndarray, yh: np.ndarray, yw: np.ndarray) -> float:
     """Sum over shared elements i of 1 / sum over all j of max(x_j / x_i, y_j / y_i). Hashes ascend; with equal weights it is Jaccard."""
-    every = np.union1d(xh, yh)
-    x, y = np.zeros(len(every)), np.zeros(len(every))
-    x[np.searchsorted(every, xh)], y[np.searchsorted(every, yh)] = xw, yw
-    with np.errstate(divide="ignore"):
-        ratio = x / y
-    order = np.argsort(-ratio, kind="stable")
-    x, y, ratio = x[order], y[order], ratio[order]
+    at = np.searchsorted(yh, xh)
+    at[at == len(yh)] = 0
+    both = np.flatnonzero(yh[at] == xh) if len(yh) else np.zeros(0, np.int64)
+    if xw.max(initial=1) == 1 and yw.max(initial=1) == 1:
+        return len(both) / max(len(xh) + len(yh) - len(both), 1)
+    x, y = xw[both].astype(float), yw[at[both]].astype(float)
+    order = np.argsort(-x / y, kind="stable")
+    x, y = x[order], y[order]
+    ratio = x / y
     upto = np.searchsorted(-ratio, -ratio, "right")  # those with at least this ratio come first
     xs, ys = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(y)])
-    both = (x > 0) & (y > 0)
-    return float((1 / (xs[upto[both]] / x[both] + (ys[-1] - ys[upto[both]]) / y[both])).sum())
+    only_x, only_y = xw.sum() - xs[-1], yw.sum() - ys[-1]
+    return float((1 / ((only_x + xs[upto]) / x + (only_y + ys[-1] - ys[upto]) / y)).sum())
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,39 +106,97 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = keys * _GOLDEN + best[:, r::ROWS]
             keys = textops.mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
             rows = np.flatnonzero(has)
-            fixed = lambda m, kind: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), pa.array(m.ravel(), kind))
+            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(digest[rows, 0].view(np.int64)), pa.array(digest[rows, 1].view(np.int64)), fixed(keys, pa.int64()), fixed((best & np.uint64(0x7FFF)).astype(np.int16), pa.int16())],
-                ["id", "a", "b", "bands", "signature"],
+                [batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(digest[rows, 0].view(np.int64)), pa.array(digest[rows, 1].view(np.int64)), listed, _packed((best & np.uint64(0xFF)).astype(np.uint8))],
+                ["id", "a", "b", "bands", "marks"],
             )
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as binary values."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each picked text's shingles as packed hashes and counts, once; rows whose words are not those of the node are left out."""
+    for batch in batches:
+        data, offsets = textops.buffers(batch.column("text"))
+        own = np.column_stack([batch.column(c).to_numpy() for c in ("a", "b")])
+        for i, j in textops.slices(offsets):
+            owner, value, count, digest = weighted_shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            rows = np.flatnonzero((digest.view(np.int64) == own[i:j]).all(axis=1))
+            begin, end = np.searchsorted(owner, rows), np.searchsorted(owner, rows, "right")
+            kinds = ["<u1" if count[a:b].max(initial=0) < 256 else "<u4" for a, b in zip(begin, end, strict=True)]
+            hashes = [value[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
+            counts = [count[a:b].astype(k).tobytes() for a, b, k in zip(begin, end, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows + i)), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["node", "hashes", "counts"])
+
+
+def _set(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    value = np.frombuffer(hashes, np.uint64)
+    return value, np.frombuffer(counts, "<u1" if len(counts) == len(value) else "<u4")
+
+
 def _verifier(threshold: float):
+    """The pairs whose sets are near."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [textops.buffers(batch.column(c)) for c in (2, 3)]
-            for i, j in textops.slices(np.maximum(*[o for _, o in sides])):
-                parts = []
-                for data, o in sides:
-                    owner, value, count, _ = weighted_shingles(data[o[i] : o[j]], o[i : j + 1] - o[i])
-                    parts.append((np.searchsorted(owner, np.arange(j - i + 1)), value, count))
-                (xf, xh, xw), (yf, yh, yw) = parts
-                near = [k for k in range(j - i) if probability_jaccard(xh[xf[k] : xf[k + 1]], xw[xf[k] : xf[k + 1]], yh[yf[k] : yf[k + 1]], yw[yf[k] : yf[k + 1]]) >= threshold]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i).take(pa.array(near, pa.int64())) for c in (0, 1)], ["u", "v"])
+            cells = zip(*(batch.column(c) for c in ("hu", "cu", "hv", "cv")), strict=True)
+            near = [k for k, (hu, cu, hv, cv) in enumerate(cells) if probability_jaccard(*_set(hu.as_py(), cu.as_py()), *_set(hv.as_py(), cv.as_py())) >= threshold]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(near, pa.int64())) for c in ("u", "v")], ["u", "v"])
 
     return run
 
 
-def _within(threshold: float):
-    """Links between documents of one bucket (or two of its blocks) that are in different classes so far."""
-    least = threshold * REGISTERS - SLACK * (threshold * (1 - threshold) * REGISTERS) ** 0.5
+def _least(threshold: float) -> float:
+    """Registers that a candidate pair has in common at least; marks that agree by chance only add to it."""
+    return threshold * REGISTERS - SLACK * (threshold * (1 - threshold) * REGISTERS) ** 0.5
+
+
+def _candidates(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row the later rows of other classes (and of the other block, where there are two) that agree enough, and how much they do."""
+    across = group["low"][0].as_py() != group["high"][0].as_py()
+    label, side = group["label"].to_numpy(), group["side"].to_numpy()
+    marks = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    for u in range(len(label) - 1):
+        v = np.flatnonzero((label[u + 1 :] != label[u]) & ((side[u + 1 :] != side[u]) | (not across))) + u + 1
+        if len(v):
+            same = (marks[v] == marks[u]).sum(axis=1)
+            near = same >= least
+            yield u, v[near], same[near]
+
+
+def _nearest(threshold: float):
+    """For each document of a bucket (or two of its blocks) the one of another class that agrees most, if any agrees enough."""
+    least = _least(threshold)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node = group["node"].to_numpy()
+        best, most = np.full(len(node), -1), np.zeros(len(node), np.int64)
+        for u, v, same in _candidates(group, least):
+            if len(v):
+                k = int(same.argmax())
+                if same[k] > most[u]:
+                    best[u], most[u] = v[k], same[k]
+                better = same > most[v]
+                best[v[better]], most[v[better]] = u, same[better]
+        found = np.flatnonzero(best >= 0)
+        return pa.Table.from_pydict({"u": node[found], "v": node[best[found]], "same": most[found]})
+
+    return run
+
+
+def _settle(threshold: float):
+    """Links between documents of one bucket (or two of its blocks) that are in different classes so far, likeliest pairs first."""
+    least = _least(threshold)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        n, band = group.num_rows, group["band"][0].as_py()
-        across = group["low"][0].as_py() != group["high"][0].as_py()
-        ids, label, side = (group[c].to_numpy() for c in ("id", "label", "side"))
-        marks = group["signature"].combine_chunks().flatten().to_numpy().reshape(n, REGISTERS)
+        node, label = group["node"].to_numpy(), group["label"].to_numpy()
         classes = {x: x for x in label.tolist()}
 
         def root(x: int) -> int:
@@ -146,29 +204,31 @@ def _within(threshold: float):
                 x = classes[x]
             return x
 
-        candidates = []
-        for u in range(n - 1):
-            v = np.flatnonzero((label[u + 1 :] != label[u]) & ((side[u + 1 :] != side[u]) | (not across))) + u + 1
-            same = marks[v] == marks[u]
-            # of the bands a pair shares, the first one answers for it
-            first = same.reshape(len(v), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            candidates += [(u, int(x)) for x in v[(same.sum(axis=1) >= least) & (first == band)]]
-        found, sets = [], {}
-        if candidates:
-            data, offsets = textops.buffers(group["text"].combine_chunks())
-            for u, v in candidates:
-                for k in (u, v):
-                    if k not in sets:
-                        sets[k] = weighted_shingles(data[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]))[1:3]
+        parts = [(np.full(len(v), u), v, same) for u, v, same in _candidates(group, least)]
+        found: list[tuple[int, int]] = []
+        if parts:
+            us, vs, same = (np.concatenate(x) for x in zip(*parts, strict=True))
+            sets = [_set(h, c) for h, c in zip(group["hashes"].to_pylist(), group["counts"].to_pylist(), strict=True)]
+            for k in np.argsort(-same, kind="stable").tolist():
+                u, v = int(us[k]), int(vs[k])
                 a, b = root(int(label[u])), root(int(label[v]))
                 if a != b and probability_jaccard(*sets[u], *sets[v]) >= threshold:
                     classes[max(a, b)] = min(a, b)
-                    found.append((ids[u], ids[v]))
+                    found.append((int(node[u]), int(node[v])))
         return pa.Table.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
     return run
 
 
+def _blocked(rows: DataFrame, weight: Column) -> DataFrame:
+    """``rows`` (key, label, ...) of the buckets that hold several classes, dealt over their pairs of blocks (low, high; side is the row's own)."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.sum(weight).alias("bytes")).where("x < y")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = rows.join(cut(mixed.select("key", blocks.alias("blocks"))), "key")
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "blocks")
+
+
 def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row per row of ``documents`` (doc_id long, text): doc_id, class_id, kept.
 
@@ -178,58 +238,56 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
     non-ASCII characters, in lower case; a text of fewer words is one shingle.
     ``class_id`` is the smallest doc_id reachable by links, ``kept`` whether it is the
     row's own. Texts that are null, empty or without words are in classes of their own. Rows
-    without doc_id get no class and are kept. Rows that share a doc_id share a class.
+    without doc_id get no class and are kept. Rows that share a doc_id share a class, whatever their texts.
     Further columns are ignored; an empty table gives an empty result.
 
-    Documents with the same words are first folded into one. Documents that agree in a
-    band are candidates: each is held against one pivot of its buckets per round, which
-    joins large groups in linear work; then buckets that still hold different classes are
-    compared within, in blocks, where signatures that agree enough are verified on the texts. So no
-    link between classes is lost beyond what banding and estimates miss (chance below 0.001
-    at the threshold), and tasks send on links between classes only, never a group's pairs.
+    Documents with the same words (by a 128-bit digest) are one node. Nodes that agree in a band
+    are candidates. Rounds of linear work come first: each node is held against one
+    pivot of its buckets, then against the node of another class in its buckets whose signature agrees
+    most with its own. Buckets that still hold different classes of nodes that agree enough are
+    settled whole, likeliest pairs first, in pairs of blocks bounded by rows and bytes. All verification is on
+    the packed shingle sets, made once per node. So no link between classes is lost beyond
+    what banding and estimates miss (chance below 0.001 at the threshold), and tasks send on
+    one partner per node or links between classes, never a group's pairs.
     """
     own = documents.select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
-    signed = cut(own.where(F.col("id").isNotNull()).mapInArrow(_sign, "id long, a long, b long, bands array<long>, signature array<short>"))
-    reps = signed.groupBy("a", "b").agg(F.min("id").alias("rep"))
-    members = cut(signed.select("id", "a", "b").join(reps, ["a", "b"]).select("id", "rep").distinct())
-    single = signed.join(members.where("id = rep").select("id").distinct(), "id").dropDuplicates(["id"])
-    keyed = single.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = cut(keyed.join(shared, "key").select("key", "band", "id"))
-    active = buckets.select("id").distinct()
-    few = cut(active)
-    picked = own.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "id", "left_semi")
-    texts = cut(picked.dropDuplicates(["id"]))
-    edges = few.select(F.col("id").alias("u"), F.col("id").alias("v"))
-    labels = few.select("id", F.col("id").alias("label"))
+    signed = cut(own.where(F.col("id").isNotNull()).mapInArrow(_sign, "id long, a long, b long, bands array<long>, marks binary"))
+    signed = signed.withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(signed.groupBy("a", "b").agg(F.min("node").alias("node")))
+    members = cut(signed.select("id", "a", "b").join(nodes, ["a", "b"]).select("id", "node").distinct())
+    single = signed.join(nodes.select("node"), "node", "left_semi")
+    keyed = single.select("node", F.explode("bands").alias("key"))
+    pivots = cut(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"))
+    buckets = cut(keyed.join(pivots, "key").select("key", "node", "pivot"))
+    pairs = cut(buckets.where("node <> pivot").groupBy(F.col("node").alias("u")).agg(F.min("pivot").alias("v")))
+    few = cut(buckets.select("node").distinct().join(single.select("node", "id", "a", "b"), "node"))
+    picked = own.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "id").select("node", "a", "b", "text")
+    sets = cut(picked.mapInArrow(_sets, "node long, hashes binary, counts binary").dropDuplicates(["node"]))
+    again = members.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("id", "u")
+    edges = members.join(again, "id").select("u", F.col("node").alias("v"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("u", "v"))
-        both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
-        return cut(both.mapInArrow(_verifier(threshold), "u long, v long"))
-
-    def relabelled() -> DataFrame:
-        found = connected_components(edges, "u", "v")
-        return cut(few.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
-
-    for turn in range(PIVOT_ROUNDS):
-        now = buckets.join(labels, "id")
-        by = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), F.col("id").alias("pivot"), F.col("label").alias("other"))
-        pivots = now.groupBy("key").agg(F.min(by).alias("p")).select("key", "p.pivot", "p.other")
-        pairs = now.join(pivots, "key").where("label <> other").groupBy(F.col("id").alias("u")).agg(F.min("pivot").alias("v"))
-        edges = edges.union(verified(pairs))
-        labels = relabelled()
-    now = buckets.join(labels, "id").join(single.select("id", "signature"), "id")
-    # A bucket whose documents are all in one class has nothing left to find.
-    mixed = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    now = now.join(mixed, "key")
-    large = cut(now.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
-    spread = now.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "band", "id", "label", "signature")
-    links = spread.join(texts, "id").groupBy("key", "low", "high").applyInArrow(_within(threshold), "u long, v long")
-    edges = edges.union(cut(links))
-    classes = connected_components(edges, "u", "v").withColumnRenamed("node", "rep")
-    found = members.join(classes, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
+        left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"), F.col("counts").alias(f"c{c}")) for c in ("u", "v"))
+        return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "cu", "hv", "cv").mapInArrow(_verifier(threshold), "u long, v long"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Rows (node, ...) with the class that the links so far give the node."""
+        found = connected_components(edges, "u", "v").withColumnRenamed("component", "label")
+        return rows.join(cut(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    edges = cut(edges.union(verified(pairs)))
+    marks = single.select("node", "marks")
+    signatures_of = lambda rows: labelled(rows).join(marks, "node")
+    dealt = _blocked(signatures_of(buckets.select("key", "node")), F.lit(REGISTERS))
+    nearest = cut(dealt.groupBy("key", "low", "high").applyInArrow(_nearest(threshold), "u long, v long, same long"))
+    open_ = cut(nearest.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")))
+    pairs = open_.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = cut(edges.union(verified(pairs)))
+    left = buckets.select("key", "node").join(open_.select(F.col("u").alias("node")), "node", "left_semi")
+    dealt = _blocked(signatures_of(left).join(sets, "node"), F.octet_length("hashes"))
+    edges = cut(edges.union(dealt.groupBy("key", "low", "high").applyInArrow(_settle(threshold), "u long, v long")))
+    classed = cut(labelled(members))
+    least = cut(classed.groupBy("label").agg(F.min("id").alias("class_id")))
+    found = classed.join(least, "label").select("id", "class_id").distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id") == F.col("id"), "left")
     return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

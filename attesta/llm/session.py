@@ -6,6 +6,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch on the way to Python; Spark's own limit is 256 MB beside its 10,000 rows.
+BATCH_BYTES = str(16 << 20)
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table through Spark's reader, whatever store it lies in."""
@@ -13,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where none is set (tests, local mode)."""
+    """The checkpoint folder the cluster names; a temporary one only in local mode where none is set (tests)."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
@@ -21,11 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
         if not current:
             context.setCheckpointDir(named)
         return named or current
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(own := tempfile.mkdtemp(prefix="attesta-checkpoint-"))
     return own
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so later stages survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder, so later stages survive lost executors.
+
+    Arrow batches on the way hold at most BATCH_BYTES (or one row), so that rows of any width fit a Python worker.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
