@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,22 +13,35 @@ from pyspark.sql import functions as F
 
 from attesta.llm.session import cut
 
-#: Rows of a block of candidates and of a block of queries; a block pair's scores take 8 bytes each.
-CANDIDATE_ROWS, QUERY_ROWS = 4096, 1024
-#: Bins of one round; each round narrows a query's interval by this factor.
-BINS = 1024
-#: Sums below this are exact in double precision.
-EXACT = 2**53
+#: Queries of one pass over the candidates, and bytes of their vectors at most; both bound what is broadcast.
+WAVE_QUERIES, WAVE_BYTES = 16_384, 32 << 20
+#: Queries and candidates of a matrix of scores, which takes 8 bytes a score.
+QUERY_ROWS, CANDIDATE_ROWS = 1024, 4096
+#: Bits of a score that one round settles: a histogram has 2 ** BITS bins.
+BITS = 9
+#: Sums below the first are exact in double precision, below the second in 64-bit integers.
+EXACT, WIDE = 2**53, 2**63
+#: Scores beyond this are given as this (and its negative); it leaves room for their difference in 64 bits.
+MOST = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and q = floor(scale * component) as long[]; rows that are null or hold null or non-finite components are left out."""
+    """vec_id and q = floor(scale * component) as long[]; rows that are null or hold null or non-finite components are left out.
+
+    Components beyond the range of a long saturate there.
+    """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad)
-    return whole.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("q"))
+    top = float(2**63)
+
+    def whole_number(x):
+        y = F.lit(float(scale)) * x.cast("double")
+        return F.when(y >= top, F.lit(MOST)).when(y < -top, F.lit(-MOST - 1)).otherwise(F.floor(F.when((y >= -top) & (y < top), y)))
 
+    return whole.select("vec_id", F.transform("embedding", whole_number).alias("q"))
 
-def _matrix(column: pa.Array) -> np.ndarray:
+
+def matrix(column: pa.Array) -> np.ndarray:
     """A list column as a matrix; shorter rows are filled with zeros."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     sizes = np.diff(column.offsets.to_numpy())
@@ -38,48 +53,42 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
-PACKED = "ids binary, q binary, wide int"
-
-
-def _pack(ids: pa.Array, values: pa.Array) -> dict:
-    q = _matrix(values)
-    kind = np.int32 if np.abs(q).max(initial=0) < 2**31 else np.int64
-    return {"ids": pa.array([ids.to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()), "q": pa.array([q.astype(kind).tobytes()], pa.binary()), "wide": pa.array([q.shape[1]], pa.int32())}
-
-
-def _candidate_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, CANDIDATE_ROWS):
-            part = batch.slice(i, CANDIDATE_ROWS)
-            yield pa.RecordBatch.from_pydict(_pack(part.column(0), part.column(1)))
-
-
-def _query_block(group: pa.Table) -> pa.Table:
-    group = group.sort_by("vec_id")
-    packed = _pack(group["vec_id"].combine_chunks(), group["q"].combine_chunks())
-    return pa.Table.from_pydict({"block": group["block"][:1]} | {f"q_{k}": v for k, v in packed.items()})
-
-
-def _block(ids: bytes, q: bytes, wide: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.frombuffer(ids, np.int64)
-    kind = np.int32 if len(q) == 4 * len(rows) * wide else np.int64
-    return rows, np.frombuffer(q, kind).reshape(len(rows), wide)
-
-
-def _scores(row: dict, own: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and scores[query, candidate]; ``own`` stands for a query's own row, below every score."""
-    q_ids, q = _block(row["q_ids"], row["q_q"], row["q_wide"])
-    c_ids, c = _block(row["ids"], row["q"], row["wide"])
-    wide, kind = min(q.shape[1], c.shape[1]), np.float64 if exact else np.int64
-    s = (q[:, :wide].astype(kind) @ c[:, :wide].astype(kind).T).astype(np.int64)
-    s[q_ids[:, None] == c_ids] = own
-    return q_ids, c_ids, s
-
-
-def _local_kth(s: np.ndarray, k: int) -> np.ndarray:
-    """The k-th highest score of each row, or the lowest there is."""
-    k = min(k, s.shape[1])
-    return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of ``q`` with all of ``c`` over the shorter length, exact; beyond 64 bits they saturate."""
+    wide = min(q.shape[1], c.shape[1])
+    q, c = q[:, :wide], c[:, :wide]
+    # By Cauchy-Schwarz no partial sum of absolute products is above the product of the norms.
+    norms = [float(np.sqrt((x.astype(float) ** 2).sum(axis=1).max(initial=0))) for x in (q, c)]
+    bound = norms[0] * norms[1] * 1.001
+    if bound < EXACT:
+        return (q.astype(float) @ c.astype(float).T).astype(np.int64)
+    if bound < WIDE:
+        return q @ c.T
+    wide_sums = q.astype(object) @ c.astype(object).T
+    return np.clip(wide_sums, -MOST, MOST).astype(np.int64)
+
+
+@dataclass
+class Wave:
+    """Queries of one pass: ids and vectors by id, the lower end of each one's interval, how many of its k scores lie in or below it, and block sizes."""
+
+    ids: np.ndarray
+    q: np.ndarray
+    low: np.ndarray
+    need: np.ndarray
+    query_rows: int
+    candidate_rows: int
+
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First query of a block, the candidates' ids, scores[query, candidate], and which of these are in a query's interval or above (its own row is not)."""
+        for batch in batches:
+            for i in range(0, batch.num_rows, self.candidate_rows):
+                part = batch.slice(i, self.candidate_rows)
+                ids, c = part.column(0).to_numpy(), matrix(part.column(1))
+                for at in range(0, len(self.ids), self.query_rows):
+                    block = slice(at, at + self.query_rows)
+                    s = scores(self.q[block], c)
+                    yield at, ids, s, (s >= self.low[block, None]) & (self.ids[block, None] != ids)
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -89,96 +98,89 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     vec_id is no candidate. Ties go to the smaller vec_id; a query with fewer
     candidates gets all of them, one with none gets no row. Vectors of different
     lengths are compared over the shorter one. A vec_id that is repeated as a candidate
-    counts once per row. Columns: query_id, rank (int, from 1), vec_id, score (long).
-
-    Every candidate is scored against every query, in blocks. Each round counts scores
-    in BINS equal bins of a query's current interval, sums the counts of all blocks and
-    moves to the bin that holds the k-th score, until bins are single scores. Then the
-    scores at or above it are read off, ties cut to k for each block, and ranked. A
-    block leaves out bins that lie below its own k-th score, as the global one is no lower.
+    counts once per row; of a repeated query one row counts, that with the least q. Rows
+    without vec_id take no part; empty tables give an empty result; further columns are ignored. Sums are exact whatever the
+    components; a score that does not fit a long is given as the nearest that does, and ties there
+    go by vec_id. Columns: query_id, rank (int, from 1), vec_id, score (long).
+
+    Candidates stay where they are, unshuffled; queries pass over them in waves of bounded size. In
+    each round of a wave every candidate is scored against every query, and each task counts
+    all scores of a query's interval in 2 ** BITS bins. The summed histograms tell the bin that
+    holds the k-th score, which is the next interval, until a bin is a single score. Scoring again
+    costs less than keeping 8 bytes for each pair; unit vectors take two rounds. Then the scores
+    at or above the k-th are read off, ties there cut to the k smallest ids of each task, and ranked.
     """
-    most, n = vectors.agg(F.max(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), F.count("*")).first()
-    span = int(most or 0) + 1  # above every |score|, as that is at most the largest squared norm
-    exact, own = span < EXACT, -span - 1
-    asked = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
-    n_blocks, n_salts = max(1, -(-queries.count() // QUERY_ROWS)), min(64, 1 + n // CANDIDATE_ROWS)
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    asked = cut(asked.select(block.alias("block"), "vec_id", "q").groupBy("block").applyInArrow(_query_block, "block int, q_ids binary, q_q binary, q_wide int"))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(n_salts)).cast("int")
-    pairs = vectors.select("vec_id", "q").mapInArrow(_candidate_blocks, PACKED).withColumn("salt", salt).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    pairs = cut(pairs)
-    width = 1
-    while width * BINS < 2 * span:
-        width *= BINS
-    state = asked.select("block", F.lit(None).cast("array<struct<query_id:long,lo:long,need:long>>").alias("state"))
-    while True:
-        blocks = asked.join(state, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-        joined = pairs.join(blocks, ["block", "salt"])
-        counts = joined.mapInArrow(_counter(width, span, own, exact, k), "block int, query_id long, need long, lo long, bin long, n long")
-        state = cut(_narrowed(counts, width))
-        if width == 1:
-            break
-        width //= BINS
-    blocks = asked.join(state, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    best = pairs.join(blocks, ["block", "salt"]).mapInArrow(_reader(own, exact, k), "query_id long, vec_id long, score long")
+    candidates = vectors.select("vec_id", "q").where("vec_id IS NOT NULL")
+    asked = cut(queries.where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("q").alias("q")))
+    norm = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    n, wide, q_norm = asked.agg(F.count("*"), F.max(F.size("q")), F.max(norm)).first()
+    c_norm = candidates.agg(F.max(norm)).first()[0]
+    span = min(MOST, int((q_norm or 0.0) * (c_norm or 0.0) * 1.001) + 1)  # no |score| is above it
+    waves = max(1, -(-n // min(WAVE_QUERIES, max(1, WAVE_BYTES // (8 * max(wide or 0, 1))))))
+    return reduce(DataFrame.union, [_top(candidates, asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w), k, span) for w in range(waves)])
+
+
+def _top(candidates: DataFrame, asked: DataFrame, k: int, span: int) -> DataFrame:
+    """Ranked candidates of one wave of queries."""
+    context = candidates.sparkSession.sparkContext
+    rows = asked.orderBy("vec_id").collect()  # at most about WAVE_QUERIES
+    ids = np.array([r.vec_id for r in rows], np.int64)
+    wave = Wave(ids, matrix(pa.array([r.q for r in rows], pa.list_(pa.int64()))), np.full(len(ids), -span), np.full(len(ids), k), QUERY_ROWS, CANDIDATE_ROWS)
+    shift = (2 * span).bit_length()
+    while shift:
+        settled = min(BITS, shift)
+        shift -= settled
+        sent = context.broadcast(wave)
+        counts = candidates.mapInArrow(_counter(sent, shift, settled), "query int, bin int, n long, need long")
+        totals = counts.groupBy("query", "bin").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+        down = Window.partitionBy("query").orderBy(F.col("bin").desc())
+        above = totals.withColumn("above", F.sum("n").over(down) - F.col("n"))
+        # The k-th score is in the highest bin that makes up the number; with fewer scores in all, in the lowest bin.
+        hit = above.where(F.col("above") < F.col("need")).groupBy("query").agg(F.min("bin").alias("bin"), F.max("above").alias("above"))
+        for r in hit.collect():  # a row per query of the wave
+            wave.low[r.query] = int(wave.low[r.query]) + (r.bin << shift)
+            wave.need[r.query] -= r.above
+    best = candidates.mapInArrow(_reader(context.broadcast(wave), k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    return cut(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
-def _state(row: dict, q_ids: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower end of each query's interval, and how many of the k scores lie in or below it."""
-    lo, need = np.full(len(q_ids), -span, np.int64), np.full(len(q_ids), k, np.int64)
-    if row["state"]:
-        at = np.searchsorted(q_ids, [x["query_id"] for x in row["state"]])
-        lo[at], need[at] = [x["lo"] for x in row["state"]], [x["need"] for x in row["state"]]
-    return lo, need
 
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
-def _counter(width: int, span: int, own: int, exact: bool, k: int):
-    """Counts of scores in the bins of ``width`` in each query's interval (all BINS of them, or all scores in the first round)."""
+def _counter(sent, shift: int, settled: int):
+    """Histograms of all scores in each query's interval, summed over the task's candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            q_ids, _, s = _scores(row, own, exact)
-            lo, need = _state(row, q_ids, span, k)
-            bins = (s - lo[:, None]) // width
-            at, c = np.nonzero((s > own) & (bins >= 0) & (bins < BINS) & (s >= _local_kth(s, k)[:, None]))
-            key, n = np.unique(at * BINS + bins[at, c], return_counts=True)
-            at, found = key // BINS, key % BINS
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(key), row["block"]), pa.int32()), "query_id": q_ids[at], "need": need[at], "lo": lo[at], "bin": found, "n": n.astype(np.int64)})
+        wave = sent.value
+        bins = 1 << settled
+        totals: dict[int, np.ndarray] = {}
+        for at, _, s, counts in wave.blocks(batches):
+            low = wave.low[at : at + len(s), None]
+            place = (s.view(np.uint64) - low.view(np.uint64)) >> np.uint64(shift)  # wraps where s < low, which is left out
+            place = np.where(counts, np.minimum(place, np.uint64(bins)), np.uint64(bins)).astype(np.int64)
+            place += np.arange(len(s))[:, None] * (bins + 1)
+            found = np.bincount(place.ravel(), minlength=len(s) * (bins + 1)).reshape(len(s), bins + 1)[:, :bins]
+            totals[at] = totals[at] + found if at in totals else found
+        for at, total in totals.items():
+            q, cell = np.nonzero(total)
+            yield pa.RecordBatch.from_pydict({"query": (at + q).astype(np.int32), "bin": cell.astype(np.int32), "n": total[q, cell].astype(np.int64), "need": wave.need[at + q]})
 
     return run
 
 
-def _narrowed(counts: DataFrame, width: int) -> DataFrame:
-    """For each query the bin that holds the score sought: the highest with ``need`` scores in it or above, or else the lowest with any."""
-    totals = counts.groupBy("block", "query_id", "bin").agg(F.sum("n").alias("n"), F.first("need").alias("need"), F.first("lo").alias("lo"))
-    down = Window.partitionBy("block", "query_id").orderBy(F.col("bin").desc())
-    above = totals.withColumn("upto", F.sum("n").over(down)).withColumn("hit", F.col("upto") >= F.col("need"))
-    new = F.struct("hit", F.when(F.col("hit"), F.col("bin")).otherwise(-F.col("bin")).alias("order"), (F.col("lo") + F.col("bin") * width).alias("lo"), (F.col("need") - F.col("upto") + F.col("n")).alias("need"))
-    best = above.groupBy("block", "query_id").agg(F.max(new).alias("x"))
-    return best.groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("x.lo").alias("lo"), F.col("x.need").alias("need"))).alias("state"))
-
-
-def _reader(own: int, exact: bool, k: int):
-    """Candidates at or above each query's k-th score, ties cut to the k smallest ids of a block."""
+def _reader(sent, k: int):
+    """Candidates at or above each query's k-th score, cut to the best k of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            q_ids, c_ids, s = _scores(row, own, exact)
-            lo, _ = _state(row, q_ids, own + 1, k)
-            at, c = np.nonzero((s > own) & (s >= np.maximum(lo, _local_kth(s, k))[:, None]))
-            order = np.lexsort((c_ids[c], -s[at, c], at))
-            at, c = at[order], c[order]
-            first = np.searchsorted(at, at)
-            keep = np.arange(len(at)) - first < k
-            at, c = at[keep], c[keep]
-            yield pa.RecordBatch.from_pydict({"query_id": q_ids[at], "vec_id": c_ids[c], "score": s[at, c]})
+        wave = sent.value
+        parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for at, ids, s, counts in wave.blocks(batches):
+            q, c = np.nonzero(counts)
+            found = (q, ids[c], s[q, c])
+            q, ids_, s_ = (np.concatenate(x) for x in zip(parts[at], found, strict=True)) if at in parts else found
+            order = np.lexsort((ids_, -s_, q))
+            q, ids_, s_ = q[order], ids_[order], s_[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            parts[at] = (q[keep], ids_[keep], s_[keep])
+        for at, (q, ids_, s_) in parts.items():
+            yield pa.RecordBatch.from_pydict({"query_id": wave.ids[at + q], "vec_id": ids_, "score": s_})
 
     return run

@@ -307,6 +307,35 @@ def test_topk_edges(spark):
     assert topk.exact_top_k(v, v.where("vec_id = 99"), 3).count() == 0
 
 
+def test_topk_over_blocks_and_waves(spark, monkeypatch):
+    """Several waves, query blocks and candidate blocks, with a third of the rows equal."""
+    for name, value in (("QUERY_ROWS", 64), ("CANDIDATE_ROWS", 300), ("WAVE_QUERIES", 150)):
+        monkeypatch.setattr(topk, name, value)
+    x = np.random.default_rng(1).integers(-3, 4, (4000, 6))
+    x[::3] = x[0]
+    v = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(x)], "vec_id long, q array<long>").repartition(5)
+    got = sorted(tuple(r) for r in topk.exact_top_k(v, v.where("vec_id % 13 = 0")).collect())
+    want = []
+    for i in range(0, 4000, 13):
+        s = x @ x[i]
+        want += [(i, r + 1, j, int(s[j])) for r, j in enumerate([j for j in np.lexsort((np.arange(4000), -s)).tolist() if j != i][:5])]
+    assert got == want
+    repeated = v.where("vec_id < 3").union(v.where("vec_id = 2"))
+    assert [r.vec_id for r in topk.exact_top_k(repeated, v.where("vec_id = 0")).orderBy("rank").collect()].count(2) == 2
+    assert topk.exact_top_k(v.limit(0), v.where("vec_id = 0")).count() == 0 and topk.exact_top_k(v, v.limit(0)).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    """Sums beyond 64 bits are ordered exactly as far as a long can show them."""
+    rows = [(0, [1e12, -3.0]), (1, [1e12, 2.0]), (2, [-1e12, 2.0]), (3, [1e300, 0.5]), (4, [0.25, 0.5]), (5, [3e7, 1.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    most, got = 2**63 - 1, defaultdict(list)
+    for r in topk.exact_top_k(v, v.where("vec_id IN (0, 4)")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got[0] == [(1, most), (3, most), (5, most), (4, 64 * 256 * 10**12 - 128 * 768), (2, -most)]
+    assert got[4] == [(3, most), (1, 64 * 256 * 10**12 + 128 * 512), (0, 64 * 256 * 10**12 - 128 * 768), (5, 64 * 7680000000 + 128 * 256), (2, -64 * 256 * 10**12 + 128 * 512)]
+
+
 def test_line_dedup_edges(spark, edges, empty):
     got = line_dedup.drop_boilerplate(edges).collect()
     assert len(got) == len(EDGES) and all(r.n_dropped == 0 for r in got)
