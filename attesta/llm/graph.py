@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from attesta.llm.session import cut
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _cut_and_sum(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges, cut, and their number and checksum, observed in the same job."""
+    seen = Observation()
+    return cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("sum"))), seen.get
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -18,22 +19,28 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     ``edges`` holds two long columns; self links and rows with nulls are ignored,
     direction and repetition do not matter. Each step shuffles at most one row per
-    edge and aggregates with map-side combining; the driver sees only two numbers. Both sides of
-    a join are cut first, so adaptive execution can split the links of one large star over tasks.
+    edge and aggregates with map-side combining; the driver sees only two numbers. The
+    least neighbours are cut before the join, so adaptive execution can split the links of one large star over tasks.
     """
     a, b = F.col(left), F.col(right)
-    stars = cut(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
-    seen = _checksum(stars)
+    stars, seen = _cut_and_sum(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select("lo", "hi"))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")))
-        least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        stars = cut(moved.union(least.select("hi", "m")).distinct())
-        now = _checksum(stars)
+        stars, now = _cut_and_sum(moved.union(least.select("hi", "m")).distinct())
         if now == seen:
             break
         seen = now
     roots = stars.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label: the smallest node of its class) after ``links`` (u, v) between nodes of it, cut."""
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    between = links.join(at("u"), "u").join(at("v"), "v")
+    found = connected_components(between, "u_label", "v_label").withColumnRenamed("node", "label")
+    return cut(labels.join(cut(found), "label", "left").select("node", F.coalesce("component", "label").alias("label")))

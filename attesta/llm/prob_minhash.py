@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import textops
-from attesta.llm.graph import connected_components
+from attesta.llm.graph import merged
 from attesta.llm.session import cut
 
 #: Words of a shingle; registers of a signature, as BANDS bands of ROWS registers.
@@ -264,29 +264,23 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
     picked = own.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "id").select("node", "a", "b", "text")
     sets = cut(picked.mapInArrow(_sets, "node long, hashes binary, counts binary").dropDuplicates(["node"]))
     again = members.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("id", "u")
-    edges = members.join(again, "id").select("u", F.col("node").alias("v"))
+    again = cut(members.join(again, "id").select("u", F.col("node").alias("v")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"), F.col("counts").alias(f"c{c}")) for c in ("u", "v"))
         return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "cu", "hv", "cv").mapInArrow(_verifier(threshold), "u long, v long"))
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        """Rows (node, ...) with the class that the links so far give the node."""
-        found = connected_components(edges, "u", "v").withColumnRenamed("component", "label")
-        return rows.join(cut(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    edges = cut(edges.union(verified(pairs)))
+    labels = few.select("node").union(again.select("u")).union(again.select("v")).distinct().withColumn("label", F.col("node"))
+    labels = merged(cut(labels), verified(pairs).union(again))
     marks = single.select("node", "marks")
-    signatures_of = lambda rows: labelled(rows).join(marks, "node")
-    dealt = _blocked(signatures_of(buckets.select("key", "node")), F.lit(REGISTERS))
-    nearest = cut(dealt.groupBy("key", "low", "high").applyInArrow(_nearest(threshold), "u long, v long, same long"))
-    open_ = cut(nearest.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")))
-    pairs = open_.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = cut(edges.union(verified(pairs)))
-    left = buckets.select("key", "node").join(open_.select(F.col("u").alias("node")), "node", "left_semi")
-    dealt = _blocked(signatures_of(left).join(sets, "node"), F.octet_length("hashes"))
-    edges = cut(edges.union(dealt.groupBy("key", "low", "high").applyInArrow(_settle(threshold), "u long, v long")))
-    classed = cut(labelled(members))
+    dealt = _blocked(buckets.select("key", "node").join(labels, "node").join(marks, "node"), F.lit(REGISTERS))
+    nearest = dealt.groupBy("key", "low", "high").applyInArrow(_nearest(threshold), "u long, v long, same long")
+    partner = cut(nearest.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")))
+    labels = merged(labels, verified(partner.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
+    left = buckets.select("key", "node").join(partner.select(F.col("u").alias("node")), "node", "left_semi")
+    dealt = _blocked(left.join(labels, "node").join(marks, "node").join(sets, "node"), F.octet_length("hashes"))
+    labels = merged(labels, cut(dealt.groupBy("key", "low", "high").applyInArrow(_settle(threshold), "u long, v long")))
+    classed = members.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
     least = cut(classed.groupBy("label").agg(F.min("id").alias("class_id")))
     found = classed.join(least, "label").select("id", "class_id").distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id") == F.col("id"), "left")
