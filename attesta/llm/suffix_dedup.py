@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from attesta.llm.session import cut
 SPAN, ANCHOR = 50, 16
 #: Anchors that a string of SPAN bytes has to choose from.
 WINDOW = SPAN - ANCHOR + 1
+#: First bytes that strings are dealt by before they are compared through hashes.
+HEAD = 24
 #: Bytes beside an anchor that a string is sure to have on one side at least.
 SIDE = WINDOW // 2
 #: Text bytes of a group of work at most, about; there are as many groups as shuffle partitions at least.
@@ -152,15 +155,11 @@ def _emitter(buckets: int):
             heads[order[_runs(triple[order])[0]]] = True
             bucket, away = (h % _U(buckets)).astype(np.int32), known & ~heads
             bucket[away] = np.arange(away.sum()) % buckets
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                i = order[cuts[b] : cuts[b + 1]]
-                if len(i):
-                    begin, n = _runs(row[i])
-                    at = row[i[begin]]
-                    cells = _cells(doc=(docs[at], "<i8"), tag=(tags[at], "<i4"), n=(n, "<u4"), h_low=(h[i], "<u4"), h_high=(h[i] >> _U(32), "u1"), left=(left[i], "u1"), right=(right[i], "u1"), at_low=(first[i], "<u2"), at_high=(first[i] >> 16, "<u2"), more=(more[i] + 128 * known[i], "u1"))
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32())} | cells)
+            for b, i in _dealt(bucket):
+                begin, n = _runs(row[i])
+                at = row[i[begin]]
+                cells = _cells(doc=(docs[at], "<i8"), tag=(tags[at], "<i4"), n=(n, "<u4"), h_low=(h[i], "<u4"), h_high=(h[i] >> _U(32), "u1"), left=(left[i], "u1"), right=(right[i], "u1"), at_low=(first[i], "<u2"), at_high=(first[i] >> 16, "<u2"), more=(more[i] + 128 * known[i], "u1"))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32())} | cells)
 
     return run
 
@@ -169,14 +168,26 @@ _REPEATING = "part int, doc binary, tag binary, h binary, first binary, last bin
 
 
 def _part(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (doc.view(np.uint64) % _U(parts)).astype(np.int32)
+    """A hash of each doc_id; ``_part_column`` is the same on Spark's side."""
+    ids, at = np.unique(doc, return_inverse=True)
+    return (np.array([zlib.crc32(str(x).encode()) for x in ids.tolist()], np.int64) % parts).astype(np.int32)[at]
 
 
-def _by_part(part: np.ndarray, parts: int, **columns: tuple[np.ndarray, str]) -> pa.Table:
+def _part_column(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)).cast("int")
+
+
+def _dealt(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place that occurs with the indices of its rows, in order."""
+    order = np.argsort(place, kind="stable")
+    begin, n = _runs(place[order])
+    for b, z in zip(begin.tolist(), n.tolist(), strict=True):
+        yield int(place[order[b]]), order[b : b + z]
+
+
+def _by_part(part: np.ndarray, **columns: tuple[np.ndarray, str]) -> pa.Table:
     """Rows packed by part, one row each."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = [{"part": pa.array([p], pa.int32())} | _cells(**{k: (a[order[cuts[p] : cuts[p + 1]]], t) for k, (a, t) in columns.items()}) for p in range(parts) if cuts[p] < cuts[p + 1]]
+    rows = [{"part": pa.array([p], pa.int32())} | _cells(**{k: (a[i], t) for k, (a, t) in columns.items()}) for p, i in _dealt(part)]
     empty = pa.table({"part": pa.array([], pa.int32())} | {k: pa.array([], pa.binary()) for k in columns})
     return pa.concat_tables([empty, *[pa.table(r) for r in rows]])
 
@@ -194,7 +205,7 @@ def _repeating(parts: int):
         for side in ("left", "right"):
             found |= _shared((h << _U(8)) | _column(group, side, "u1"), doc, known)
         first = (_column(group, "at_high", "<u2").astype(np.int64) << 16) | _column(group, "at_low", "<u2")
-        return _by_part(_part(doc[found], parts), parts, doc=(doc[found], "<i8"), tag=(tag[found], "<i4"), h=(h[found], "<i8"), first=(first[found], "<i4"), last=((first + (more & 127))[found], "<i4"))
+        return _by_part(_part(doc[found], parts), doc=(doc[found], "<i8"), tag=(tag[found], "<i4"), h=(h[found], "<i8"), first=(first[found], "<i4"), last=((first + (more & 127))[found], "<i4"))
 
     return run
 
@@ -225,14 +236,10 @@ def _cutter(buckets: int):
                 least[key[:2]] = key[2]
         known = np.array([least[a, c] < d for a, c, d in zip(h.tolist(), content, doc.tolist(), strict=True)], np.uint8)
         bucket = np.where(known, np.arange(len(h)) % buckets, h % buckets).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows = []
-        for b in range(buckets):
-            i = order[cuts[b] : cuts[b + 1]]
-            if len(i):
-                cells = _cells(h=(h[i], "<i8"), doc=(doc[i], "<i8"), tag=(tag[i], "<i4"), first=(first[i], "<i4"), size=(size[i], "<i4"))
-                rows.append(pa.table({"bucket": pa.array([b], pa.int32())} | cells | {"content": pa.array([b"".join(content[k] for k in i if not known[k])], pa.binary()), "known": pa.array([_bytes(known[i])], pa.binary())}))
+        for b, i in _dealt(bucket):
+            cells = _cells(h=(h[i], "<i8"), doc=(doc[i], "<i8"), tag=(tag[i], "<i4"), first=(first[i], "<i4"), size=(size[i], "<i4"))
+            rows.append(pa.table({"bucket": pa.array([b], pa.int32())} | cells | {"content": pa.array([b"".join(content[k] for k in i if not known[k])], pa.binary()), "known": pa.array([_bytes(known[i])], pa.binary())}))
         empty = pa.table({"bucket": pa.array([], pa.int32())} | {k: pa.array([], pa.binary()) for k in ("h", "doc", "tag", "first", "size", "content", "known")})
         return pa.concat_tables([empty, *rows])
 
@@ -266,10 +273,13 @@ class Suffixes:
     def sort(self, group: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order by group, then string; and whether each in that order differs from the one before.
 
-        A mergesort of all groups at once: runs of doubling length are merged by binary
-        search of each string in the neighbouring run. Strings found equal are
-        compared byte by byte; should a hash have deceived, the bytes are sorted themselves.
+        Strings are dealt by their first HEAD bytes; those that agree so far are mergesorted, all such classes
+        at once: runs of doubling length are merged by binary search of each string in the
+        neighbouring run. Strings found equal are compared byte by byte; should a hash have
+        deceived, the bytes are sorted themselves.
         """
+        if len(size) and size.min() >= HEAD:
+            group = self._headed(group, begin)
         order = np.argsort(group, kind="stable")
         g = group[order]
         new = np.ones(len(g), bool)
@@ -315,6 +325,18 @@ class Suffixes:
                     return self._sort_bytes(group, begin, size)
         return order, differs
 
+    def _headed(self, group: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Rank of each string's group and first HEAD bytes."""
+        head = np.lib.stride_tricks.sliding_window_view(self.data, HEAD)[begin].view(">u8").astype(np.uint64)
+        keys = (*head.T[::-1], group)
+        order = np.lexsort(keys)
+        new = np.zeros(len(order), np.int64)
+        for k in keys:
+            new[1:] |= k[order[1:]] != k[order[:-1]]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+        return rank
+
     def _sort_bytes(self, group: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = [(g, self.data[b : b + s].tobytes()) for g, b, s in zip(group.tolist(), begin.tolist(), size.tolist(), strict=True)]
         order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
@@ -322,14 +344,12 @@ class Suffixes:
 
 
 def _earlier(suffixes: Suffixes, group: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether an equal string of the group stands in a document with a smaller id. Strings whose whole hash is alone have no equal and aren't sorted."""
-    whole = (suffixes.sums[begin + size] - suffixes.sums[begin]) * textops.powers(textops.INVERSE, len(suffixes.sums))[begin]
-    some = np.flatnonzero(_shared(textops.mix(whole ^ textops.mix(group.astype(np.uint64) + size.astype(np.uint64))), doc))
+    """Whether an equal string of the group stands in a document with a smaller id: its neighbours in the sorted order tell."""
     out = np.zeros(len(group), bool)
-    if len(some):
-        order, differs = suffixes.sort(group[some], begin[some], size[some])
-        least = np.minimum.reduceat(doc[some][order], np.flatnonzero(differs))
-        out[some[order]] = least[np.cumsum(differs) - 1] < doc[some][order]
+    if len(group):
+        order, differs = suffixes.sort(group, begin, size)
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(differs))
+        out[order] = least[np.cumsum(differs) - 1] < doc[order]
     return out
 
 
@@ -362,7 +382,7 @@ def _resolved(parts: int):
         owners = np.concatenate([whole, owner[head]])
         start = np.concatenate([first[whole], first[owner[head]] + at[head]])
         stop = np.concatenate([first[whole] + size[whole], first[owner[head]] + at[tail] + SPAN])
-        return _by_part(_part(doc[owners], parts), parts, doc=(doc[owners], "<i8"), tag=(tag[owners], "<i4"), start=(start, "<i4"), stop=(stop, "<i4"))
+        return _by_part(_part(doc[owners], parts), doc=(doc[owners], "<i8"), tag=(tag[owners], "<i4"), start=(start, "<i4"), stop=(stop, "<i4"))
 
     return run
 
@@ -428,20 +448,24 @@ def remove_repeats(documents: DataFrame, carry: list[str] | None = None, whole_c
     total = digests.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
     digests = digests.where(F.col("n") >= SPAN)
-    least = digests.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sha", "least")
+    # Cut, so that adaptive execution can split the largest group of copies over tasks.
+    least = cut(digests.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sha", "least"))
     copies = cut(digests.join(least, "sha").where("doc_id > least").select("doc_id", "tag", "n").distinct())
     ids = copies.select("doc_id", "tag")
     single = named.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "tag"], "left_anti")
     strings = single.select("doc_id", "tag", "text").mapInArrow(_emitter(buckets), _STRINGS)
     repeating = strings.groupBy("bucket").applyInArrow(_repeating(buckets), _REPEATING)
-    part = F.coalesce(F.expr(f"CASE WHEN doc_id >= 0 THEN pmod(doc_id, {buckets}) ELSE pmod(cast(doc_id AS decimal(20,0)) + 18446744073709551616, {buckets}) END"), F.lit(0)).cast("int")
-    parted = rows.withColumn("part", part)
+    parted = named.withColumn("part", _part_column(buckets))
     passages = parted.groupBy("part").cogroup(repeating.groupBy("part")).applyInArrow(_cutter(buckets), _PASSAGES)
     ranges = passages.groupBy("bucket").applyInArrow(_resolved(buckets), _RANGES)
-    whole = copies.withColumn("part", part).select("part", _little_endian("doc_id", 8).alias("doc"), _little_endian("tag", 4).alias("tag"), F.lit(bytes(4)).alias("start"), _little_endian("n", 4).alias("stop"))
+    whole = copies.withColumn("part", _part_column(buckets)).select("part", _little_endian("doc_id", 8).alias("doc"), _little_endian("tag", 4).alias("tag"), F.lit(bytes(4)).alias("start"), _little_endian("n", 4).alias("stop"))
     schema = "doc_id long, tag int, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
     removed = parted.groupBy("part").cogroup(ranges.union(whole).groupBy("part"))
-    return removed.applyInArrow(_remover(whole_characters), schema + (f", rest {dict(rows.dtypes)['rest']}" if carry else ""))
+    removed = removed.applyInArrow(_remover(whole_characters), schema + (f", rest {dict(rows.dtypes)['rest']}" if carry else ""))
+    unnamed = rows.where(F.col("doc_id").isNull())
+    spans = F.array().cast("array<struct<start:long,stop:long>>")
+    unnamed = unnamed.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), spans.alias("spans"), F.encode("text", "UTF-8").alias("kept"), *(["rest"] if carry else []))
+    return removed.unionByName(unnamed)
 
 
 def _little_endian(column: str, width: int) -> Column:
