@@ -46,17 +46,18 @@ def _quantile(upper: float) -> float:
     return lo
 
 
-def calibrate(rows: int, threshold: float = 0.9, recall: float = 0.999, collisions: int = 2) -> Calibration:
+def calibrate(rows: int, threshold: float = 0.9, recall: float = 0.999, collisions: int = 3) -> Calibration:
     """Projections so that a pair at exactly ``threshold`` reaches ``collisions`` with probability ``recall``.
 
     A Gaussian projection of two unit vectors is a pair of standard normals with their
     cosine as correlation, so the chance of a collision (both beyond ``tail`` at the
     same end and within ``window``) does not depend on the data. An end holds about
-    max(256, 2 sqrt(rows)) rows, which balances projecting against comparing.
+    max(256, 2 sqrt(rows)) rows, which balances projecting against comparing. Beyond the tail places fall
+    off as exp(-tail * excess), so a window of 2 / tail leaves out an eighth of an end's unrelated pairs at every size.
     """
     share = min(0.1, max(256.0, 2 * math.sqrt(rows)) / max(rows, 1))
     tail, spread = _quantile(share), math.sqrt(max(1 - threshold**2, 1e-12))
-    window = 3 * math.sqrt(2 * (1 - threshold)) + 1e-9
+    window = 2 / tail
     x = np.linspace(tail, tail + 8, 4001)
     inside = _normal_cdf((x + window - threshold * x) / spread) - _normal_cdf((np.maximum(tail, x - window) - threshold * x) / spread)
     density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * np.maximum(inside, 0)
@@ -97,7 +98,7 @@ def _projector(c: Calibration):
                         ends[row], places[row] = e, v
                 lengths = np.concatenate([[0], np.cumsum([len(e) for e in ends])]).astype(np.int32)
                 listed = lambda parts, kind: pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(parts), kind))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), vectors, listed(ends, pa.int64()), listed(places, pa.float64()).cast(pa.list_(pa.float32()))], ["rep", "copies", "embedding", "ends", "places"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("copies"), vectors, listed(ends, pa.int64()), listed(places, pa.float64()).cast(pa.list_(pa.float32()))], ["node", "copies", "embedding", "ends", "places"])
 
     return run
 
@@ -138,9 +139,9 @@ def _linker(c: Calibration, threshold: float):
         unit = _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(n, -1))
         close = np.concatenate([np.einsum("ij,ij->i", unit[u[i : i + BLOCK * 64]], unit[v[i : i + BLOCK * 64]]) >= threshold for i in range(0, max(len(u), 1), BLOCK * 64)])
         u, v = u[close], v[close]
-        rep, copies = group["rep"].to_numpy(), group["copies"].to_numpy()
+        node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
         links = np.bincount(u, copies[v], n) + np.bincount(v, copies[u], n)
-        root = rep.copy()
+        root = node.copy()
         while True:
             low = np.minimum(root[u], root[v])
             if (root[u] == low).all() and (root[v] == low).all():
@@ -148,7 +149,7 @@ def _linker(c: Calibration, threshold: float):
             np.minimum.at(root, u, low)
             np.minimum.at(root, v, low)
         linked = np.flatnonzero(links)
-        return pa.Table.from_pydict({"rep": rep[linked], "links": links[linked].astype(np.int64), "root": root[linked]})
+        return pa.Table.from_pydict({"node": node[linked], "links": links[linked].astype(np.int64), "root": root[linked]})
 
     return run
 
@@ -162,7 +163,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: f
     is the row's own. Rows that are null, empty or zero, or hold null or non-finite
     components, link with nothing, as do rows without vec_id (their component_id is
     null, and they are kept). Vectors of different lengths don't link. Repeated rows
-    link like any other copies. Further columns are ignored.
+    link like any other copies; rows that share a vec_id but not a vector each have the links of their
+    own vector. Further columns are ignored, an empty table gives an empty result.
 
     Equal vectors are first folded into one with a count, so groups of exact copies cost
     nothing further. Each distinct vector is projected on Gaussian directions and keeps the ends
@@ -178,20 +180,22 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: f
     own = vectors.select("vec_id", "embedding")
     fit = F.coalesce(F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     fit_rows = own.where(fit)
-    reps = cut(fit_rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    reps = cut(fit_rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))).withColumn("node", F.monotonically_increasing_id())
     c = calibrate(reps.count(), threshold, recall)
-    tails = cut(reps.select("rep", "copies", "embedding").mapInArrow(_projector(c), f"rep long, copies long, embedding {kind}, ends array<long>, places array<float>"))
+    tails = cut(reps.select("node", "copies", "embedding").mapInArrow(_projector(c), f"node long, copies long, embedding {kind}, ends array<long>, places array<float>"))
     full = cut(tails.select(F.explode("ends").alias("end")).groupBy("end").count().where(F.col("count") > BLOCK).select("end", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     if full.count() <= BROADCAST_ENDS:
         full = F.broadcast(full)
     spread = tails.withColumn("end", F.explode("ends")).join(full, "end", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.withColumn("side", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "blocks")
-    found = cut(spread.groupBy("end", "low", "high").applyInArrow(_linker(c, threshold), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
-    known = reps.join(links, "rep", "left").join(components, "rep", "left")
-    known = known.select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    found = cut(spread.groupBy("end", "low", "high").applyInArrow(_linker(c, threshold), "node long, links long, root long"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    components = connected_components(found, "node", "root")
+    classed = cut(reps.join(links, "node", "left").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = cut(classed.groupBy("component").agg(F.min("rep").alias("component_id")))
+    # Both sides cut, so that adaptive execution can split a large class or group of copies over tasks.
+    known = cut(classed.join(least, "component").select("embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))
     linked = fit_rows.join(known, "embedding").select("vec_id", "n_links", "component_id")
     alone = own.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips, held-out accuracy, SQL and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -100,9 +101,35 @@ def test_vectors_against_brute_force(spark):
     assert embedding_dedup.near_duplicate_vectors(df.where("vec_id IS NULL OR vec_id < 1").withColumn("vec_id", F.lit(None).cast("long"))).collect()[0].kept
 
 
-def test_calibration_is_honest():
+def test_vectors_that_share_an_id(spark):
+    """Rows with one vec_id and different vectors keep their own links."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0]), (4, [0.0, 3.0])]
+    got = sorted((r.vec_id, r.n_links) for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (3, 2), (4, 2)]
+
+
+@pytest.mark.parametrize("n, dims, block", [(1500, 24, 64), (6000, 64, 1024)])
+def test_recall_of_links(spark, monkeypatch, n, dims, block):
+    """Clusters around the threshold, a tenth of the rows in one of them, ends split into blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(n)
+    centre = rng.standard_normal((n // 20, dims))
+    which = np.where(rng.random(n) < 0.1, 0, rng.integers(0, n // 20, n))
+    x = np.float32(centre[which] + rng.standard_normal((n, dims)) * rng.choice([0.1, 0.25, 0.4], n)[:, None])
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    n_links = np.array([got[i] for i in range(n)])
+    assert (n_links <= want + 1e-9).all() and want.sum() > n and n_links.sum() >= 0.99 * want.sum()
+
+
+@pytest.mark.parametrize("rows", [3000, 10**6, 10**8])
+def test_calibration_is_honest(rows):
     rng = np.random.default_rng(0)
-    c = embedding_dedup.calibrate(3000, 0.9, 0.99)
+    c = embedding_dedup.calibrate(rows, 0.9, 0.99)
+    if rows > 3000:  # the window binds at every size: a share of unrelated pairs of an end lies outside
+        assert 0.1 < math.exp(-c.tail * c.window) < 0.2 and c.collisions > 2
+        return
     hits = 0
     for _ in range(400):
         u = rng.standard_normal(32)
