@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import heapq
-import re
-import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +17,14 @@ from attesta.llm import textops
 SPACE = "▁"
 #: Stands for a word mark that is part of the text itself; as a lone surrogate it occurs in no text.
 LITERAL = "\ud881"
-#: Segmentations a text can get by default; the variant is a hash of its doc_id and the seed.
-VARIANTS = 4
-#: Merges without skips that a Python worker remembers; and bytes of text segmented at once.
-STEPS, WALKED = 1_000_000, 1 << 19
-#: Pre-tokens whose ids a Python worker remembers; bounds its memory.
-REMEMBERED = 600_000
+#: Bytes of text segmented at once.
+WALKED = 1 << 20
 #: Longest pre-token segmented in bulk; longer ones go through a heap, one by one.
 BULK = 48
-_PARTS = re.compile(f"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*")
+#: Text that a model with a normaliser of its own would change.
+_PROBE = "  ﬁ Å A\u030a\tb\n c  ２ ς "
 _NONE = np.iinfo(np.int32).max
+_WORD = 2**64 - 1
 
 
 class MergeModel:
@@ -40,6 +35,8 @@ class MergeModel:
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.ids = {model.id_to_piece(i): i for i in plain}
+        if model.normalize(_PROBE) != SPACE + _PROBE.replace(" ", SPACE):
+            raise ValueError("the model changes texts before it cuts them, so ids would not decode to the text")
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("pieces cross word marks or line breaks; pre-tokens of this model are not independent")
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -49,10 +46,13 @@ class MergeModel:
         for b, i in enumerate(self.byte_ids):
             self.bytes[i] = bytes([b])
         # Characters without a piece of their own are symbols from n on; they end up as bytes.
-        self.symbols = dict(self.ids)
+        self.symbols = dict(self.ids)  # symbol of each piece and character
         for c in sorted({c for p in self.ids for c in p}):
             self.symbols.setdefault(c, n + len(self.symbols))
-        self.unknown = n + len(self.symbols)
+        #: Symbol of each code point; one without a symbol is unknown, and its place says which it is.
+        self.of_code = np.full(0x110000, n + len(self.symbols), np.int64)
+        single = {ord(p): i for p, i in self.symbols.items() if len(p) == 1}
+        self.of_code[list(single)] = list(single.values())
         merges = [(self.symbols[p[:k]], self.symbols[p[k:]], i, model.get_score(i)) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.symbols and p[k:] in self.symbols]
         order = {s: r for r, s in enumerate(sorted({m[3] for m in merges}, reverse=True))}
         self.merges = {(left, right): (order[s], i) for left, right, i, s in merges}
@@ -65,10 +65,6 @@ class MergeModel:
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where(self._keys[at] == key, self._ranks[at], _NONE), self._merged[at]
 
-    def start(self, part: str) -> list[int]:
-        """Symbols of a pre-token's characters; one without a symbol is unknown (and its place says which it is)."""
-        return [self.symbols.get(c, self.unknown) for c in part]
-
 
 def skipped(word: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, rate: float) -> np.ndarray:
     """Whether the candidate merge of ``left`` at character ``at`` with ``right`` is dropped: a hash under the word's key."""
@@ -76,22 +72,30 @@ def skipped(word: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarra
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53 < rate
 
 
-def word_keys(parts: list[str], seed: int, variant: int) -> np.ndarray:
-    raw = np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) for p in parts], np.uint64)
-    return textops.mix(raw ^ textops.mix(np.full(1, (seed << 16 ^ variant) % 2**64, np.uint64)))
+def _skipped_one(word: int, at: int, left: int, right: int, rate: float) -> bool:
+    """The same for one candidate."""
+    return (_mixed(word ^ _mixed(at << 40 ^ left << 20 ^ right)) >> 11) * 2.0**-53 < rate
+
+
+def _mixed(x: int) -> int:
+    """``textops.mix`` of one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _WORD
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _WORD
+    return x ^ x >> 31
 
 
-def _one(model: MergeModel, part: str, key: np.ndarray, rate: float) -> tuple[list[int], list[int]]:
-    """Agenda of one pre-token as a heap: symbols and the characters they start at."""
-    symbols, n = model.start(part), len(part)
+def _one(model: MergeModel, symbols: list[int], key: int, rate: float) -> tuple[list[int], list[int]]:
+    """Agenda of one pre-token's symbols as a heap: symbols and the characters they start at."""
+    n = len(symbols)
     right, left = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda: list[tuple[int, int, int, int, int]] = []
 
     def offer(i: int) -> None:
         j = right[i] if i >= 0 else n
         if i >= 0 and j < n and (found := model.merges.get((symbols[i], symbols[j]))):
-            one = lambda x: np.array([x], np.int64)
-            if not skipped(key, one(i), one(symbols[i]), one(symbols[j]), rate)[0]:
+            if not _skipped_one(key, i, symbols[i], symbols[j], rate):
                 heapq.heappush(agenda, (found[0], i, symbols[i], symbols[j], found[1]))
 
     for i in range(n):
@@ -110,13 +114,13 @@ def _one(model: MergeModel, part: str, key: np.ndarray, rate: float) -> tuple[li
     return [symbols[i] for i in kept], kept
 
 
-def _bulk(model: MergeModel, parts: list[str], keys: np.ndarray, rate: float) -> Iterator[tuple[list[int], list[int]]]:
-    """Agendas of many pre-tokens at once: in each round every one makes its best merge left."""
-    sizes = np.array([len(p) for p in parts])
-    wide = int(sizes.max())
-    symbols = np.full((len(parts), wide + 1), -1, np.int64)
-    symbols[np.arange(wide + 1) < sizes[:, None]] = [s for p in parts for s in model.start(p)]
-    places = np.broadcast_to(np.arange(wide + 1), symbols.shape).copy()
+def _bulk(model: MergeModel, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Agendas of many pre-tokens at once, a row of ``symbols`` each: in each round every one makes its best merge left.
+
+    Gives the symbols left and the characters they start at; -1 fills the rows.
+    """
+    wide = symbols.shape[1] - 1
+    places = np.broadcast_to(np.arange(wide + 1, dtype=np.int32), symbols.shape).copy()
 
     def rank(row: np.ndarray, at: np.ndarray) -> np.ndarray:
         a, b = symbols[row, at], symbols[row, at + 1]
@@ -130,15 +134,15 @@ def _bulk(model: MergeModel, parts: list[str], keys: np.ndarray, rate: float) ->
         return ranks
 
     rows, columns = np.nonzero(np.arange(wide) < sizes[:, None] - 1)
-    ranks = np.full((len(parts), wide + 1), _NONE, np.int32)
+    ranks = np.full(symbols.shape, _NONE, np.int32)
     ranks[rows, columns] = rank(rows, columns)
-    active = np.arange(len(parts))
+    active = np.arange(len(symbols))
     while True:
         best = ranks[active].argmin(axis=1)
         more = ranks[active, best] != _NONE
         active, best = active[more], best[more]
         if not len(active):
-            break
+            return symbols, places
         symbols[active, best] = model.look_up(symbols[active, best], symbols[active, best + 1])[1]
         source = np.minimum(np.arange(wide + 1) + (np.arange(wide + 1) > best[:, None]), wide)
         for m in (symbols, places, ranks):
@@ -147,81 +151,43 @@ def _bulk(model: MergeModel, parts: list[str], keys: np.ndarray, rate: float) ->
         ranks[active, best] = rank(active, best)
         inner = best > 0
         ranks[active[inner], best[inner] - 1] = rank(active[inner], best[inner] - 1)
-    for s, p, size in zip(symbols.tolist(), places.tolist(), (symbols >= 0).sum(axis=1).tolist(), strict=True):
-        yield s[:size], p[:size]
-
-
-def segment(model: MergeModel, parts: list[str], seed: int, variant: int, rate: float) -> list[bytes]:
-    """Ids of each pre-token as little-endian unsigned 32-bit."""
-    return _under(model, parts, word_keys(parts, seed, variant), rate)
-
-
-def _under(model: MergeModel, parts: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
-    """Ids of each pre-token under its own key."""
-    out = [b""] * len(parts)
-    lengths = np.array([len(p) for p in parts])
-    for lo, hi in ((0, 8), (8, 14), (14, 24), (24, BULK)):
-        some = np.flatnonzero((lengths > lo) & (lengths <= hi)).tolist()
-        for i in range(0, len(some), 8000):
-            chunk = some[i : i + 8000]
-            for k, found in zip(chunk, _bulk(model, [parts[k] for k in chunk], keys[chunk], rate), strict=True):
-                out[k] = _ids(model, parts[k], *found)
-    for k in np.flatnonzero(lengths > BULK).tolist():
-        out[k] = _ids(model, parts[k], *_one(model, parts[k], keys[k : k + 1], rate))
-    return out
 
 
-class Paths:
-    """Merges that the agendas of pre-tokens make when none is skipped, remembered for all keys.
-
-    Where a key skips none of these, what it skips besides would never have been made, so the ids are
-    those without skips. Other occurrences go through their agenda under their own key.
-    """
-
-    def __init__(self, model: MergeModel):
-        self.model = model
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.steps: list[tuple[int, int, int]] = []
-        self.first = [0]
-
-    def _add(self, part: str) -> None:
-        symbols, places = self.model.start(part), list(range(len(part)))
-        merges = [self.model.merges.get(pair) for pair in zip(symbols, symbols[1:], strict=False)]
-        while made := [(m[0], i) for i, m in enumerate(merges) if m]:
-            i = min(made)[1]
-            self.steps.append((places[i], symbols[i], symbols[i + 1]))
-            symbols[i : i + 2] = [merges[i][1]]
-            del places[i + 1], merges[i]
-            for j in (i - 1, i):
-                if 0 <= j < len(merges):
-                    merges[j] = self.model.merges.get((symbols[j], symbols[j + 1]))
-        self.known[part] = len(self.ids)
-        self.ids.append(_ids(self.model, part, symbols, places))
-        self.first.append(len(self.steps))
-
-    def segment(self, parts: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
-        """Ids of each pre-token under its own key."""
-        if len(self.steps) > STEPS:
-            self._clear()
-        for p in set(parts).difference(self.known):
-            if len(p) <= BULK:
-                self._add(p)
-        at = np.fromiter((self.known.get(p, -1) for p in parts), np.int64, len(parts))
-        first, steps = np.array(self.first), np.array(self.steps, np.int64).reshape(-1, 3)
-        size = np.where(at >= 0, first[at + 1] - first[at], 0)
-        owner = np.repeat(np.arange(len(parts)), size)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + first[at[owner]]
-        other = at < 0
-        other[owner[skipped(keys[owner], *steps[step].T, rate)]] = True
-        rest = np.flatnonzero(other)
-        out = [self.ids[k] if k >= 0 else b"" for k in at.tolist()]
-        for k, ids in zip(rest.tolist(), _under(self.model, [parts[k] for k in rest.tolist()], keys[rest], rate) if len(rest) else [], strict=True):
-            out[k] = ids
-        return out
+def segment(model: MergeModel, codes: np.ndarray, starts: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pre-tokens in turn, and where each one's begin (with the end). A pre-token goes from its start in ``codes`` to the next one's."""
+    sizes = np.diff(np.append(starts, len(codes)))
+    symbols = model.of_code[codes]
+    most = np.full(len(codes), -1, np.int64)  # symbols left, each at its first character; -1 where it was merged
+    order = np.argsort(sizes, kind="stable")
+    order = order[: np.searchsorted(sizes[order], BULK, "right")]
+    for i in range(0, len(order), 8000):
+        k = order[i : i + 8000]
+        wide = int(sizes[k[-1]]) + 1
+        inside = np.arange(wide) < sizes[k, None]
+        at = starts[k, None] + np.arange(wide)
+        left, places = _bulk(model, np.where(inside, symbols[np.minimum(at, len(codes) - 1)], -1), sizes[k], keys[k], rate)
+        row, column = np.nonzero(left >= 0)
+        most[starts[k[row]] + places[row, column]] = left[row, column]
+    for k in np.flatnonzero(sizes > BULK).tolist():
+        found, places = _one(model, symbols[starts[k] : starts[k] + sizes[k]].tolist(), int(keys[k]), rate)
+        most[starts[k] + np.array(places)] = found
+    return _spelled(model, codes, starts, most)
+
+
+def _spelled(model: MergeModel, codes: np.ndarray, starts: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols as ids; a character without a piece becomes its bytes."""
+    at = np.flatnonzero(most >= 0)
+    symbol = most[at]
+    odd = np.flatnonzero(symbol >= len(model.bytes))
+    count = np.ones(len(at), np.int64)
+    characters, which = np.unique(codes[at[odd]], return_inverse=True)
+    spelled = [[model.byte_ids[b] for b in (SPACE if chr(c) == LITERAL else chr(c)).encode()] for c in characters.tolist()]
+    count[odd] = np.array([len(x) for x in spelled], np.int64)[which] if len(odd) else 0
+    begin = np.concatenate([[0], np.cumsum(count)])
+    ids = np.repeat(symbol, count).astype("<u4")
+    for c, x in enumerate(spelled):
+        ids[begin[odd[which == c]][:, None] + np.arange(len(x))] = x
+    return ids, begin[np.searchsorted(at, np.append(starts, len(codes)))]
 
 
 def occurrence_keys(texts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -230,85 +196,58 @@ def occurrence_keys(texts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return textops.mix(np.repeat(texts, sizes) ^ textops.mix(at.astype(np.uint64)))
 
 
-def _ids(model: MergeModel, part: str, symbols: list[int], places: list[int]) -> bytes:
-    n = len(model.bytes)
-    if max(symbols) >= n:
-        spelled = []
-        for s, p in zip(symbols, places, strict=True):
-            spelled += [s] if s < n else [model.byte_ids[b] for b in (SPACE if part[p] == LITERAL else part[p]).encode()]
-        symbols = spelled
-    return np.array(symbols, "<u4").tobytes()
+def pre_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, where pre-tokens start, and how many each text has.
 
-
-def pre_tokens(text: str) -> list[str]:
-    """Parts of a text that merges never join: runs of word marks or a line break, with what follows. The text gets a mark in front."""
-    return _PARTS.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE)) if text else []
+    Pre-tokens are parts that merges never join: a run of word marks or a line break, with what follows. A text gets a mark in front.
+    """
+    marked = [SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE) if t else "" for t in texts]
+    ends = np.cumsum([len(m) for m in marked])
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")
+    mark = codes == ord(SPACE)
+    start = mark | (codes == ord("\n"))
+    start[1:] &= ~(mark[1:] & mark[:-1])
+    start[ends[:-1][ends[:-1] < len(codes)]] = True
+    starts = np.flatnonzero(start)
+    return codes, starts, np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
 
 
 _models: dict[str, MergeModel] = {}
-_known: dict[tuple, dict[str, bytes]] = {}
-_paths: dict[str, Paths] = {}
 
 
 def _model(path: str) -> MergeModel:
     return _models.get(path) or _models.setdefault(path, MergeModel(path))
 
 
-def encode_with_dropout(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 11, variants: int | None = VARIANTS) -> DataFrame:
+def encode_with_dropout(documents: DataFrame, model_path: str, rate: float = 0.1, seed: int = 11) -> DataFrame:
     """doc_id, variant (int), n_bytes (long) and ids (binary, little-endian unsigned 32-bit) for each row of ``documents`` (doc_id, text).
 
     Ids are those of the SentencePiece BPE model, but a candidate merge is skipped with
-    probability ``rate``: when a hash keyed by seed, variant, pre-token, place and the two
-    symbols says so. With rate 0 they are the library's own. A text's variant is a hash of
-    doc_id and seed, so equal texts differ between variants, and runs agree. Characters without
-    a piece become bytes, as does a word mark in the text itself, so ``decode`` gives the text
-    back. A null or empty text has no ids. Rows with null or repeated doc_id are encoded like
-    others; further columns are ignored. Each distinct pre-token of a variant is segmented
-    once while a worker remembers it. There is no shuffle.
-
-    With ``variants`` None the hash is keyed by seed, doc_id and the pre-token's place in the text
-    instead, so every document and every occurrence is segmented on its own; ``variant``
-    then is the upper half of the 64-bit hash of doc_id and seed. A worker remembers
-    the merges made without skips, and uses them where an occurrence skips none. Only rows with the same
-    doc_id (or none) and text are encoded alike, as nothing tells them apart.
+    probability ``rate``: when a hash keyed by seed, doc_id, the pre-token's place in the text,
+    the candidate's place in it and the two symbols says so. So every document and every occurrence is
+    segmented on its own, and runs agree. With rate 0 ids are the library's own. ``variant`` is the upper half
+    of the 64-bit hash of doc_id and seed. Only rows with the same doc_id (or none) and text are encoded
+    alike, as nothing tells them apart. Characters without a piece become bytes, as does a word mark in
+    the text itself, so ``decode`` gives the text back. A null or empty text has no ids. Rows
+    with null or repeated doc_id are encoded like others; further columns are ignored, an empty table
+    gives an empty one. There is no shuffle; agendas of many pre-tokens are processed at once, whatever the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
-        for whole in batches:
-            _, offsets = textops.buffers(whole.column(2))
-            for i, j in textops.slices(offsets):
-                batch = whole.slice(i, j - i)
-                split = [(v, pre_tokens(t or "")) for v, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                if sum(map(len, _known.values())) > REMEMBERED:
-                    _known.clear()
-                for v in {v for v, _ in split}:
-                    known = _known.setdefault((model_path, rate, seed, v), {})
-                    if new := list(set().union(*(p for x, p in split if x == v)).difference(known)):
-                        known.update(zip(new, segment(model, new, seed, v, rate), strict=True))
-                ids = [b"".join(map(_known[model_path, rate, seed, v].__getitem__, p)) for v, p in split]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets[i : j + 1]), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "variant", "n_bytes", "ids"])
-
-    def run_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(model_path)
-        paths = _paths.get(model_path) or _paths.setdefault(model_path, Paths(model))
         for whole in batches:
             _, offsets = textops.buffers(whole.column(2))
             for i, j in textops.slices(offsets, WALKED):
                 batch = whole.slice(i, j - i)
-                split = [pre_tokens(t or "") for t in batch.column(2).to_pylist()]
-                keys, sizes = batch.column(1).to_numpy(), np.array([len(p) for p in split], np.int64)
-                found = paths.segment(list(chain.from_iterable(split)), occurrence_keys(keys.view(np.uint64), sizes), rate)
-                ends = np.cumsum(sizes).tolist()
-                ids = [b"".join(found[b - n : b]) for b, n in zip(ends, sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys >> 32, pa.int32()), pa.array(np.diff(offsets[i : j + 1]), pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "variant", "n_bytes", "ids"])
-
-    kind = dict(documents.dtypes)["doc_id"]
-    if variants is None:
-        rows = documents.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("key"), "text")
-        return rows.mapInArrow(run_each, f"doc_id {kind}, variant int, n_bytes long, ids binary")
-    rows = documents.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)).cast("int").alias("variant"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, variant int, n_bytes long, ids binary")
+                codes, starts, sizes = pre_tokens(batch.column(2).to_pylist())
+                keys = batch.column(1).to_numpy()
+                ids, begin = segment(model, codes, starts, occurrence_keys(keys.view(np.uint64), sizes), rate)
+                ends = begin[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+                cells = pa.array([ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys >> 32, pa.int32()), pa.array(np.diff(offsets[i : j + 1]), pa.int64()), cells], ["doc_id", "variant", "n_bytes", "ids"])
+
+    rows = documents.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("key"), "text")
+    return rows.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, variant int, n_bytes long, ids binary")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -156,33 +156,8 @@ def test_preferences(spark):
     assert preference.format_preferences(df.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
-def test_merge_dropout(spark, docs, texts, edges, empty):
-    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    plain = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in merge_dropout.encode_with_dropout(docs, PIECES, rate=0.0).collect()}
-    assert plain == {k: sp.encode(v) for k, v in texts.items()}
-    encoded = merge_dropout.encode_with_dropout(docs, PIECES)
-    back = {r.doc_id: r for r in merge_dropout.decode(encoded, PIECES).collect()}
-    assert {k: r.text for k, r in back.items()} == texts
-    assert 1.02 < sum(len(r.ids) / 4 for r in back.values()) / sum(map(len, plain.values())) < 1.2
-    assert [r.ids for r in encoded.orderBy("doc_id").collect()] == [r.ids for r in encoded.repartition(3).orderBy("doc_id").collect()]
-    same = spark.createDataFrame([(i, "international relations of the provinces") for i in range(64)], "doc_id long, text string")
-    assert 1 < len({bytes(r.ids) for r in merge_dropout.encode_with_dropout(same, PIECES, rate=0.3).collect()}) <= merge_dropout.VARIANTS
-    odd = merge_dropout.decode(merge_dropout.encode_with_dropout(edges, PIECES, rate=0.3), PIECES).collect()
-    assert Counter((r.doc_id, r.text) for r in odd) == Counter((e[0], e[1] or "") for e in EDGES)
-    assert merge_dropout.encode_with_dropout(empty, PIECES).count() == 0
-
-
-def test_bulk_and_heap_agree():
-    model, rng = merge_dropout.MergeModel(PIECES), random.Random(2)
-    parts = list({"▁" + "".join(rng.choices("thereinanodsx日é", k=rng.randint(1, 40))) for _ in range(400)})
-    keys = merge_dropout.word_keys(parts, 11, 1)
-    for rate in (0.0, 0.2):
-        many = merge_dropout.segment(model, parts, 11, 1, rate)
-        assert many == [merge_dropout._ids(model, p, *merge_dropout._one(model, p, keys[i : i + 1], rate)) for i, p in enumerate(parts)]
-
-
 def test_merge_dropout_of_each_occurrence(spark, docs, texts, edges, empty):
-    each = lambda df, **k: merge_dropout.encode_with_dropout(df, PIECES, variants=None, **k)
+    each = lambda df, **k: merge_dropout.encode_with_dropout(df, PIECES, **k)
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     plain = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in each(docs, rate=0.0).collect()}
     assert plain == {k: sp.encode(v) for k, v in texts.items()}
@@ -207,17 +182,52 @@ def test_merge_dropout_of_each_occurrence(spark, docs, texts, edges, empty):
     assert len({r.ids_crc32 for r in queries.op3_merge_dropout(spark, DATA).where("n_bytes > 0").collect()}) > 100
 
 
-def test_paths_and_heap_agree(monkeypatch):
+def _segmented(model, parts, keys, rate):
+    codes, starts, _ = merge_dropout.pre_tokens(["".join(parts)[1:].replace("▁", " ")])
+    ids, begin = merge_dropout.segment(model, codes, starts, keys, rate)
+    return [ids[a:b].tolist() for a, b in zip(begin, begin[1:])]
+
+
+def _random_words(rng, n, most, letters="thereinanodsx日é"):
+    return ["▁" + "".join(rng.choices(letters, k=rng.randint(1, most))) for _ in range(n)] + ["▁international", "▁the", "\n"] * 30
+
+
+def test_bulk_and_heap_agree(monkeypatch):
     model, rng = merge_dropout.MergeModel(PIECES), random.Random(2)
-    parts = ["▁" + "".join(rng.choices("thereinanodsx日é", k=rng.randint(1, 60))) for _ in range(300)]
-    parts += ["▁international", "▁the", "\n"] * 100
-    keys = merge_dropout.occurrence_keys(np.arange(3, dtype=np.uint64), np.array([200, 0, 400]))
-    assert len(set(keys.tolist())) == 600
-    monkeypatch.setattr(merge_dropout, "STEPS", 2000)
-    paths = merge_dropout.Paths(model)
-    for rate in (0.0, 0.2, 0.5, 0.2):
-        want = [merge_dropout._ids(model, p, *merge_dropout._one(model, p, keys[i : i + 1], rate)) for i, p in enumerate(parts)]
-        assert paths.segment(parts, keys, rate) == want
+    parts = _random_words(rng, 400, 60)
+    keys = merge_dropout.occurrence_keys(np.arange(3, dtype=np.uint64), np.array([200, 0, 290]))
+    assert len(set(keys.tolist())) == 490
+    for rate in (0.0, 0.2, 0.5):
+        many = _segmented(model, parts, keys, rate)
+        with monkeypatch.context() as m:
+            m.setattr(merge_dropout, "BULK", 0)
+            assert many == _segmented(model, parts, keys, rate)
+
+
+def _naive(model, part, key, rate):
+    """Merge-dropout as it is told: while a candidate is left, the best one (leftmost of equals) is made, or dropped for good."""
+    symbols, dropped = [(c, i) for i, c in enumerate(model.of_code[[ord(c) for c in part]].tolist())], set()
+    while True:
+        pairs = [(*model.merges[a, b], i) for i, ((a, p), (b, _)) in enumerate(zip(symbols, symbols[1:])) if (a, b) in model.merges and (p, a, b) not in dropped]
+        if not pairs:
+            return [s for s, _ in symbols]
+        _, merged, i = min(pairs, key=lambda x: (x[0], x[2]))
+        (a, p), (b, _) = symbols[i : i + 2]
+        if merge_dropout.skipped(np.array([key], np.uint64), *(np.array([x], np.int64) for x in (p, a, b)), rate)[0]:
+            dropped.add((p, a, b))
+        else:
+            symbols[i : i + 2] = [(merged, p)]
+
+
+def test_dropout_against_naive_segmentation():
+    model, rng = merge_dropout.MergeModel(PIECES), random.Random(3)
+    parts = _random_words(rng, 200, 14, "thereinandosx") * 2
+    keys = merge_dropout.occurrence_keys(np.arange(2, dtype=np.uint64), np.array([150, 430]))
+    for rate in (0.1, 0.4):
+        for part, key, ids in zip(parts, keys.tolist(), _segmented(model, parts, keys, rate), strict=True):
+            want = _naive(model, part, key, rate)
+            if max(want) < len(model.bytes):
+                assert ids == want
 
 
 def test_token_counts(docs, texts, edges, empty):
