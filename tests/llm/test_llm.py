@@ -234,9 +234,12 @@ def test_token_counts(docs, texts, edges, empty):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, PIECES).collect()}
     assert got == {k: (len(v.encode()), n := len(sp.encode(v)), n > 4096) for k, v in texts.items()}
-    counts = Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(edges, PIECES).collect())
-    assert counts == Counter((e[0], len(sp.encode(e[1] or ""))) for e in EDGES)
-    assert token_counts.count_tokens(empty, PIECES).count() == 0
+    for frequent in (0, 100, token_counts.FREQUENT):  # all joined, some, none
+        counts = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(edges, PIECES, frequent=frequent).collect())
+        assert counts == Counter((e[0], len((e[1] or "").encode()), len(sp.encode(e[1] or ""))) for e in EDGES)
+        assert token_counts.count_tokens(empty, PIECES, frequent=frequent).count() == 0
+    some = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, PIECES, frequent=2000).collect()}
+    assert some == {k: v[1] for k, v in got.items()}
 
 
 def test_packing(docs, texts, edges, empty):
