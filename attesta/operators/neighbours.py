@@ -1,10 +1,10 @@
-"""Nearest and second nearest neighbour of every vector, exactly, in blocks."""
+"""Neighbours: names that contain a name, and the nearest and second nearest of every vector."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block, each of which meets every other once; rows of a strip of one comparison.
@@ -12,6 +12,34 @@ BLOCK_ROWS, STRIP_ROWS = 4096, 512
 #: Neighbours of a strip that are measured again by their differences.
 NEAREST = 8
 _NEAR = "rep long, near long, d double"
+#: Letters of the runs through which names meet.
+GRAM = 3
+
+
+def _grams(name: Column, size: Column) -> Column:
+    """Distinct runs of ``size`` letters of a name."""
+    last = F.length(name) - size + 1
+    places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(name, i, size)))
+
+
+def containing(rows: DataFrame, name: str, listed: DataFrame, listed_name: str) -> DataFrame:
+    """Each pair of a row and a listed one whose name contains the row's, in any case: both sides' columns (their names differ).
+
+    Null and blank names match nothing. A name holds every run of letters that a name inside it has, so
+    a row need only meet the listed names that have its rarest run of three letters (a shorter name is its
+    own run); a row with a run that no listed name has meets none. So common words bring few pairs together.
+    """
+    small = F.lower(name)
+    asked = rows.where(F.trim(name) != "").withColumn("__row", F.struct(*rows.columns))
+    asked = asked.select("__row", small.alias("__name"), F.explode(_grams(small, F.least(F.lit(GRAM), F.length(name)))).alias("__gram"))
+    whole = F.lower(listed_name)
+    runs = F.array_union(F.array_union(_grams(whole, F.lit(1)), _grams(whole, F.lit(2))), _grams(whole, F.lit(GRAM)))
+    held = listed.select(F.struct(*listed.columns).alias("__listed"), whole.alias("__whole"), F.explode(runs).alias("__gram"))
+    often = held.groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = asked.join(often, "__gram", "left").groupBy("__row", "__name").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__least"))
+    met = rarest.select("__row", "__name", F.col("__least.__gram").alias("__gram")).join(held, "__gram")
+    return met.where(F.contains("__whole", "__name")).select("__row.*", "__listed.*")
 
 
 def _pack(group: pa.Table) -> pa.Table:
