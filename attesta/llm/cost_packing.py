@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -23,6 +24,9 @@ SHARD_TOKENS = 2_000_000
 REMEMBERED = 800_000
 #: White space for Python only, and a letter whose lower case depends on its place: a text with one goes to the library whole.
 _ODD = "\x1c\x1d\x1e\x1f\x85\u03a3"
+#: The rules of a tokenizer file under which a text's ids are those of its lower-cased words. Files with others go to the library whole.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: A stop or comma that may go on a run of signs.
 _PAIR = re.compile(r"[^\w\s][.,]|_[.,]|[.,](?=[^\sa-z0-9])")
 
@@ -45,6 +49,9 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.by_words = (rules["normalizer"] or {}).get("normalizers") == _NORMALIZER and ((rules["pre_tokenizer"] or {}).get("pretokenizers") or [None])[0] == _SPLIT and rules["model"].get("end_of_word_suffix") == "</w>"
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
@@ -70,7 +77,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         small = text.lower()
-        if any(s in text for s in self.special) or any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", small):
+        if not self.by_words or any(s in text for s in self.special) or any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", small):
             return self._ids(text).tobytes()
         if not _PAIR.search(small):  # then stops and commas stand alone
             small = small.replace(",", " ,").replace(".", " .")
@@ -169,6 +176,8 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     n_bytes = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = 1 + int(n_bytes / 2.7 / SHARD_TOKENS)
     kind = dict(documents.dtypes)["doc_id"]
-    dealt = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "text")
+    # Rows without doc_id are dealt by their texts, so that they don't meet in one shard.
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    dealt = documents.select(F.pmod(key, F.lit(shards)).alias("shard"), "doc_id", "text")
     encoded = dealt.mapInArrow(_encoder(tokenizer_path, end), f"shard long, doc_id {kind}, width int, ids binary")
     return encoded.groupBy("shard").applyInArrow(_packer(capacity, linear, quadratic), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

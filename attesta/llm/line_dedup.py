@@ -45,13 +45,17 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     there are few, else joined by host, where adaptive execution splits a hot host.
     """
     found = cut(boilerplate_lines(pages, host, text, ratio, least_pages))
-    per_host = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("key").alias("__keys"))
+    mark = "__"
+    while any(c.startswith(mark) for c in pages.columns):  # names of its own, whatever the columns are called
+        mark += "_"
+    host_, keys, lines, left = (mark + c for c in ("host", "keys", "lines", "kept"))
+    per_host = found.groupBy(F.col("host").alias(host_)).agg(F.collect_list("key").alias(keys))
     if found.count() <= BROADCAST_LINES:
         per_host = F.broadcast(per_host)
     rows = pages.drop(*[c for c in ("n_lines", "n_dropped") if c in pages.columns])
     columns = [F.col(c) for c in rows.columns]
-    joined = rows.join(per_host, F.col(host).eqNullSafe(F.col("__host")), "left").withColumn("__lines", F.split(text, "\n"))
-    kept = F.when(F.col("__keys").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x: ~F.array_contains(F.col("__keys"), _key(x))))
-    joined = joined.withColumn("__kept", kept)
+    joined = rows.join(per_host, F.col(host).eqNullSafe(F.col(host_)), "left").withColumn(lines, F.split(text, "\n"))
+    kept = F.when(F.col(keys).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(keys), _key(x))))
+    joined = joined.withColumn(left, kept)
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    return joined.withColumn(text, F.array_join("__kept", "\n")).select(*columns, size("__lines").alias("n_lines"), (size("__lines") - size("__kept")).alias("n_dropped"))
+    return joined.withColumn(text, F.array_join(left, "\n")).select(*columns, size(lines).alias("n_lines"), (size(lines) - size(left)).alias("n_dropped"))

@@ -20,6 +20,7 @@ from attesta.llm.toxicity_chain import toxicity
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and the one kept of each, for every row of ``embeddings``."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
@@ -32,6 +33,7 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with dropout and decoded again: digests of ids and of the text that comes back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     documents = table(spark, sf_dir, "documents")
     back = decode(encode_with_dropout(documents, model), model)
@@ -44,32 +46,39 @@ def packed_digest(documents: DataFrame) -> DataFrame:
 
 
 def op4_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, in sequences of 4096 tokens."""
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
     return near_duplicate_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest scores of every fiftieth vector against all others."""
     vectors = quantised(table(spark, sf_dir, "embeddings"))
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its source's boilerplate lines, as a digest."""
     kept = drop_boilerplate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdict for every document."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of earlier ones, as a digest."""
     left = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -92,7 +101,7 @@ ORACLES = {
     "op2_preference_format": """
         WITH turns AS (
             SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-                row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS pos
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
             FROM conversations WHERE conv_id IS NOT NULL
         ), facing AS (
             SELECT pair_id, pos, coalesce(c.role = r.role AND c.text = r.text, false) AS same

@@ -267,6 +267,27 @@ def test_packing(docs, texts, edges, empty):
     assert cost_packing.pack(empty, WORDS).count() == 0
 
 
+def test_packing_over_shards_and_other_tokenizers(spark, monkeypatch):
+    """Several shards, many rows without doc_id, and a tokenizer file with rules of its own."""
+    monkeypatch.setattr(cost_packing, "SHARD_TOKENS", 400)
+    rows = [(i if i % 2 else None, " ".join(f"Word{i * k % 97}," for k in range(i % 50))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        tokenizer, found = Tokenizer.from_file(path), cost_packing.pack(df, path, capacity=64).collect()
+        shards = Counter(r.sequence_id >> 32 for r in found if r.doc_id is None)
+        assert len(shards) > 5 and max(shards.values()) < 0.5 * sum(shards.values())
+        used = Counter()
+        for r in found:
+            used[r.sequence_id] += r.length
+        assert max(used.values()) <= 64
+        whole = defaultdict(list)
+        for r in sorted(found, key=lambda r: r.start):
+            if r.doc_id is not None:
+                whole[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+        assert whole == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in rows if i is not None}
+
+
 def test_balanced_costs():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 4096, 300)
@@ -385,6 +406,12 @@ def test_line_dedup_edges(spark, edges, empty):
     assert all(out[i].text == f"own {i}\n\nend {i}" and out[i].n_dropped == 1 for i in range(45))
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    pages = [(i, "h", f"banner\nown {i}", i, "x") for i in range(20)]
+    out = line_dedup.drop_boilerplate(spark.createDataFrame(pages, "doc_id long, source string, text string, __keys long, __host string"), ratio=0.5).collect()
+    assert sorted((r.doc_id, r.text, r["__keys"], r["__host"]) for r in out) == [(i, f"own {i}", i, "x") for i in range(20)]
+
+
 def test_toxicity_held_out(spark, edges, empty):
     data = "/root/testdata/sf0.1"
     docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
