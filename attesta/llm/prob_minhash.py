@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import textops
@@ -220,11 +220,11 @@ def _settle(threshold: float):
     return run
 
 
-def _blocked(rows: DataFrame, weight: Column) -> DataFrame:
-    """``rows`` (key, label, ...) of the buckets that hold several classes, dealt over their pairs of blocks (low, high; side is the row's own)."""
-    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.sum(weight).alias("bytes")).where("x < y")
+def _blocked(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """``rows`` (key, node, label, bytes) of the buckets that hold several classes with what is ``carried`` by node, dealt over their pairs of blocks (low, high; side is the row's own)."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("x < y")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = rows.join(cut(mixed.select("key", blocks.alias("blocks"))), "key")
+    dealt = rows.select("key", "node", "label").join(cut(mixed.select("key", blocks.alias("blocks"))), "key").join(carried, "node")
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "blocks")
 
@@ -273,12 +273,12 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
     labels = few.select("node").union(again.select("u")).union(again.select("v")).distinct().withColumn("label", F.col("node"))
     labels = merged(cut(labels), verified(pairs).union(again))
     marks = single.select("node", "marks")
-    dealt = _blocked(buckets.select("key", "node").join(labels, "node").join(marks, "node"), F.lit(REGISTERS))
+    dealt = _blocked(buckets.select("key", "node").join(labels, "node").withColumn("bytes", F.lit(REGISTERS)), marks)
     nearest = dealt.groupBy("key", "low", "high").applyInArrow(_nearest(threshold), "u long, v long, same long")
     partner = cut(nearest.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")))
     labels = merged(labels, verified(partner.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
-    left = buckets.select("key", "node").join(partner.select(F.col("u").alias("node")), "node", "left_semi")
-    dealt = _blocked(left.join(labels, "node").join(marks, "node").join(sets, "node"), F.octet_length("hashes"))
+    left = labels.join(partner.select(F.col("u").alias("node")), "node", "left_semi").join(sets.select("node", F.octet_length("hashes").alias("bytes")), "node")
+    dealt = _blocked(buckets.select("key", "node").join(left, "node"), marks.join(sets, "node"))
     labels = merged(labels, cut(dealt.groupBy("key", "low", "high").applyInArrow(_settle(threshold), "u long, v long")))
     classed = members.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
     least = cut(classed.groupBy("label").agg(F.min("id").alias("class_id")))
