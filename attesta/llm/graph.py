@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from attesta.llm.session import cut
+from attesta.llm.session import cut_narrow
 
 
-def _cut_and_sum(edges: DataFrame) -> tuple[DataFrame, dict]:
+def _cut_and_sum(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, dict]:
     """The edges, cut, and their number and checksum, observed in the same job."""
     seen = Observation()
-    return cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("sum"))), seen.get
+    kept = cut_narrow(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("sum")), most)
+    return kept, seen.get
 
 
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -26,11 +27,11 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     stars, seen = _cut_and_sum(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select("lo", "hi"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = cut_narrow(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * seen["n"])
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        stars, now = _cut_and_sum(moved.union(least.select("hi", "m")).distinct())
+        stars, now = _cut_and_sum(moved.union(least.select("hi", "m")).distinct(), 2 * seen["n"])
         if now == seen:
             break
         seen = now
@@ -43,4 +44,4 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     between = links.join(at("u"), "u").join(at("v"), "v")
     found = connected_components(between, "u_label", "v_label").withColumnRenamed("node", "label")
-    return cut(labels.join(cut(found), "label", "left").select("node", F.coalesce("component", "label").alias("label")))
+    return cut_narrow(labels.join(cut_narrow(found), "label", "left").select("node", F.coalesce("component", "label").alias("label")))

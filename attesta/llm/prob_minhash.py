@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm import textops
 from attesta.llm.graph import merged
-from attesta.llm.session import cut
+from attesta.llm.session import cut, cut_narrow
 
 #: Words of a shingle; registers of a signature, as BANDS bands of ROWS registers.
 SHINGLE, BANDS, ROWS = 5, 33, 6
@@ -224,7 +224,7 @@ def _blocked(rows: DataFrame, carried: DataFrame) -> DataFrame:
     """``rows`` (key, node, label, bytes) of the buckets that hold several classes with what is ``carried`` by node, dealt over their pairs of blocks (low, high; side is the row's own)."""
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("x < y")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = rows.select("key", "node", "label").join(cut(mixed.select("key", blocks.alias("blocks"))), "key").join(carried, "node")
+    dealt = rows.select("key", "node", "label").join(cut_narrow(mixed.select("key", blocks.alias("blocks"))), "key").join(carried, "node")
     dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "blocks")
 
@@ -253,35 +253,35 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
     own = documents.select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
     signed = cut(own.where(F.col("id").isNotNull()).mapInArrow(_sign, "id long, a long, b long, bands array<long>, marks binary"))
     signed = signed.withColumn("node", F.monotonically_increasing_id())
-    nodes = cut(signed.groupBy("a", "b").agg(F.min("node").alias("node")))
-    members = cut(signed.select("id", "a", "b").join(nodes, ["a", "b"]).select("id", "node").distinct())
+    nodes = cut_narrow(signed.groupBy("a", "b").agg(F.min("node").alias("node")))
+    members = cut_narrow(signed.select("id", "a", "b").join(nodes, ["a", "b"]).select("id", "node").distinct())
     single = signed.join(nodes.select("node"), "node", "left_semi")
     keyed = single.select("node", F.explode("bands").alias("key"))
-    pivots = cut(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"))
-    buckets = cut(keyed.join(pivots, "key").select("key", "node", "pivot"))
-    pairs = cut(buckets.where("node <> pivot").groupBy(F.col("node").alias("u")).agg(F.min("pivot").alias("v")))
-    few = cut(buckets.select("node").distinct().join(single.select("node", "id", "a", "b"), "node"))
+    pivots = cut_narrow(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"))
+    buckets = cut_narrow(keyed.join(pivots, "key").select("key", "node", "pivot"))
+    pairs = cut_narrow(buckets.where("node <> pivot").groupBy(F.col("node").alias("u")).agg(F.min("pivot").alias("v")))
+    few = cut_narrow(buckets.select("node").distinct().join(single.select("node", "id", "a", "b"), "node"))
     picked = own.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "id").select("node", "a", "b", "text")
     sets = cut(picked.mapInArrow(_sets, "node long, hashes binary, counts binary").dropDuplicates(["node"]))
     again = members.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("id", "u")
-    again = cut(members.join(again, "id").select("u", F.col("node").alias("v")))
+    again = cut_narrow(members.join(again, "id").select("u", F.col("node").alias("v")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"), F.col("counts").alias(f"c{c}")) for c in ("u", "v"))
-        return cut(pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "cu", "hv", "cv").mapInArrow(_verifier(threshold), "u long, v long"))
+        return cut_narrow(pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "cu", "hv", "cv").mapInArrow(_verifier(threshold), "u long, v long"))
 
     labels = few.select("node").union(again.select("u")).union(again.select("v")).distinct().withColumn("label", F.col("node"))
-    labels = merged(cut(labels), verified(pairs).union(again))
+    labels = merged(cut_narrow(labels), verified(pairs).union(again))
     marks = single.select("node", "marks")
     dealt = _blocked(buckets.select("key", "node").join(labels, "node").withColumn("bytes", F.lit(REGISTERS)), marks)
     nearest = dealt.groupBy("key", "low", "high").applyInArrow(_nearest(threshold), "u long, v long, same long")
-    partner = cut(nearest.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")))
+    partner = cut_narrow(nearest.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")))
     labels = merged(labels, verified(partner.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
     left = labels.join(partner.select(F.col("u").alias("node")), "node", "left_semi").join(sets.select("node", F.octet_length("hashes").alias("bytes")), "node")
     dealt = _blocked(buckets.select("key", "node").join(left, "node"), marks.join(sets, "node"))
-    labels = merged(labels, cut(dealt.groupBy("key", "low", "high").applyInArrow(_settle(threshold), "u long, v long")))
+    labels = merged(labels, cut_narrow(dealt.groupBy("key", "low", "high").applyInArrow(_settle(threshold), "u long, v long")))
     classed = members.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
-    least = cut(classed.groupBy("label").agg(F.min("id").alias("class_id")))
+    least = cut_narrow(classed.groupBy("label").agg(F.min("id").alias("class_id")))
     found = classed.join(least, "label").select("id", "class_id").distinct()
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id") == F.col("id"), "left")
     return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch on the way to Python; Spark's own limit is 256 MB beside its 10,000 rows.
 BATCH_BYTES = str(16 << 20)
+#: Rows of a few numbers that one task reads, and tasks that read such a table at least.
+NARROW_ROWS, LEAST_PARTITIONS = 250_000, 16
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -44,3 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
+def cut_narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``cut`` for rows of a few numbers: partitions that hold few rows are read together, so that later shuffles write no crowd of tiny files.
+
+    Where it is known that there are at most ``rows``, they are written together too.
+    """
+    together = lambda n: max(LEAST_PARTITIONS, n // NARROW_ROWS)
+    if rows is not None:
+        return cut(df.coalesce(together(rows)))
+    seen = Observation()
+    kept = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return kept.coalesce(together(seen.get["n"]))
