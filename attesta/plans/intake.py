@@ -159,11 +159,11 @@ def folded_checks(t):
     return found.select("doc", text("rule", ",").alias("rules"), text("description", "|").alias("descriptions"), N.total_impact(F.col("f")).alias("impact"), N.passes(F.col("f")).alias("valid"))
 
 
-@query("f47_plain_fields", "SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 3 <> 0 THEN 'balance=' || CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) END, 'name=' || c_name, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'segment=' || c_mktsegment END) AS fields FROM customer")
+@query("f47_plain_fields", "SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 3 <> 0 THEN 'balance=' || CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) END, 'name=' || c_name, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'segment=' || c_mktsegment END) AS fields FROM customer")
 def plain_fields(t):
     """Extracted fields without those that have no value."""
     value = lambda c: F.struct(c.alias("value"), F.lit(0.9).alias("confidence"))
-    fields = F.create_map(F.lit("balance"), value(F.when(F.col("c_custkey") % 3 != 0, F.round("c_acctbal").cast("long").cast("string"))), F.lit("name"), value(F.col("c_name")), F.lit("segment"), value(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))))
+    fields = F.create_map(F.lit("balance"), value(F.when(F.col("c_custkey") % 3 != 0, F.floor("c_acctbal").cast("string"))), F.lit("name"), value(F.col("c_name")), F.lit("segment"), value(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))))
     entries = F.transform(F.map_entries(N.plain_fields(fields)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return t("customer").select("c_custkey", F.array_join(F.array_sort(entries), ",").alias("fields"))
 
