@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from attesta.llm import textops
+
 #: Tokens of a sequence; id after each document.
 CAPACITY, END = 4096, 2
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n**2 (feed-forward work against attention within the piece).
@@ -21,7 +23,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens of document ends that one task packs, about.
 SHARD_TOKENS = 2_000_000
 #: White-space separated words whose ids a Python worker remembers; bounds its memory.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 #: White space for Python only, and a letter whose lower case depends on its place: a text with one goes to the library whole.
 _ODD = "\x1c\x1d\x1e\x1f\x85\u03a3"
 #: The rules of a tokenizer file under which a text's ids are those of its lower-cased words. Files with others go to the library whole.
@@ -179,5 +181,5 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     # Rows without doc_id are dealt by their texts, so that they don't meet in one shard.
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
     dealt = documents.select(F.pmod(key, F.lit(shards)).alias("shard"), "doc_id", "text")
-    encoded = dealt.mapInArrow(_encoder(tokenizer_path, end), f"shard long, doc_id {kind}, width int, ids binary")
+    encoded = dealt.mapInArrow(textops.returning(_encoder(tokenizer_path, end)), f"shard long, doc_id {kind}, width int, ids binary")
     return encoded.groupBy("shard").applyInArrow(_packer(capacity, linear, quadratic), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -251,7 +251,7 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
     one partner per node or links between classes, never a group's pairs.
     """
     own = documents.select(F.col("doc_id").cast("long").alias("id"), F.lower("text").alias("text"))
-    signed = cut(own.where(F.col("id").isNotNull()).mapInArrow(_sign, "id long, a long, b long, bands array<long>, marks binary"))
+    signed = cut(own.where(F.col("id").isNotNull()).mapInArrow(textops.returning(_sign), "id long, a long, b long, bands array<long>, marks binary"))
     signed = signed.withColumn("node", F.monotonically_increasing_id())
     nodes = cut_narrow(signed.groupBy("a", "b").agg(F.min("node").alias("node")))
     members = cut_narrow(signed.select("id", "a", "b").join(nodes, ["a", "b"]).select("id", "node").distinct())
@@ -262,7 +262,7 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
     pairs = cut_narrow(buckets.where("node <> pivot").groupBy(F.col("node").alias("u")).agg(F.min("pivot").alias("v")))
     few = cut_narrow(buckets.select("node").distinct().join(single.select("node", "id", "a", "b"), "node"))
     picked = own.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "id").select("node", "a", "b", "text")
-    sets = cut(picked.mapInArrow(_sets, "node long, hashes binary, counts binary").dropDuplicates(["node"]))
+    sets = cut(picked.mapInArrow(textops.returning(_sets), "node long, hashes binary, counts binary").dropDuplicates(["node"]))
     again = members.groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("id", "u")
     again = cut_narrow(members.join(again, "id").select("u", F.col("node").alias("v")))
 

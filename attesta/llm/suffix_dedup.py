@@ -453,7 +453,7 @@ def remove_repeats(documents: DataFrame, carry: list[str] | None = None, whole_c
     copies = cut(digests.join(least, "sha").where("doc_id > least").select("doc_id", "tag", "n").distinct())
     ids = copies.select("doc_id", "tag")
     single = named.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "tag"], "left_anti")
-    strings = single.select("doc_id", "tag", "text").mapInArrow(_emitter(buckets), _STRINGS)
+    strings = single.select("doc_id", "tag", "text").mapInArrow(textops.returning(_emitter(buckets)), _STRINGS)
     repeating = strings.groupBy("bucket").applyInArrow(_repeating(buckets), _REPEATING)
     parted = named.withColumn("part", _part_column(buckets))
     passages = parted.groupBy("part").cogroup(repeating.groupBy("part")).applyInArrow(_cutter(buckets), _PASSAGES)

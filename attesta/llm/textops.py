@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +74,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 2 * STEP) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = STEP // 2) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each, or one row where a single row is longer."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -82,6 +83,21 @@ def slices(offsets: np.ndarray, most: int = 2 * STEP) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and at the end of its task the memory it freed goes back to the system: Spark keeps workers for later tasks."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return tidy
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and for each row the index of its first word (n + 1 of them). Words don't cross rows."""
     starts, ends = word_spans(data, offsets)

@@ -135,7 +135,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] |
     y = y.groupBy("doc_id").agg(F.array(*[F.max(f"__{c}") for c in wanted]).alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = documents.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(y), "doc_id").select("doc_id", "text", "y")
-    seen = rows.mapInArrow(_featurise, "doc_id long, y array<int>, words long, features array<int>, counts array<int>")
+    seen = rows.mapInArrow(textops.returning(_featurise), "doc_id long, y array<int>, words long, features array<int>, counts array<int>")
     found = seen.groupBy(F.lit(0).alias("all")).applyInArrow(_train, "chain string").first()
     return json.loads(found[0]) if found else []
 
@@ -181,7 +181,7 @@ def score(documents: DataFrame, models: list[dict], categories: dict[str, str] |
     names = list(categories or CATEGORIES)
     kind = dict(documents.dtypes)["doc_id"]
     rows = documents.select("doc_id", F.lower("text").alias("text"))
-    scored = rows.mapInArrow(_scorer(models, len(names)), f"id {kind}, " + ", ".join(f"p{k} double" for k in range(len(names))))
+    scored = rows.mapInArrow(textops.returning(_scorer(models, len(names))), f"id {kind}, " + ", ".join(f"p{k} double" for k in range(len(names))))
     last = F.col(f"p{len(names) - 1}")
     return scored.select(F.col("id").alias("doc_id"), *[F.col(f"p{k}").alias(f"p_{c}") for k, c in enumerate(names)], (last >= threshold).alias("rejected"))
 
@@ -200,4 +200,4 @@ def drop_toxic(documents: DataFrame, models: list[dict], threshold: float = 0.5)
                 kept = batch.slice(i, j - i).filter(pa.array(p[:, -1] < threshold))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
-    return documents.select("*", F.lower("text").alias("__lower")).mapInArrow(run, documents.schema)
+    return documents.select("*", F.lower("text").alias("__lower")).mapInArrow(textops.returning(run), documents.schema)
