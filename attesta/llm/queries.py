@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from attesta.llm.cost_packing import pack
 from attesta.llm.embedding_dedup import near_duplicate_vectors
+from attesta.llm.hard_negatives import hard_negatives
+from attesta.llm.kd_clusters import centroid_clusters
 from attesta.llm.line_dedup import drop_boilerplate
 from attesta.llm.merge_dropout import decode, encode_with_dropout
 from attesta.llm.preference import format_preferences
 from attesta.llm.prob_minhash import near_duplicate_documents
+from attesta.llm.secret_scan import secret_spans
 from attesta.llm.session import table
 from attesta.llm.suffix_dedup import remove_repeats
 from attesta.llm.token_counts import count_tokens
@@ -84,6 +87,56 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 components after five rounds from 40 centroids."""
+    return centroid_clusters(quantised(table(spark, sf_dir, "embeddings")))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text: how many of each base kind, a digest of their spans, and all spans."""
+    found = secret_spans(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten negatives for each of five positives of every hundredth vector; every seventh label is moved on by one."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(quantised(embeddings, carry=[label.alias("label")]), F.col("vec_id") % 100 == 0)
+
+
+def _kd_clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """One pair of steps (assignment, new centroids) for each round."""
+    nearest = """a{r} AS (
+            SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+                SELECT vec_id, c, CAST(list_sum(list_transform(list_zip(q.q, z.z), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) AS d FROM q, z{r} AS z
+            ) GROUP BY vec_id
+        )"""
+    moved = f"""z{{n}} AS (
+            SELECT c, coalesce(m.z, z{{r}}.z) AS z FROM z{{r}} LEFT JOIN (
+                SELECT c, list(CAST(floor_sum AS BIGINT) ORDER BY j) AS z FROM (
+                    SELECT c, j, (s - ((s % n) + n) % n) // n AS floor_sum FROM (
+                        SELECT c, j, CAST(sum(q.q[j]) AS BIGINT) AS s, count(*) AS n FROM a{{r}} JOIN q USING (vec_id), range(1, {dims + 1}) AS t(j) GROUP BY c, j
+                    )
+                ) GROUP BY c
+            ) AS m USING (c)
+        )"""
+    steps = [x for r in range(rounds) for x in (nearest.format(r=r), moved.format(r=r, n=r + 1))] + [nearest.format(r=rounds)]
+    return f"""
+        WITH q AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = {dims} AND list_count(list_filter(embedding, lambda x: isfinite(x))) = {dims}
+        ), z0 AS (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, q AS z FROM q QUALIFY c < {k}
+        ), {", ".join(steps)}
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN z{rounds} USING (c)"""
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_preference_format": op2_preference_format,
@@ -95,6 +148,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_kd_clusters": op11_kd_clusters,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
@@ -146,4 +202,21 @@ ORACLES = {
         SELECT d.doc_id, COUNT(pos) AS n_lines, COUNT(pos) FILTER (dropped) AS n_dropped,
             sha256(coalesce(string_agg(m.line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
         FROM documents AS d LEFT JOIN marked AS m ON d.doc_id = m.doc_id GROUP BY d.doc_id""",
+    "op11_kd_clusters": _kd_clusters_sql(),
+    "op13_hard_negatives": """
+        WITH q AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda x: x[1] * x[2])) AS BIGINT) AS score
+            FROM q AS a JOIN q AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10""",
 }

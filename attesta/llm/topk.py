@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.session import cut
@@ -25,20 +25,20 @@ EXACT, WIDE = 2**53, 2**63
 MOST = 2**63 - 1
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and q = floor(scale * component) as long[]; rows that are null or hold null or non-finite components are left out.
+def quantised(vectors: DataFrame, scale: int = 256, carry: Sequence[Column] = ()) -> DataFrame:
+    """vec_id, what is carried and q = floor(scale * component) as long[]; rows that are null or hold null or non-finite components are left out.
 
     Components beyond the range of a long saturate there.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad)
+    whole = vectors.select("vec_id", *carry, "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad)
     top = float(2**63)
 
     def whole_number(x):
         y = F.lit(float(scale)) * x.cast("double")
         return F.when(y >= top, F.lit(MOST)).when(y < -top, F.lit(-MOST - 1)).otherwise(F.floor(F.when((y >= -top) & (y < top), y)))
 
-    return whole.select("vec_id", F.transform("embedding", whole_number).alias("q"))
+    return whole.withColumn("q", F.transform("embedding", whole_number)).drop("embedding")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
