@@ -79,7 +79,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         small = text.lower()
-        if not self.by_words or any(s in text for s in self.special) or any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", small):
+        if not self.by_words or any(s in text or s in small for s in self.special) or any(c in text for c in _ODD) or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", small):
             return self._ids(text).tobytes()
         if not _PAIR.search(small):  # then stops and commas stand alone
             small = small.replace(",", " ,").replace(".", " .")
@@ -171,15 +171,14 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     with null or repeated doc_id are documents of their own; further columns are ignored.
 
     Documents are dealt by hash into shards of about SHARD_TOKENS tokens (estimated from
-    bytes), packed independently. Full sequences are cut off a document first; the ends, each
+    bytes and rows), packed independently. Full sequences are cut off a document first; the ends, each
     below one sequence, are assigned by descending size to the sequence with the lowest
     cost, linear plus quadratic in the pieces' lengths, that has room. A shard leaves less than one sequence of padding.
     """
-    n_bytes = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = 1 + int(n_bytes / 2.7 / SHARD_TOKENS)
+    n_bytes, n = documents.agg(F.sum(F.octet_length("text").cast("long")), F.count("*")).first()
+    shards = 1 + int(((n_bytes or 0) / 2.7 + n) / SHARD_TOKENS)
     kind = dict(documents.dtypes)["doc_id"]
-    # Rows without doc_id are dealt by their texts, so that they don't meet in one shard.
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    dealt = documents.select(F.pmod(key, F.lit(shards)).alias("shard"), "doc_id", "text")
+    # By id and text: rows without doc_id, and those that share one, don't meet in one shard.
+    dealt = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), "doc_id", "text")
     encoded = dealt.mapInArrow(textops.returning(_encoder(tokenizer_path, end)), f"shard long, doc_id {kind}, width int, ids binary")
     return encoded.groupBy("shard").applyInArrow(_packer(capacity, linear, quadratic), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -44,7 +44,8 @@ def format_preferences(turns: DataFrame, pair: Column, chosen: Column, role: str
     counts as empty. A missing conversation has no turns, so the other one is all
     completion. Conversations that are equal give two empty completions. Rows whose pair
     or side is null belong to no conversation and are left out. Further columns are ignored.
-    One shuffle by pair brings the turns of a pair together; everything else is in the row.
+    One shuffle by pair brings the turns of a pair together; everything else is in the row, so the texts of a pair must
+    fit one row (2 GB).
     """
     rows = turns.select(pair.alias("pair_id"), chosen.alias("side"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     rows = rows.where(F.col("pair_id").isNotNull() & F.col("side").isNotNull())

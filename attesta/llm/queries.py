@@ -29,7 +29,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2 n and 2 n + 1 are pair n: the even one is preferred."""
-    pairs = format_preferences(table(spark, sf_dir, "conversations"), F.expr("floor(conv_id / 2)"), F.expr("pmod(conv_id, 2) = 0"))
+    pairs = format_preferences(table(spark, sf_dir, "conversations"), F.shiftright("conv_id", 1), F.expr("pmod(conv_id, 2) = 0"))
     spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",")
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]
     return pairs.select("pair_id", "paired", "n_common", *digests, spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))

@@ -135,7 +135,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] |
     y = y.groupBy("doc_id").agg(F.array(*[F.max(f"__{c}") for c in wanted]).alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = documents.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(y), "doc_id").select("doc_id", "text", "y")
-    seen = rows.mapInArrow(textops.returning(_featurise), "doc_id long, y array<int>, words long, features array<int>, counts array<int>")
+    seen = rows.mapInArrow(textops.returning(_featurise), f"doc_id {dict(rows.dtypes)['doc_id']}, y array<int>, words long, features array<int>, counts array<int>")
     found = seen.groupBy(F.lit(0).alias("all")).applyInArrow(_train, "chain string").first()
     return json.loads(found[0]) if found else []
 

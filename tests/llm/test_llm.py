@@ -426,6 +426,54 @@ def test_toxicity_held_out(spark, edges, empty):
     assert not any(r.rejected for r in toxicity_chain.score(edges, []).collect())
 
 
+def test_toxicity_with_other_ids(spark):
+    """Ids of any type: the same texts get the same chain, whatever their ids are; so out-of-fold folds follow the ids' order."""
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    named = lambda df: df.withColumn("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    got = {r.doc_id: r.rejected for r in toxicity_chain.score(named(docs), toxicity_chain.train(named(docs), named(labels))).collect()}
+    want = {f"{r.doc_id:012d}": r.rejected for r in toxicity_chain.score(docs, toxicity_chain.train(docs, labels)).collect()}
+    assert got == want
+
+
+def test_chain_uses_out_of_fold_predictions(spark):
+    """The models are those of a plain chain fitted fold by fold: later links see predictions of models that didn't see the row."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    got = toxicity_chain.train(docs, labels)
+    y_of = {r.doc_id: [int(r.quality == 0), int(r.toxic == 1)] for r in labels.collect()}
+    texts = sorted((r.doc_id, (r.text or "").lower()) for r in docs.collect() if r.doc_id in y_of)
+    data = np.frombuffer("".join(t for _, t in texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for _, t in texts])])
+    owner, feature, words = toxicity_chain.features(data, offsets)
+    pairs = Counter(zip(owner.tolist(), feature.tolist(), strict=True))
+    order = sorted(pairs)
+    owner, feature = (np.array(x) for x in zip(*order, strict=True))
+    value = toxicity_chain.rates(np.array([pairs[x] for x in order]), np.maximum(words, 1)[owner])
+    y, n = np.array([y_of[i] for i, _ in texts], float), len(texts)
+    inside = np.arange(n) % toxicity_chain.FOLDS
+    earlier = np.zeros((n, 0))
+    for link in range(2):
+        own, apart = [], np.zeros(n)
+        for f in [None, *range(toxicity_chain.FOLDS)]:
+            rows = inside != f if f is not None else np.ones(n, bool)
+            chosen = toxicity_chain.select(owner, feature, y[:, link], rows)
+            x = toxicity_chain.dense(owner, feature, value, chosen, earlier)
+            w = toxicity_chain.logistic(x[rows], y[rows, link])
+            if f is None:
+                own = (chosen, w)
+            else:
+                apart[~rows] = toxicity_chain.sigmoid(x[~rows] @ w)
+        assert got[link]["chosen"] == own[0].tolist() and np.allclose(got[link]["w"], own[1], rtol=1e-4, atol=1e-6)
+        assert link or not np.allclose(apart, toxicity_chain.sigmoid(toxicity_chain.dense(owner, feature, value, own[0], earlier) @ own[1]))
+        earlier = np.column_stack([earlier, apart])
+
+
+def test_pairs_of_large_conversation_numbers(spark):
+    rows = [(c, 0, "user", f"t{c}") for c in (2**53 + 2, 2**53 + 3, -3, -4)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = preference.format_preferences(turns, F.shiftright("conv_id", 1), F.expr("pmod(conv_id, 2) = 0")).collect()
+    assert sorted((r.pair_id, r.paired) for r in got) == [(-2, True), (2**52 + 1, True)]
+
+
 def _brute_repeats(rows):
     first, out = {}, []
     for i, t in sorted(((i, (t or "").encode()) for i, t in rows), key=lambda x: x[0]):
