@@ -64,7 +64,7 @@ def verdict(score: Column, watchlist: Column, mismatch: Column, invalid: Column,
 
 def normalised(raw: Column) -> Column:
     """A score of 0..1 as 0..100, halves to even; null stays null."""
-    return F.bround(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)) * 100).cast("int")
+    return F.when(raw.isNotNull(), F.bround(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)) * 100)).cast("int")  # greatest alone would take 0 for null
 
 
 def severity(score: Column) -> Column:
@@ -89,7 +89,7 @@ def overall_score(scores: dict[str, Column], strong: Column, moderate: Column) -
     ]
     weight = reduce(lambda a, b: a + b, [F.when(scores[k].isNotNull(), w).otherwise(0.0) for k, w in WEIGHTS.items()])
     mass = reduce(lambda a, b: a + b, [w * s[k] for k, w in WEIGHTS.items()])
-    mean = F.when(weight > 0, mass / weight).otherwise(0.0)
+    mean = F.when(weight > 0, mass / F.nullif(weight, F.lit(0.0))).otherwise(0.0)
     passive = F.when(moderate > 0, F.least(mean * 0.40 + 8.0 * moderate, F.lit(35.0))).when(s["text_tampering"] >= 35, F.least(F.lit(35.0), 20.0 + 0.35 * s["text_tampering"])).otherwise(F.least(mean * 0.35, F.lit(25.0)))
     best = F.coalesce(F.greatest(*direct), passive)
     return F.least(F.greatest(best, F.lit(0.0)), F.lit(100.0)).cast("int")
@@ -98,7 +98,7 @@ def overall_score(scores: dict[str, Column], strong: Column, moderate: Column) -
 def conflict(scores: dict[str, Column]) -> Column:
     """Metadata and image detectors disagree strongly: METADATA, IMAGE or null."""
     image = F.array_compact(F.array(*[scores[k] for k in DETECTORS if k != "metadata"]))
-    mean = F.aggregate(image, F.lit(0.0), lambda a, x: a + x) / F.size(image)
+    mean = F.aggregate(image, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(image), F.lit(0))
     meta = scores["metadata"]
     some = (F.size(image) > 0) & meta.isNotNull()
     return F.when(some & (meta >= 50) & (mean < 25), "METADATA").when(some & (mean >= 60) & (meta < 15), "IMAGE")

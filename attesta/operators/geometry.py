@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.operators.components import components
+
 #: Overlap of the smaller box from which regions belong together, and the two measures of the page-wise engine.
 SMALLER_OVERLAP, IOU, CONTAINMENT = 0.3, 0.30, 0.40
 #: Detectors that can't carry a high severity alone.
 UNRELIABLE = ("ela", "noise", "stamp")
 _BOX = ("x", "y", "w", "h")
+#: Regions of a page that are held against each other without a grid, and sides of the grids otherwise: a box uses the first that is no smaller than it.
+PAGE = 64
+GRIDS = (64, 256, 1024, 4096)
 
 
 def intersection(a: str, b: str) -> Column:
@@ -32,10 +37,34 @@ def iou(a: str, b: str) -> Column:
     return F.when(both > 0, intersection(a, b) / both).otherwise(0.0)
 
 
+def _cells(side: Column) -> Column:
+    """The grid cells of the given side that a box (o_x, o_y, o_w, o_h) has a part in."""
+    along = lambda at, size: F.sequence(F.floor(F.col(at) / side), F.floor((F.col(at) + F.col(size) - 1) / side))
+    return F.flatten(F.transform(along("o_x", "o_w"), lambda i: F.transform(along("o_y", "o_h"), lambda j: F.struct(side.alias("grid"), i.alias("i"), j.alias("j")))))
+
+
 def overlapping_pairs(regions: DataFrame, keys: list[str], test: Column) -> DataFrame:
-    """Pairs (a_id < b_id) of a document's regions (id, x, y, w, h) that pass ``test`` over the prefixes a_ and b_. A document has tens of regions."""
-    sides = [regions.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in ("id", *_BOX)]) for p in ("a_", "b_")]
-    return sides[0].join(sides[1], keys).where((F.col("a_id") < F.col("b_id")) & test)
+    """Pairs (a_id < b_id) of regions (id, x, y, w, h in whole numbers) with equal ``keys`` that share an area and pass ``test`` over the prefixes a_ and b_.
+
+    The regions of a page (what has equal keys) of up to PAGE regions meet all with all, others through grid cells: a box lies in a few cells of the grid that fits its
+    size, and looks up boxes of its size and larger ones in the cells of their grids. A pair is reported in the one cell where its shared area
+    begins. So work follows boxes that are near each other, whatever a page holds. Empty boxes and null keys meet nothing.
+    """
+    boxes = regions.where("w > 0 AND h > 0").select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("id", *_BOX)])
+    crowded = boxes.groupBy(*keys).count().where(F.col("count") > PAGE).select(*keys, F.lit(True).alias("o_crowded"))
+    longest = F.greatest("o_w", "o_h")
+    sized = boxes.join(crowded, keys, "left").withColumn("o_side", F.when(F.col("o_crowded"), F.coalesce(*[F.when(longest <= side, side) for side in GRIDS[:-1]], F.lit(GRIDS[-1]))).otherwise(0))
+    whole = F.array(F.struct(F.lit(0).alias("grid"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    own = F.when(F.col("o_side") == 0, whole).otherwise(_cells(F.col("o_side")))
+    looks = F.when(F.col("o_side") == 0, whole).otherwise(F.flatten(F.array(*[F.when(F.col("o_side") <= g, _cells(F.lit(g))).otherwise(F.array().cast("array<struct<grid:int,i:bigint,j:bigint>>")) for g in GRIDS])))
+    placed = lambda cells, p: sized.withColumn("cell", F.explode(cells)).select(*keys, *[F.col(f"o_{c}").alias(f"{p}{c}") for c in ("id", *_BOX, "side")], "cell.*")
+    met = placed(looks, "p_").join(placed(own, "q_"), [*keys, "grid", "i", "j"])
+    begins = (F.col("grid") == 0) | (F.floor(F.greatest("p_x", "q_x") / F.col("grid")) == F.col("i")) & (F.floor(F.greatest("p_y", "q_y") / F.col("grid")) == F.col("j"))
+    # Boxes of one size look each other up both ways.
+    once = F.when(F.col("p_side") == F.col("q_side"), F.col("p_id") < F.col("q_id")).otherwise(F.col("p_side") < F.col("q_side"))
+    first = F.col("p_id") < F.col("q_id")
+    sides = [F.when(first, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")).alias(f"{z}{c}") for z, x, y in (("a_", "p_", "q_"), ("b_", "q_", "p_")) for c in ("id", *_BOX)]
+    return met.where(once & (F.col("p_id") != F.col("q_id")) & begins & (intersection("p_", "q_") > 0)).select(*keys, *sides).where(test)
 
 
 def merged_regions(regions: DataFrame, document: str) -> DataFrame:
@@ -43,21 +72,10 @@ def merged_regions(regions: DataFrame, document: str) -> DataFrame:
 
     One row per merged region: the box around it, the highest score and severity (HIGH counts
     as MEDIUM when a single unreliable detector is behind it), sorted sources and the number of regions.
-    Chains are followed inside a row: every region takes the least label among those it
-    overlaps, as many times as the document has regions, which suffices for any chain.
     """
     pairs = overlapping_pairs(regions, [document], smaller_overlap("a_", "b_") > SMALLER_OVERLAP)
-    both = pairs.select(document, F.col("a_id").alias("id"), F.col("b_id").alias("other")).union(pairs.select(document, "b_id", "a_id"))
-    near = both.groupBy(document, "id").agg(F.collect_list("other").alias("near"))
-    rows = regions.join(near, [document, "id"], "left").withColumn("near", F.coalesce("near", F.array().cast("array<long>")))
-    nodes = rows.groupBy(document).agg(F.collect_list(F.struct("id", "near", *_BOX, "score", "severity", "source")).alias("nodes"))
-    start = F.map_from_arrays(F.transform("nodes", lambda n: n["id"]), F.transform("nodes", lambda n: n["id"]))
-    spread = lambda labels, _: F.map_from_arrays(
-        F.transform("nodes", lambda n: n["id"]),
-        F.transform("nodes", lambda n: F.array_min(F.concat(F.array(F.element_at(labels, n["id"])), F.transform(n["near"], lambda o: F.element_at(labels, o))))),
-    )
-    labelled = nodes.withColumn("labels", F.aggregate(F.sequence(F.lit(1), F.size("nodes")), start, spread)).select(document, "labels", F.explode("nodes").alias("n"))
-    flat = labelled.select(document, F.element_at("labels", F.col("n.id")).alias("root"), "n.*")
+    roots = components(pairs, [document], "a_id", "b_id").withColumnRenamed("node", "id")
+    flat = regions.join(roots, [document, "id"], "left").withColumn("root", F.coalesce("root", "id"))
     rank = F.when(F.col("severity") == "HIGH", 3).when(F.col("severity") == "MEDIUM", 2).otherwise(1)
     merged = flat.groupBy(document, "root").agg(
         F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"),

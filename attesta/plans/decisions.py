@@ -72,7 +72,7 @@ EVIDENCE = """SELECT o_orderkey AS document_id, CAST(o_orderkey % 97 AS DOUBLE)
     CAST(o_orderkey % 79 AS DOUBLE) / 100 AS stamp, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 71 AS DOUBLE) / 70 END AS metadata,
     CASE WHEN o_orderkey % 31 = 0 THEN 1 ELSE 0 END AS strong, CAST(o_orderkey % 37 % 4 AS INT) AS moderate FROM {orders}"""
 
-_SCORES = f"WITH e AS ({EVIDENCE.format(orders='orders')}), s AS (SELECT document_id, strong, moderate, " + ", ".join(f"CAST(round_even(least(greatest({k}, 0), 1) * 100, 0) AS INT) AS {k}" for k in D.DETECTORS) + " FROM e)"
+_SCORES = f"WITH e AS ({EVIDENCE.format(orders='orders')}), s AS (SELECT document_id, strong, moderate, " + ", ".join(f"CASE WHEN {k} IS NOT NULL THEN CAST(round_even(least(greatest({k}, 0), 1) * 100, 0) AS INT) END AS {k}" for k in D.DETECTORS) + " FROM e)"
 
 
 def _evidence(t):

@@ -6,15 +6,11 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-
+from attesta.operators import correlation as C
+from attesta.operators import decisions as D
 from attesta.plans import query
 from attesta.plans.decisions import _SCORES, _evidence, _signals, SIGNALS
 
-#: How each detector is named in explanations, in order.
-LABELS = {
-    "ela": "compression inconsistency (ELA)", "noise": "local noise anomaly", "copy_move": "visual content duplication (copy-move)", "splicing": "image splicing / insertion anomaly",
-    "content_alteration": "content alteration / defacement anomaly", "text_tampering": "text modification / insertion anomaly", "stamp": "stamp region anomaly", "metadata": "image-processing metadata signature",
-}
 #: Detector sources and the category they are filed under.
 CATEGORIES = {"ela": "COMPRESSION_ARTIFACT", "noise": "NOISE_INCONSISTENCY", "copy_move": "CLONE_DETECTED", "splicing": "SPLICING", "metadata": "METADATA_ANOMALY"}
 _SIG = SIGNALS.format(orders="orders")
@@ -175,26 +171,33 @@ def face_decision(t):
 
 @query("g14_region_bonus", _SCORES + " SELECT document_id, CAST(least(100, greatest(least(strong * 25, 60) + least(moderate * 12, 30), CAST(floor(greatest(coalesce(ela, 0), coalesce(noise, 0)) * 0.60::DOUBLE) AS INT))) AS INT) AS bonus FROM s")
 def region_bonus(t):
-    best = F.floor(F.greatest(F.coalesce("ela", F.lit(0)), F.coalesce("noise", F.lit(0))) * 0.60)
-    counted = F.least(F.col("strong") * 25, F.lit(60)) + F.least(F.col("moderate") * 12, F.lit(30))
-    return _evidence(t).select("document_id", F.least(F.lit(100), F.greatest(counted, best)).cast("int").alias("bonus"))
+    best = F.greatest(F.coalesce("ela", F.lit(0)), F.coalesce("noise", F.lit(0)))
+    return _evidence(t).select("document_id", C.region_bonus(F.col("strong"), F.col("moderate"), best).alias("bonus"))
 
 
-def _joined(items):
-    """a, b and c."""
-    n = F.size(items)
-    return F.when(n <= 1, F.array_join(items, "")).otherwise(F.concat(F.array_join(F.slice(items, F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at(items, -1)))
+_NAMED = "list_filter([{}], lambda x: x IS NOT NULL)"
+_STRONG = _NAMED.format(", ".join(f"CASE WHEN {k} >= 60 THEN '{v}' END" for k, v in C.LABELS.items()))
+_MODERATE = _NAMED.format(", ".join(f"CASE WHEN {k} >= 35 AND {k} < 60 THEN '{v}' END" for k, v in C.LABELS.items()))
+_AND = "CASE len({0}) WHEN 0 THEN NULL WHEN 1 THEN '{1} ' || {0}[1] || ' detected.' ELSE '{1} ' || array_to_string({0}[1:len({0}) - 1], ', ') || ' and ' || {0}[len({0})] || ' detected.' END"
 
 
-_STRONG = "list_filter([" + ", ".join(f"CASE WHEN {k} >= 60 THEN '{v}' END" for k, v in LABELS.items()) + "], lambda x: x IS NOT NULL)"
+def _cases(key, table):
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
 
 
-@query("g18_explanations", _SCORES + f", x AS (SELECT document_id, {_STRONG} AS a FROM s) SELECT document_id, CASE len(a) WHEN 0 THEN NULL WHEN 1 THEN 'Strong ' || a[1] || ' detected.' ELSE 'Strong ' || array_to_string(a[1:len(a) - 1], ', ') || ' and ' || a[len(a)] || ' detected.' END AS sentence FROM x")
+@query(
+    "g18_explanations",
+    _SCORES + f""", x AS (SELECT *, {_STRONG} AS a, {_MODERATE} AS b, list_avg(list_filter([ela, noise, copy_move, splicing, content_alteration, text_tampering, stamp], lambda x: x IS NOT NULL)) AS mean,
+    CASE WHEN greatest(ela, noise) >= 80 THEN 'CRITICAL' WHEN greatest(ela, noise) >= 60 THEN 'HIGH' WHEN greatest(ela, noise) >= 35 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM s)
+    SELECT document_id, array_to_string(list_filter([{_AND.format('a', 'Strong')}, {_AND.format('b', 'Moderate')}, CASE WHEN copy_move >= 40 THEN '{C.DUPLICATED}' END,
+    CASE WHEN strong > 0 THEN strong || CASE WHEN strong > 1 THEN ' regions' ELSE ' region' END || '{C.STRONG_SAID}' END, CASE WHEN moderate > 0 THEN moderate || CASE WHEN moderate > 1 THEN ' regions' ELSE ' region' END || '{C.MODERATE_SAID}' END,
+    {_cases("CASE WHEN metadata >= 50 AND mean < 25 THEN 'METADATA' WHEN mean >= 60 AND metadata < 15 THEN 'IMAGE' END", C.CONFLICTS)}, {_cases('level', C.ASSESSMENTS)}], lambda x: x IS NOT NULL), chr(10)) AS sentences FROM x""",
+)
 def explanations(t):
-    """A sentence of the detectors with strong evidence, in their fixed order."""
-    strong = F.array_compact(F.array(*[F.when(F.col(k) >= 60, label) for k, label in LABELS.items()]))
-    rows = _evidence(t).select("document_id", strong.alias("a"))
-    return rows.select("document_id", F.when(F.size("a") > 0, F.concat(F.lit("Strong "), _joined(F.col("a")), F.lit(" detected."))).alias("sentence"))
+    """All sentences on a document's evidence, a line each; the level here is that of the higher of two detectors."""
+    scores = {k: F.col(k) for k in D.DETECTORS}
+    level = D.level(F.greatest("ela", "noise"), D.IMAGE_LEVELS)
+    return _evidence(t).select("document_id", F.array_join(C.explanations(scores, F.col("strong"), F.col("moderate"), D.conflict(scores), level), "\n").alias("sentences"))
 
 
 _LEVELS = {"ela": (40, 20, 10), "noise": (35, 15, 5), "copy_move": (50, 25, 10)}
