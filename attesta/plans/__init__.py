@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports every module of queries once."""
-    from attesta.plans import aggregates, correlation, decisions, evidence, fields, fusion, intake, listings, records, streams  # noqa: F401
+    from attesta.plans import aggregates, correlation, decisions, evidence, extraction, fields, fusion, intake, listings, records, streams  # noqa: F401
