@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.dates import standard_date
@@ -111,33 +111,32 @@ def first_match(line: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in patterns])
 
 
-def _found(value: Column, confidence: float | Column) -> Column:
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), confidence).otherwise(0.0).alias("confidence"))
+def _found(value: Column, confidence: float) -> Column:
+    return F.struct(value.cast("string").alias("value"), F.lit(confidence).alias("confidence"))
 
 
 def shown(of: Column, field: Shown, pivot: int) -> Column:
     """The field's value on the first of the lines ``of`` that shows one, as struct (value, confidence); null and 0 where none does. A line whose first match is dropped doesn't count."""
     values = F.transform(of, lambda line: first_match(line, field.patterns))
     kept = F.filter(values, lambda v: v.isNotNull() & ~v.rlike(field.drop) if field.drop else v.isNotNull())
-    value = F.get(kept, F.lit(0))
-    return _found(F.when(value.isNotNull(), field.clean(value, pivot)), field.confidence)
+    first = F.transform(F.slice(kept, 1, 1), lambda v: _found(field.clean(v, pivot), field.confidence))
+    return F.coalesce(F.get(first, F.lit(0)), _found(F.lit(None), 0.0))
 
 
-def zone(text: Column, kind: str, pivot: int) -> Column:
-    """The visual zone of a VISA, NATIONAL_ID (or licence) or PERMIT: a struct of all its fields, each a struct (value, confidence).
+def zone(docs: DataFrame, text: str, kind: str, pivot: int) -> DataFrame:
+    """``docs`` with all fields of the visual zone of a VISA, NATIONAL_ID (or licence) or PERMIT, found in the column ``text``, each a struct (value, confidence).
 
     Dates take the form yyyy-mm-dd where they have a known one; ``pivot`` is the last two-digit year of this century. In a NATIONAL_ID dates without a
     label are told by their order: of three different ones or more the first is the birth, the second the issue, the third the expiry, of two the
-    first is the birth and the second the expiry. A null text has no fields.
+    first is the birth and the second the expiry. A null text has no fields. Columns of ``docs`` stay; they may not begin with two underscores.
     """
-    of = lines(text)
-    found = {name: shown(of, field, pivot) for name, field in ZONES[kind].items()}
+    one = docs.withColumns({"__lines": lines(F.col(text)), "__every": F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_ANY_DATE), 1)})
+    found = one.withColumns({f"__{name}": shown(F.col("__lines"), field, pivot) for name, field in ZONES[kind].items()})
     if kind == "NATIONAL_ID":
-        every = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_ANY_DATE), 1)
-        dates = F.array_sort(F.array_distinct(F.transform(every, lambda d: standard_date(d, pivot))))
-        told = {"date_of_birth": F.get(dates, F.lit(0)), "date_of_issue": F.when(F.size(dates) >= 3, F.get(dates, F.lit(1))), "date_of_expiry": F.when(F.size(dates) >= 2, F.get(dates, F.least(F.lit(2), F.size(dates) - 1)))}
-        for name, date in told.items():
-            usable = found[name]["value"].isNull() & (F.size(dates) >= 2) & date.isNotNull()
-            found[name] = F.when(usable, _found(date, ORDERED)).otherwise(found[name])
-    found |= {twin: found[name] for twin, name in TWINS[kind].items()} | {name: _found(F.lit(None).cast("string"), 0.0) for name in UNSHOWN[kind]}
-    return F.struct(*[c.alias(n) for n, c in found.items()])
+        found = found.withColumn("__dates", F.array_sort(F.array_distinct(F.transform("__every", lambda d: standard_date(d, pivot)))))
+        n, at = F.size("__dates"), lambda i: F.get("__dates", i)
+        told = {"date_of_birth": at(F.lit(0)), "date_of_issue": F.when(n >= 3, at(F.lit(1))), "date_of_expiry": at(F.least(F.lit(2), n - 1))}
+        found = found.withColumns({f"__{name}": F.when(F.col(f"__{name}")["value"].isNull() & (n >= 2) & date.isNotNull(), _found(date, ORDERED)).otherwise(F.col(f"__{name}")) for name, date in told.items()})
+    shown_ = {name: F.col(f"__{name}") for name in ZONES[kind]}
+    every = shown_ | {twin: shown_[name] for twin, name in TWINS[kind].items()} | {name: _found(F.lit(None), 0.0) for name in UNSHOWN[kind]}
+    return found.select(*docs.columns, *[c.alias(name) for name, c in every.items()])

@@ -82,9 +82,8 @@ def _zone(name: str, kind: str):
     @query(name, _zone_sql(kind))
     def extracted(t):
         """The zone's fields and their confidences, found in texts of several layouts."""
-        found = t("customer").select(F.col("c_custkey").alias("k"), zones.zone(F.expr(TEXTS[kind]), kind, PIVOT).alias("z"))
-        names = [*zones.ZONES[kind], *zones.TWINS[kind], *zones.UNSHOWN[kind]]
-        return found.select("k", *[F.col(f"z.{n}.value").alias(n) for n in names], *[F.col(f"z.{n}.confidence").alias(f"{n}_c") for n in names])
+        found = zones.zone(t("customer").select(F.col("c_custkey").alias("k"), F.expr(TEXTS[kind]).alias("text")), "text", kind, PIVOT).drop("text")
+        return found.select("k", *[x for n in found.columns[1:] for x in (F.col(n)["value"].alias(n), F.col(n)["confidence"].alias(f"{n}_c"))])
 
 
 for _name, _kind in (("f24_visa_zone", "VISA"), ("f25_national_id_zone", "NATIONAL_ID"), ("f26_permit_zone", "PERMIT")):
