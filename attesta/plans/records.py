@@ -205,34 +205,3 @@ def encrypted_roundtrip(t):
     rows = t("customer").select("c_custkey", F.sha2("c_name", 256).alias("digest"), F.aes_encrypt(F.encode("c_name", "UTF-8"), key, F.lit("GCM")).alias("sealed"))
     plain = F.decode(F.aes_decrypt("sealed", key, F.lit("GCM")), "UTF-8")
     return rows.select("c_custkey", (F.sha2(plain, 256) == F.col("digest")).alias("intact"))
-
-
-@query(
-    "g1_validation",
-    f"""WITH b AS ({_BASE_SQL}), f AS (SELECT k, unnest([
-        CASE WHEN k % 5 = 0 THEN {{'rule': 'MRZ_CHECKSUM_FAILURE', 'severity': 'CRITICAL', 'impact': 35}} END,
-        CASE WHEN CAST({_YEAR.format('expires')} AS DATE) < DATE '{AS_OF}' THEN {{'rule': 'EXPIRED_DOCUMENT', 'severity': 'CRITICAL', 'impact': 35}} WHEN CAST({_YEAR.format('expires')} AS DATE) < DATE '{AS_OF}' + 180 THEN {{'rule': 'SIX_MONTH_EXPIRY_WARNING', 'severity': 'MEDIUM', 'impact': 10}} END,
-        CASE WHEN CAST({_YEAR.format('born')} AS DATE) > DATE '{AS_OF}' THEN {{'rule': 'FUTURE_DOB_ANOMALY', 'severity': 'CRITICAL', 'impact': 35}} END,
-        CASE WHEN k % 3 = 0 THEN {{'rule': 'VISUAL_MRZ_NUMBER_MISMATCH', 'severity': 'CRITICAL', 'impact': 30}} END,
-        CASE WHEN k % 7 = 0 THEN {{'rule': 'VISUAL_MRZ_GENDER_MISMATCH', 'severity': 'HIGH', 'impact': 20}} END]) AS x FROM b)
-    SELECT b.k, coalesce(string_agg(x.rule, ',' ORDER BY x.rule), '') AS rules, coalesce(count_if(x.severity IN ('CRITICAL', 'HIGH')), 0) = 0 AS is_valid, CAST(least(coalesce(sum(x.impact), 0), 40) AS INT) AS impact FROM b LEFT JOIN f ON b.k = f.k GROUP BY b.k""",
-)
-def validation(t):
-    """Rules of a passport as nullable findings in one row: which broke, whether the document stands, the capped impact."""
-    z = mrz.passport(F.lit("P<INDA<<B"), F.rpad(_line2(wrong=True), 44, "<"), "strict", PIVOT)
-    finding = lambda test, rule, severity, impact: F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(impact).alias("impact")))
-    now, k = F.lit(AS_OF).cast("date"), F.col("k")
-    rows = _base(t).withColumn("z", z).withColumn("expiry", dates.expiry_status(F.col("z.date_of_expiry").cast("date"), now))
-    visual = F.when(k % 3 == 0, F.concat(F.col("z.number"), F.lit("X"))).otherwise(F.lower(F.col("z.number")))
-    seen = F.when(k % 7 == 0, F.when(F.col("z.sex") == "M", "F").otherwise("M")).otherwise(F.col("z.sex"))
-    found = F.array_compact(F.array(
-        finding(~F.col("z.valid"), "MRZ_CHECKSUM_FAILURE", "CRITICAL", 35),
-        finding(F.col("expiry") == "EXPIRED", "EXPIRED_DOCUMENT", "CRITICAL", 35),
-        finding(F.col("expiry") == "NEAR_EXPIRY", "SIX_MONTH_EXPIRY_WARNING", "MEDIUM", 10),
-        finding(dates.birth_status(F.col("z.date_of_birth").cast("date"), now) == "INVALID_FUTURE_DOB", "FUTURE_DOB_ANOMALY", "CRITICAL", 35),
-        finding(C.numbers_differ(F.col("z.number"), visual), "VISUAL_MRZ_NUMBER_MISMATCH", "CRITICAL", 30),
-        finding(seen != F.col("z.sex"), "VISUAL_MRZ_GENDER_MISMATCH", "HIGH", 20),
-    ))
-    rows = rows.withColumn("f", found)
-    impact = F.least(F.aggregate("f", F.lit(0), lambda a, x: a + x["impact"]), F.lit(40))
-    return rows.select("k", F.array_join(F.array_sort(F.transform("f", lambda x: x["rule"])), ",").alias("rules"), (~F.exists("f", lambda x: x["severity"].isin("CRITICAL", "HIGH"))).alias("is_valid"), impact.alias("impact"))

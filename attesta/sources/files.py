@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions.rulesets import RULES
+
 #: Limits of an upload, and the first bytes (in hex) and extensions of the kinds accepted.
 MOST_BYTES = 50 * 1024 * 1024
 MAGIC = {"25504446": "PDF", "89504E47": "PNG", "FFD8FF": "JPEG", "49492A00": "TIFF", "4D4D002A": "TIFF", "424D": "BMP", "47494638": "GIF"}
@@ -32,12 +36,22 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("content", F.when(F.col("refused").isNull(), F.col("content")))
 
 
-def load_rulesets(spark: SparkSession, path: str) -> DataFrame:
-    """Rulesets (one JSON document a file) with the keys that are missing in each; small, so joined by broadcast where Spark sees fit."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
+def _rulesets(raw: DataFrame) -> DataFrame:
+    """Rulesets from ``file`` and ``value`` (JSON): document_type (the file's name before _rules.json), file, missing and rules."""
     keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
     shape = "required_fields array<string>, patterns map<string,string>, date_rules map<string,map<string,boolean>>"
-    return raw.select("file", F.array_except(F.array(*[F.lit(k) for k in RULE_KEYS]), keys).alias("missing"), F.from_json("value", shape).alias("rules"))
+    kind = F.nullif(F.regexp_extract("file", r"([^/\\]+?)(?:_rules)?\.json$", 1), F.lit(""))
+    return raw.select(kind.alias("document_type"), "file", F.array_except(F.array(*[F.lit(k) for k in RULE_KEYS]), keys).alias("missing"), F.from_json("value", shape).alias("rules"))
+
+
+def load_rulesets(spark: SparkSession, path: str) -> DataFrame:
+    """Rulesets (one JSON document a file, <document_type>_rules.json) with the keys that are missing in each; small, so joined by broadcast where Spark sees fit."""
+    return _rulesets(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value")))
+
+
+def known_rulesets(spark: SparkSession) -> DataFrame:
+    """The rulesets that come with the library, as ``load_rulesets`` reads them from files."""
+    return _rulesets(spark.createDataFrame([(f"{kind}_rules.json", json.dumps(rules)) for kind, rules in RULES.items()], "file string, value string"))
 
 
 def append_rows(rows: DataFrame, path: str, by: str | None = None) -> None:

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from attesta.functions import pixels
+from attesta.operators.validation import validate
 from attesta.sources import files
 
 
@@ -22,6 +23,28 @@ def test_rulesets(spark, tmp_path):
     assert got["bad.json"].missing == ["required_fields", "date_rules"]
 
 
+def test_documents_against_rulesets_from_files(spark, tmp_path):
+    """A type of the user's own; files that lack a key, types without a file, null and empty fields."""
+    (tmp_path / "badge_rules.json").write_text('{"required_fields": ["permit_number", "note"], "patterns": {"permit_number": "^B[0-9]+$", "gender": "^(?:M|F)$"}, "date_rules": {"date_of_birth": {"must_be_past": true}, "date_of_expiry": {"must_be_after_today": true, "must_be_after_dob": true}}}')
+    (tmp_path / "broken_rules.json").write_text('{"patterns": {}}')
+    docs = spark.sql("""SELECT * FROM VALUES
+        (1, 'BADGE', map('permit_number', named_struct('value', ' b-1 2', 'confidence', 0.9D), 'note', named_struct('value', 'x', 'confidence', 0.7D), 'gender', named_struct('value', 'm', 'confidence', CAST(NULL AS DOUBLE)))),
+        (2, 'badge', map('permit_number', named_struct('value', 'C1', 'confidence', 0.9D), 'note', named_struct('value', ' ', 'confidence', 0.9D), 'date_of_birth', named_struct('value', '01/01/2030', 'confidence', 0.9D), 'date_of_expiry', named_struct('value', '1 Jan 2027', 'confidence', 0.9D))),
+        (3, 'broken', map('note', named_struct('value', 'x', 'confidence', 0.9D))), (4, NULL, NULL), (5, 'badge', NULL) AS t(id, document_type, fields)""").withColumn("rules", F.lit("mine")).withColumn("checks_", F.lit(1))
+    got = {r.id: r for r in validate(docs, files.load_rulesets(spark, str(tmp_path)), F.lit("2026-01-01").cast("date")).collect()}
+    told = {i: [f"{c.field}:{c.status}:{c.reason}" for c in r.checks] if r.checks is not None else None for i, r in got.items()}
+    assert told[1] == ["permit_number:VALID:None", "note:VALID:None"] and got[1].valid and got[1].warnings == ["note"] and got[1].rules == "mine"
+    assert told[2] == ["permit_number:INVALID:PATTERN", "note:MISSING:None", "date_of_birth:INVALID:FUTURE", "date_of_expiry:INCONSISTENT:BEFORE_BIRTH"] and not got[2].valid
+    assert told[3] is None and told[4] is None and not got[3].valid and not got[4].valid
+    assert told[5] == ["permit_number:MISSING:None", "note:MISSING:None"]
+
+
+def test_known_rulesets_are_whole(spark):
+    got = {r.document_type: r for r in files.known_rulesets(spark).collect()}
+    assert sorted(got) == ["driving_license", "national_id", "passport", "permit", "visa"] and all(r.missing == [] for r in got.values())
+    assert got["passport"].rules.date_rules["date_of_expiry"] == {"must_be_after_today": True, "must_be_after_dob": True} and len(got["visa"].rules.patterns) == 9
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.range(25).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
     files.append_rows(rows, f"{tmp_path}/t", "k")
