@@ -157,12 +157,16 @@ def _least(threshold: float) -> float:
 
 
 def _candidates(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row the later rows of other classes (and of the other block, where there are two) that agree enough, and how much they do."""
-    across = group["low"][0].as_py() != group["high"][0].as_py()
-    label, side = group["label"].to_numpy(), group["side"].to_numpy()
+    """Rows of a piece of a bucket with those of other classes that agree enough, and how much they do; each pair once.
+
+    Part 0 holds a block of the bucket's main class and a block of the others, which are held against each other; part 1 one or two blocks of the others.
+    """
+    part, across = group["part"][0].as_py(), group["low"][0].as_py() != group["high"][0].as_py()
+    label, side, main = group["label"].to_numpy(), group["side"].to_numpy(), group["inside"].to_numpy(zero_copy_only=False)
     marks = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
-    for u in range(len(label) - 1):
-        v = np.flatnonzero((label[u + 1 :] != label[u]) & ((side[u + 1 :] != side[u]) | (not across))) + u + 1
+    every = np.flatnonzero(main)
+    for u in np.flatnonzero(~main).tolist() if part == 0 else range(len(label) - 1):
+        v = every if part == 0 else np.flatnonzero((label[u + 1 :] != label[u]) & ((side[u + 1 :] != side[u]) | (not across))) + u + 1
         if len(v):
             same = (marks[v] == marks[u]).sum(axis=1)
             near = same >= least
@@ -221,12 +225,25 @@ def _settle(threshold: float):
 
 
 def _blocked(rows: DataFrame, carried: DataFrame) -> DataFrame:
-    """``rows`` (key, node, label, bytes) of the buckets that hold several classes with what is ``carried`` by node, dealt over their pairs of blocks (low, high; side is the row's own)."""
-    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("x < y")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    dealt = rows.select("key", "node", "label").join(cut_narrow(mixed.select("key", blocks.alias("blocks"))), "key").join(carried, "node")
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("low", F.least("side", "other")).withColumn("high", F.greatest("side", "other")).drop("other", "blocks")
+    """``rows`` (key, node, label, bytes) of the buckets that hold several classes with what is ``carried`` by node, dealt over pieces of work (key, part, low, high).
+
+    A bucket's largest class needs no comparing within itself: its blocks meet those of the other classes (part 0), and these each other (part 1). So a large
+    class with few strangers is moved once, and work follows the strangers.
+    """
+    counted = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    most = F.max(F.struct("n", "label", "bytes"))
+    mixed = counted.groupBy("key").agg(most.alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    others = F.col("n") - F.col("main.n")
+    sized = cut_narrow(mixed.select("key", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("mains"), blocks(others, F.col("bytes") - F.col("main.bytes")).alias("rests"), others.alias("others")))
+    dealt = rows.select("key", "node", "label").join(sized, "key").join(carried, "node").withColumn("inside", F.col("label") == F.col("main"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    piece = lambda part, low, high: F.struct(F.lit(part).alias("part"), low.alias("low"), high.alias("high"))
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    side, alone = F.col("side"), F.col("others") == 1
+    outside = F.concat(upto("mains", lambda i: piece(0, i, side)), F.when(alone, F.filter(upto("rests", lambda j: piece(1, j, j)), lambda _: F.lit(False))).otherwise(upto("rests", lambda j: piece(1, F.least(side, j), F.greatest(side, j)))))
+    pieces = F.when(F.col("inside"), upto("rests", lambda j: piece(0, side, j))).otherwise(outside)
+    return dealt.withColumn("piece", F.explode(pieces)).drop("main", "mains", "rests", "others").select("*", "piece.*").drop("piece")
 
 
 def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -245,7 +262,8 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
     are candidates. Rounds of linear work come first: each node is held against one
     pivot of its buckets, then against the node of another class in its buckets whose signature agrees
     most with its own. Buckets that still hold different classes of nodes that agree enough are
-    settled whole, likeliest pairs first, in pairs of blocks bounded by rows and bytes. All verification is on
+    settled whole, likeliest pairs first, in pairs of blocks bounded by rows and bytes; the members of a bucket's largest class are held
+    against its other members only. All verification is on
     the packed shingle sets, made once per node. So no link between classes is lost beyond
     what banding and estimates miss (chance below 0.001 at the threshold), and tasks send on
     one partner per node or links between classes, never a group's pairs.
@@ -274,12 +292,12 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
     labels = merged(cut_narrow(labels), verified(pairs).union(again))
     marks = single.select("node", "marks")
     dealt = _blocked(buckets.select("key", "node").join(labels, "node").withColumn("bytes", F.lit(REGISTERS)), marks)
-    nearest = dealt.groupBy("key", "low", "high").applyInArrow(_nearest(threshold), "u long, v long, same long")
+    nearest = dealt.groupBy("key", "part", "low", "high").applyInArrow(_nearest(threshold), "u long, v long, same long")
     partner = cut_narrow(nearest.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")))
     labels = merged(labels, verified(partner.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
     left = labels.join(partner.select(F.col("u").alias("node")), "node", "left_semi").join(sets.select("node", F.octet_length("hashes").alias("bytes")), "node")
     dealt = _blocked(buckets.select("key", "node").join(left, "node"), marks.join(sets, "node"))
-    labels = merged(labels, cut_narrow(dealt.groupBy("key", "low", "high").applyInArrow(_settle(threshold), "u long, v long")))
+    labels = merged(labels, cut_narrow(dealt.groupBy("key", "part", "low", "high").applyInArrow(_settle(threshold), "u long, v long")))
     classed = members.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
     least = cut_narrow(classed.groupBy("label").agg(F.min("id").alias("class_id")))
     found = classed.join(least, "label").select("id", "class_id").distinct()

@@ -350,6 +350,70 @@ def test_near_duplicates(spark, edges, empty):
     assert prob_minhash.near_duplicate_documents(empty).count() == 0
 
 
+def _brute_classes(rows, threshold=0.8):
+    """Class of each row by all pairs that share a shingle, each held against the other."""
+    sets, where, root = {i: _shingles(t) for i, t in rows}, defaultdict(list), {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, shingles in sets.items():
+        for shingle in shingles:
+            where[shingle].append(i)
+    for i, shingles in sets.items():
+        for j, shared in Counter(j for shingle in shingles for j in where[shingle] if j < i).items():
+            if shared >= 0.5 * max(len(shingles), len(sets[j])) and find(i) != find(j) and _jp(shingles, sets[j]) >= threshold:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in root}
+
+
+def _variants(rng, words, n, sizes):
+    """Texts of one theme with few words changed, and strangers that share most of it but not enough."""
+    base, rows = rng.choices(words, k=90), []
+    for i in range(n):
+        t = list(base)
+        for _ in range(rng.choice(sizes)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_mixed_buckets_in_blocks(spark, monkeypatch, block):
+    """One large class with strangers around the threshold, split into many pieces of work."""
+    monkeypatch.setattr(prob_minhash, "BLOCK", block)
+    rng = random.Random(block)
+    rows = _variants(rng, [f"word{i}" for i in range(400)], 160, [0, 1, 1, 2, 3, 5, 8])
+    got = {r.doc_id: r.class_id for r in prob_minhash.near_duplicate_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute_classes(rows)
+
+
+def test_near_duplicates_of_the_given_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: r.class_id for r in prob_minhash.near_duplicate_documents(docs).collect()}
+    assert got == _brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_pieces_of_a_bucket_cover_each_pair_once(spark, monkeypatch):
+    """No piece holds two members of the main class against each other; every other pair of different classes comes in exactly one."""
+    monkeypatch.setattr(prob_minhash, "BLOCK", 4)
+    rows = [("a", i, 0 if i < 21 else i // 3, 1) for i in range(33)] + [("b", i, 0 if i < 9 else 1, 1) for i in range(10)] + [("c", i, 5, 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "key string, node long, label long, bytes long")
+    marks = np.zeros(prob_minhash.REGISTERS, np.uint8).tobytes()
+    pieces = prob_minhash._blocked(df, spark.range(40).select(F.col("id").alias("node"), F.lit(bytearray(marks)).alias("marks")))
+    met, every = Counter(), pieces.toArrow().combine_chunks()
+    of = list(zip(*(every[c].to_pylist() for c in ("key", "part", "low", "high")), strict=True))
+    for piece in set(of):
+        group = every.take([i for i, x in enumerate(of) if x == piece]).combine_chunks()
+        nodes = group["node"].to_pylist()
+        for u, v, _ in prob_minhash._candidates(group, 0):
+            met.update((piece[0], *sorted((nodes[u], nodes[x]))) for x in v.tolist())
+    label = {(k, n): x for k, n, x, _ in rows}
+    assert met == Counter((k, n, m) for k, n in label for j, m in label if j == k and n < m and label[k, n] != label[k, m])
+
+
 def test_prob_minhash_estimates():
     a = np.sort(textops.mix(np.arange(0, 800, dtype=np.uint64)))
     b = np.sort(textops.mix(np.arange(200, 1000, dtype=np.uint64)))
