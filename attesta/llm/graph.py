@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from attesta.llm.session import cut_narrow
 
+#: Up to this many links (16 bytes each) are folded by one task, which takes one pass; more go through steps over all of them.
+FOLD = 1_000_000
+
 
 def _cut_and_sum(edges: DataFrame, most: int | None = None) -> tuple[DataFrame, dict]:
     """The edges, cut, and their number and checksum, observed in the same job."""
@@ -15,16 +22,36 @@ def _cut_and_sum(edges: DataFrame, most: int | None = None) -> tuple[DataFrame,
     return kept, seen.get
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and component of all nodes of the links (hi, lo), FOLD at most."""
+    links = pa.Table.from_batches(list(batches), pa.schema([("hi", pa.int64()), ("lo", pa.int64())]))
+    node, code = np.unique(np.concatenate([links[c].to_numpy() for c in ("hi", "lo")]), return_inverse=True)
+    a, b = np.split(code, 2)
+    root = np.arange(len(node))
+    while True:
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            break
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_pydict({"node": node, "component": node[root]})
+
+
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Columns ``node`` and ``component`` (the smallest node reachable) for every node with a link to another.
 
     ``edges`` holds two long columns; self links and rows with nulls are ignored,
     direction and repetition do not matter. Each step shuffles at most one row per
     edge and aggregates with map-side combining; the driver sees only two numbers. The
-    least neighbours are cut before the join, so adaptive execution can split the links of one large star over tasks.
+    least neighbours are cut before the join, so adaptive execution can split the links of one large star over tasks. A graph of up to
+    FOLD links takes one pass of a single task instead, with the same result.
     """
     a, b = F.col(left), F.col(right)
     stars, seen = _cut_and_sum(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    if seen["n"] <= FOLD:
+        return stars.coalesce(1).mapInArrow(_folded, "node long, component long")
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(stars.select("lo", "hi"))
         least = cut_narrow(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * seen["n"])

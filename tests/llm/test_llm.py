@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attesta.llm import cost_packing, embedding_dedup, line_dedup, merge_dropout, preference, prob_minhash, queries, suffix_dedup, textops, token_counts, topk, toxicity_chain
+from attesta.llm import cost_packing, embedding_dedup, graph, line_dedup, merge_dropout, preference, prob_minhash, queries, suffix_dedup, textops, token_counts, topk, toxicity_chain
 from attesta.llm.graph import connected_components
 from attesta.llm.session import table
 from tests.oracle import DATA, rows_of, rows_of_sql
@@ -50,7 +50,9 @@ def test_matches_sql(spark, name):
     assert rows_of(queries.QUERIES[name](spark, DATA)) == rows_of_sql(queries.ORACLES[name])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("fold", [0, 1_000_000])
+def test_components(spark, monkeypatch, fold):
+    monkeypatch.setattr(graph, "FOLD", fold)
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, x) for x in range(5001, 5100)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
