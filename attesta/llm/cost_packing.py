@@ -181,4 +181,4 @@ def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     # By id and text: rows without doc_id, and those that share one, don't meet in one shard.
     dealt = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), "doc_id", "text")
     encoded = dealt.mapInArrow(textops.returning(_encoder(tokenizer_path, end)), f"shard long, doc_id {kind}, width int, ids binary")
-    return encoded.groupBy("shard").applyInArrow(_packer(capacity, linear, quadratic), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return encoded.groupBy("shard").applyInArrow(textops.returning_group(_packer(capacity, linear, quadratic)), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -286,18 +286,18 @@ def near_duplicate_documents(documents: DataFrame, threshold: float = 0.8) -> Da
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}"), F.col("counts").alias(f"c{c}")) for c in ("u", "v"))
-        return cut_narrow(pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "cu", "hv", "cv").mapInArrow(_verifier(threshold), "u long, v long"))
+        return cut_narrow(pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "cu", "hv", "cv").mapInArrow(textops.returning(_verifier(threshold)), "u long, v long"))
 
     labels = few.select("node").union(again.select("u")).union(again.select("v")).distinct().withColumn("label", F.col("node"))
     labels = merged(cut_narrow(labels), verified(pairs).union(again))
     marks = single.select("node", "marks")
     dealt = _blocked(buckets.select("key", "node").join(labels, "node").withColumn("bytes", F.lit(REGISTERS)), marks)
-    nearest = dealt.groupBy("key", "part", "low", "high").applyInArrow(_nearest(threshold), "u long, v long, same long")
+    nearest = dealt.groupBy("key", "part", "low", "high").applyInArrow(textops.returning_group(_nearest(threshold)), "u long, v long, same long")
     partner = cut_narrow(nearest.groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v")))
     labels = merged(labels, verified(partner.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
     left = labels.join(partner.select(F.col("u").alias("node")), "node", "left_semi").join(sets.select("node", F.octet_length("hashes").alias("bytes")), "node")
     dealt = _blocked(buckets.select("key", "node").join(left, "node"), marks.join(sets, "node"))
-    labels = merged(labels, cut_narrow(dealt.groupBy("key", "part", "low", "high").applyInArrow(_settle(threshold), "u long, v long")))
+    labels = merged(labels, cut_narrow(dealt.groupBy("key", "part", "low", "high").applyInArrow(textops.returning_group(_settle(threshold)), "u long, v long")))
     classed = members.join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"))
     least = cut_narrow(classed.groupBy("label").agg(F.min("id").alias("class_id")))
     found = classed.join(least, "label").select("id", "class_id").distinct()

@@ -454,14 +454,14 @@ def remove_repeats(documents: DataFrame, carry: list[str] | None = None, whole_c
     ids = copies.select("doc_id", "tag")
     single = named.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "tag"], "left_anti")
     strings = single.select("doc_id", "tag", "text").mapInArrow(textops.returning(_emitter(buckets)), _STRINGS)
-    repeating = strings.groupBy("bucket").applyInArrow(_repeating(buckets), _REPEATING)
+    repeating = strings.groupBy("bucket").applyInArrow(textops.returning_group(_repeating(buckets)), _REPEATING)
     parted = named.withColumn("part", _part_column(buckets))
-    passages = parted.groupBy("part").cogroup(repeating.groupBy("part")).applyInArrow(_cutter(buckets), _PASSAGES)
-    ranges = passages.groupBy("bucket").applyInArrow(_resolved(buckets), _RANGES)
+    passages = parted.groupBy("part").cogroup(repeating.groupBy("part")).applyInArrow(textops.returning_pair(_cutter(buckets)), _PASSAGES)
+    ranges = passages.groupBy("bucket").applyInArrow(textops.returning_group(_resolved(buckets)), _RANGES)
     whole = copies.withColumn("part", _part_column(buckets)).select("part", _little_endian("doc_id", 8).alias("doc"), _little_endian("tag", 4).alias("tag"), F.lit(bytes(4)).alias("start"), _little_endian("n", 4).alias("stop"))
     schema = "doc_id long, tag int, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
     removed = parted.groupBy("part").cogroup(ranges.union(whole).groupBy("part"))
-    removed = removed.applyInArrow(_remover(whole_characters), schema + (f", rest {dict(rows.dtypes)['rest']}" if carry else ""))
+    removed = removed.applyInArrow(textops.returning_pair(_remover(whole_characters)), schema + (f", rest {dict(rows.dtypes)['rest']}" if carry else ""))
     unnamed = rows.where(F.col("doc_id").isNull())
     spans = F.array().cast("array<struct<start:long,stop:long>>")
     unnamed = unnamed.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), spans.alias("spans"), F.encode("text", "UTF-8").alias("kept"), *(["rest"] if carry else []))

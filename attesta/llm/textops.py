@@ -83,17 +83,46 @@ def slices(offsets: np.ndarray, most: int = STEP // 2) -> Iterator[tuple[int, in
         i = min(j, n)
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system: Spark keeps workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, and at the end of its task the memory it freed goes back to the system: Spark keeps workers for later tasks."""
+    """``run``, and at the end of its task it gives memory back."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-            if trim:
-                trim(0)
+            give_back()
+
+    return tidy
+
+
+def returning_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run``, and after each group it gives memory back."""
+
+    def tidy(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def returning_pair(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``run``, and after each pair of groups it gives memory back."""
+
+    def tidy(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            give_back()
 
     return tidy
 
