@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch on the way to Python; Spark's own limit is 256 MB beside its 10,000 rows.
 BATCH_BYTES = str(16 << 20)
+#: The same where a lazy result carries whole texts to Python.
+TEXT_BATCH_BYTES = 4 << 20
 #: Rows of a few numbers that one task reads, and tasks that read such a table at least.
 NARROW_ROWS, LEAST_PARTITIONS = 250_000, 16
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -49,6 +51,14 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold at most TEXT_BATCH_BYTES (or one row). A lazy result runs when its caller wants it, so the bound has to stay."""
+    now = spark.conf.get(_BATCH, None)
+    bytes_ = int(now) if now and now.isdigit() else -1
+    if not 0 < bytes_ <= TEXT_BATCH_BYTES:
+        spark.conf.set(_BATCH, str(TEXT_BATCH_BYTES))
+
+
 def cut_narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``cut`` for rows of a few numbers: partitions that hold few rows are read together, so that later shuffles write no crowd of tiny files.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import textops
-from attesta.llm.session import cut
+from attesta.llm.session import bound_batches, cut
 
 #: Bytes of a repeated string, and of the anchors inside that bring equal strings together.
 SPAN, ANCHOR = 50, 16
@@ -438,8 +438,10 @@ def remove_repeats(documents: DataFrame, carry: list[str] | None = None, whole_c
     at further. Their bytes come together by anchor and are suffix sorted: first whole runs, then
     single strings of the runs that no earlier document has. Equal runs of a part go on
     once, so frequent passages fill no bucket. Both visits to the texts share one shuffle of them by document.
+    The session's Arrow batches are bounded from then on (``bound_batches``).
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     rest = [F.struct(*carry).alias("rest")] if carry else []
     tag = F.coalesce(F.hash("text"), F.lit(0))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"), *rest)
