@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import textops
+from attesta.llm.session import bound_batches
 
 #: Categories in chain order, as SQL over a row of labels that gives 1, 0 or null.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -18,6 +19,8 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 TRAINED = 6000
 #: Feature space, features a model selects, folds of out-of-fold predictions, L2 penalty.
 SPACE, SELECTED, FOLDS, PENALTY = 1 << 18, 256, 3, 1.0
+#: Entries of a feature list that are worked on at a time.
+SLICE = 1 << 20
 #: Word beginnings (in bytes) that are features beside the words themselves: they carry stems over to unseen endings.
 STEMS = (4, 5, 6, 7)
 
@@ -35,11 +38,19 @@ def rates(count: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.log1p(300 * count / words)
 
 
+def _sliced(n: int) -> Iterator[slice]:
+    """Pieces of n entries, so that working on them takes little memory beside them."""
+    return (slice(i, i + SLICE) for i in range(0, n, SLICE))
+
+
 def select(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Features of the training ``rows`` that go with the category, by chi-squared of presence; ascending."""
-    inside = rows[owner]
-    here = np.bincount(feature[inside], minlength=SPACE)
-    yes = np.bincount(feature[inside], y[owner[inside]], SPACE)
+    here, yes = np.zeros(SPACE, np.int64), np.zeros(SPACE)
+    for at in _sliced(len(owner)):
+        inside = rows[owner[at]]
+        of, who = feature[at][inside], owner[at][inside]
+        here += np.bincount(of, minlength=SPACE)
+        yes += np.bincount(of, y[who], SPACE)
     n, n1 = rows.sum(), y[rows].sum()
     n0, no = n - n1, here - yes
     side = np.maximum(np.abs(yes * (n0 - no) - no * (n1 - yes)) - n / 2, 0)
@@ -53,11 +64,12 @@ def select(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, rows: np.ndarr
 def dense(owner: np.ndarray, feature: np.ndarray, value: np.ndarray, chosen: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     """Chosen features, earlier categories' log odds and a constant as columns."""
     n = len(earlier)
-    at = np.searchsorted(chosen, feature)
-    hit = at < len(chosen)
-    hit[hit] = chosen[at[hit]] == feature[hit]
     x = np.zeros((n, len(chosen) + earlier.shape[1] + 1))
-    x[owner[hit], at[hit]] = value[hit]
+    for part in _sliced(len(owner)):
+        at = np.searchsorted(chosen, feature[part])
+        hit = at < len(chosen)
+        hit[hit] = chosen[at[hit]] == feature[part][hit]
+        x[owner[part][hit], at[hit]] = value[part][hit]
     p = np.clip(earlier, 1e-4, 1 - 1e-4)
     x[:, len(chosen) : -1] = np.log(p / (1 - p)) / 4
     x[:, -1] = 1
@@ -97,9 +109,11 @@ def _train(group: pa.Table) -> pa.Table:
     group = group.combine_chunks().sort_by([("doc_id", "ascending"), ("words", "ascending")]).combine_chunks()
     lists = group["features"].combine_chunks()
     words = np.maximum(group["words"].to_numpy(), 1)
-    owner = np.repeat(np.arange(group.num_rows), np.diff(lists.offsets.to_numpy()))
-    feature = lists.flatten().to_numpy().astype(np.int64)
-    value = rates(group["counts"].combine_chunks().flatten().to_numpy(), words[owner])
+    owner = np.repeat(np.arange(group.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    feature, counts = lists.flatten().to_numpy(), group["counts"].combine_chunks().flatten().to_numpy()
+    value = np.empty(len(counts))
+    for at in _sliced(len(counts)):
+        value[at] = rates(counts[at], words[owner[at]])
     labels = np.array(group["y"].to_pylist(), float)
     fold = np.arange(group.num_rows) % FOLDS
     earlier, models = np.zeros((group.num_rows, 0)), []
@@ -134,9 +148,10 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] |
     y = labels.select(F.col("doc_id"), *[F.expr(e).cast("int").alias(f"__{c}") for c, e in wanted.items()]).dropna()
     y = y.groupBy("doc_id").agg(F.array(*[F.max(f"__{c}") for c in wanted]).alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    bound_batches(documents.sparkSession)
     rows = documents.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(y), "doc_id").select("doc_id", "text", "y")
     seen = rows.mapInArrow(textops.returning(_featurise), f"doc_id {dict(rows.dtypes)['doc_id']}, y array<int>, words long, features array<int>, counts array<int>")
-    found = seen.groupBy(F.lit(0).alias("all")).applyInArrow(_train, "chain string").first()
+    found = seen.groupBy(F.lit(0).alias("all")).applyInArrow(textops.returning_group(_train), "chain string").first()
     return json.loads(found[0]) if found else []
 
 
