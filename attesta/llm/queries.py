@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.cost_packing import pack
+from attesta.llm.cost_packing import REMEMBERED, pack
 from attesta.llm.embedding_dedup import near_duplicate_vectors
 from attesta.llm.hard_negatives import hard_negatives
 from attesta.llm.kd_clusters import centroid_clusters
@@ -43,14 +43,14 @@ def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "variant", "n_bytes", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-def packed_digest(documents: DataFrame) -> DataFrame:
-    pieces = pack(documents, public_tokenizers.path("word_bpe_49k.json"))
+def packed_digest(documents: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    pieces = pack(documents, public_tokenizers.path("word_bpe_49k.json"), remembered=remembered)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op4_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, in sequences of 4096 tokens."""
-    return packed_digest(table(spark, sf_dir, "documents"))
+    return packed_digest(table(spark, sf_dir, "documents"), remembered=1_000_000)
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
