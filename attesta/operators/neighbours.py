@@ -31,14 +31,15 @@ def containing(rows: DataFrame, name: str, listed: DataFrame, listed_name: str)
     own run); a row with a run that no listed name has meets none. So common words bring few pairs together.
     """
     small = F.lower(name)
-    asked = rows.where(F.trim(name) != "").withColumn("__row", F.struct(*rows.columns))
-    asked = asked.select("__row", small.alias("__name"), F.explode(_grams(small, F.least(F.lit(GRAM), F.length(name)))).alias("__gram"))
+    asked = rows.where(F.trim(name) != "").select(F.struct(*rows.columns).alias("__row"), small.alias("__name"))
+    # Runs are looked at once for each different name; equal rows stay rows of their own.
+    names = asked.select("__name").distinct().select("__name", F.explode(_grams(F.col("__name"), F.least(F.lit(GRAM), F.length("__name")))).alias("__gram"))
     whole = F.lower(listed_name)
     runs = F.array_union(F.array_union(_grams(whole, F.lit(1)), _grams(whole, F.lit(2))), _grams(whole, F.lit(GRAM)))
     held = listed.select(F.struct(*listed.columns).alias("__listed"), whole.alias("__whole"), F.explode(runs).alias("__gram"))
     often = held.groupBy("__gram").agg(F.count("*").alias("__n"))
-    rarest = asked.join(often, "__gram", "left").groupBy("__row", "__name").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__least"))
-    met = rarest.select("__row", "__name", F.col("__least.__gram").alias("__gram")).join(held, "__gram")
+    rarest = names.join(often, "__gram", "left").groupBy("__name").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__least"))
+    met = asked.join(rarest.select("__name", F.col("__least.__gram").alias("__gram")), "__name").join(held, "__gram")
     return met.where(F.contains("__whole", "__name")).select("__row.*", "__listed.*")
 
 

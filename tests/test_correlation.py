@@ -131,3 +131,13 @@ def test_fused_regions_and_verdict(spark):
 def test_a_missing_score_stays_missing(spark):
     r = spark.sql("SELECT CAST(NULL AS DOUBLE) AS a, 0.345D AS b, -1D AS c, 7D AS d").select(*[D.normalised(F.col(c)) for c in "abcd"]).first()
     assert tuple(r) == (None, 34, 0, 100)
+
+
+def test_equal_rows_meet_listed_names_each(spark):
+    """Equal rows come back as often as they are there, and rows may hold maps."""
+    from attesta.operators.neighbours import containing
+
+    rows = spark.sql("SELECT id, name, map('a', id) AS more FROM VALUES (1, 'Ann'), (1, 'Ann'), (2, 'joanna'), (3, ' '), (4, NULL), (5, 'zz') AS t(id, name)")
+    listed = spark.createDataFrame([("x", "Joanna Lee"), ("y", "ANNE")], "code string, listed string")
+    got = sorted((r.id, r.code) for r in containing(rows, "name", listed, "listed").collect())
+    assert got == [(1, "x"), (1, "x"), (1, "y"), (1, "y"), (2, "x")]
