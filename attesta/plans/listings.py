@@ -87,18 +87,21 @@ def latest_one(t):
     return R.latest_one(t("orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
+_BY_TIME = "(l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {0})"
+_SIGNALS = (("tampering", 0, "l_discount"), ("face", 1, "l_tax"), ("ai", 2, "l_quantity"), ("ocr", 3, "l_extendedprice"))
+
+
 @query(
     "j17_four_signals",
-    """WITH base AS (SELECT DISTINCT l_orderkey FROM lineitem),
-    a AS (SELECT l_orderkey, max(l_discount) AS tampering FROM lineitem WHERE l_linenumber % 4 = 0 GROUP BY 1), b AS (SELECT l_orderkey, max(l_tax) AS face FROM lineitem WHERE l_linenumber % 4 = 1 GROUP BY 1),
-    c AS (SELECT l_orderkey, max(l_quantity) AS ai FROM lineitem WHERE l_linenumber % 4 = 2 GROUP BY 1), d AS (SELECT l_orderkey, max(l_extendedprice) AS ocr FROM lineitem WHERE l_linenumber % 4 = 3 GROUP BY 1)
-    SELECT base.l_orderkey AS document_id, CAST(tampering AS DOUBLE) AS tampering, CAST(face AS DOUBLE) AS face, CAST(ai AS DOUBLE) AS ai, CAST(ocr AS DOUBLE) AS ocr
-    FROM base LEFT JOIN a USING (l_orderkey) LEFT JOIN b USING (l_orderkey) LEFT JOIN c USING (l_orderkey) LEFT JOIN d USING (l_orderkey)""",
+    "WITH base AS (SELECT DISTINCT l_orderkey FROM lineitem), "
+    + ", ".join(f"{n} AS (SELECT l_orderkey, arg_max({c}, {_BY_TIME.format(c)}) AS {n} FROM lineitem WHERE l_linenumber % 4 = {k} GROUP BY 1)" for n, k, c in _SIGNALS)
+    + " SELECT base.l_orderkey AS document_id, " + ", ".join(f"CAST({n}.{n} AS DOUBLE) AS {n}" for n, _, _ in _SIGNALS)
+    + " FROM base " + " ".join(f"LEFT JOIN {n} USING (l_orderkey)" for n, _, _ in _SIGNALS),
 )
 def four_signals(t):
-    """The latest of four child signals per document, in one pass over the children rather than four joins."""
-    kinds = (("tampering", 0, "l_discount"), ("face", 1, "l_tax"), ("ai", 2, "l_quantity"), ("ocr", 3, "l_extendedprice"))
-    return t("lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(*[F.max(F.when(F.col("l_linenumber") % 4 == k, F.col(c))).cast("double").alias(n) for n, k, c in kinds])
+    """The latest of four child signals per document by time, in one pass over the children rather than four joins."""
+    latest = lambda k, c: F.max(F.when(F.col("l_linenumber") % 4 == k, F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col(c).alias("value"))))["value"]
+    return t("lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(*[latest(k, c).cast("double").alias(n) for n, k, c in _SIGNALS])
 
 
 @query("p5_dynamic_filters", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 100000")
