@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,29 @@ _ODD = "\x1c\x1d\x1e\x1f\x85\u03a3"
 _NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 #: A stop or comma that may go on a run of signs.
-_PAIR = re.compile(r"[^\w\s][.,]|_[.,]|[.,](?=[^\sa-z0-9])")
+_PAIR = re.compile(r"[.,](?:[^\sa-z0-9]|(?<=[^\w\s][.,])|(?<=_[.,]))")
+#: First character beyond the Latin letters, on whose case all Unicode versions agree.
+_BEYOND_LATIN = "\u0250"
+#: Signs that stand together as one unit after a word's letters; an apostrophe may begin a unit of its own.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Words(dict):
+    """Ids by word, made by ``learn`` at the first use and held for two generations of ``size`` words: a word that comes again moves to the younger one, so frequent words stay."""
+
+    def __init__(self, learn: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.learn, self.size, self.before = learn, max(1, size), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(self) >= self.size:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class WordEncoder:
@@ -43,7 +67,6 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -51,36 +74,30 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.by_words = (rules["normalizer"] or {}).get("normalizers") == _NORMALIZER and ((rules["pre_tokenizer"] or {}).get("pretokenizers") or [None])[0] == _SPLIT and rules["model"].get("end_of_word_suffix") == "</w>"
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        # The model's spelling of the Latin letters beyond ASCII.
+        self.spelled = {n: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(n))[0][0] for n in range(0x80, ord(_BEYOND_LATIN)) if chr(n).isalpha()} if self.by_words else {}
+        self.known = _Words(self._word, remembered // 2)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > self.remembered // 2:
-            self.known, self.before = {}, self.known
-        # Words of the time before are taken over when they come again, so that frequent ones stay.
-        missing = [w for w in words if w not in self.known]
-        self.known.update((w, self.before[w]) for w in missing if w in self.before)
-        new = [w for w in missing if w not in self.before]
-        # A word of letters only is one unit, closed by its last id: such words are encoded in one go.
-        plain = [w for w in new if w.isalpha()]
-        if plain:
-            ids = self._ids(" ".join(plain))
-            ends = (np.flatnonzero(self.closes[ids]) + 1) * self.kind.itemsize
-            if len(ends) == len(plain):
-                raw, start = ids.tobytes(), 0
-                for word, end in zip(plain, ends.tolist(), strict=True):
-                    self.known[word] = raw[start:end]
-                    start = end
-        for word in new:
-            if word not in self.known:
-                self.known[word] = self._ids(word).tobytes()
+    def _word(self, word: str) -> bytes:
+        """Ids of a lower-case word: letters are one unit for the model, other words are cut by the tokenizer's own rule."""
+        if not word.isascii() and max(word) >= _BEYOND_LATIN:
+            return self._ids(word).tobytes()
+        letters = word.rstrip(_SIGNS)
+        if letters.isalpha() or not letters:
+            units = [u for u in (letters.translate(self.spelled), word[len(letters) :]) if u]
+        else:
+            units = [u for u, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)]
+        ids = array(self.code, [t.id for u in units for t in self.tokenizer.model.tokenize(u)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         small = text.lower()
@@ -88,12 +105,7 @@ class WordEncoder:
             return self._ids(text).tobytes()
         if not _PAIR.search(small):  # then stops and commas stand alone
             small = small.replace(",", " ,").replace(".", " .")
-        words = small.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, small.split()))
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}

@@ -303,11 +303,13 @@ def test_balanced_costs():
 
 
 def test_word_encoder():
-    encoder, tokenizer, rng = cost_packing.WordEncoder(WORDS), Tokenizer.from_file(WORDS), random.Random(4)
-    signs = [*" \n\t\x0b\x1c\x85 　aAéÉ日1²_'sΣσςİıẞ.,!?;:़​\x00", "é", "<|endoftext|>", "'ll", "ab.", "cd, ", "😀"]
-    for _ in range(3000):
-        s = "".join(rng.choices(signs, k=rng.randint(0, 12)))
-        assert np.frombuffer(encoder.encode(s), encoder.kind).tolist() == tokenizer.encode(s, add_special_tokens=False).ids, s
+    tokenizer, rng = Tokenizer.from_file(WORDS), random.Random(4)
+    signs = ["ªº", "µŉ", "×", "ß", "ñ$$$", "#a", *" \n\t\x0b\x1c\x85 　aAéÉ日1²_'sΣσςİıẞ.,!?;:़​\x00", "é", "<|endoftext|>", "'ll", "ab.", "cd, ", "😀"]
+    for encoder in (cost_packing.WordEncoder(WORDS), cost_packing.WordEncoder(WORDS, 20)):
+        for _ in range(3000):
+            s = "".join(rng.choices(signs, k=rng.randint(0, 12)))
+            assert np.frombuffer(encoder.encode(s), encoder.kind).tolist() == tokenizer.encode(s, add_special_tokens=False).ids, s
+    assert len(encoder.known) <= 10 and len(encoder.known.before) <= 10
 
 
 def _shingles(text):
