@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Severities from weak to strong.
 SEVERITIES = ("LOW", "MEDIUM", "HIGH")
@@ -12,6 +16,9 @@ STAMP_OVERLAP, STAMP_COVERED, SPLICE_COVERED = 0.2, 0.8, 0.5
 #: Smallest side and correlation of a cloned seal, and the score both get.
 SEAL_SIDE, SEAL_ALIKE, SEAL_SCORE = 65, 0.70, 0.85
 
+#: Gap in x that boxes of a text region leave at most; scores from which a region is HIGH or MEDIUM.
+TEXT_GAP, TEXT_HIGH, TEXT_MEDIUM = 25, 0.65, 0.45
+
 
 def severity_rank(severity: Column) -> Column:
     """1 to 3; 0 for any other value or null."""
@@ -119,6 +126,19 @@ def text_neighbours(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*boxes.columns, F.coalesce("__sharp_near", "__sharp_all").alias("near_sharp"), F.coalesce("__ela_near", "__ela_all").alias("near_ela"), F.col("__sharp_near").isNotNull().alias("has_neighbours"))
 
 
+def _cues(f: dict[str, Column]) -> list[tuple[Column, Column]]:
+    """The five cues of a text box, each as its condition and its uncapped score. The numbers are fixed values."""
+    noisy, void, gap, step, std = f["noisy"], f["void"], f["background_gap"], f["background_step"], f["background_std"]
+    ela, apart, w, h = f["ela"], F.abs(f["ela"] - f["near_ela"]), f["w"], f["h"]
+    return [
+        (noisy & ((void >= 0.50) | ((void >= 0.40) & (gap >= 3.0))) & (std < 3.5), 0.45 + 0.55 * void),
+        (((f["ela_gap"] >= 1.6) & (ela >= 7.0) & (apart >= 3.5)) | ((ela >= 10.0) & (f["ela_gap"] >= 1.8)), 0.45 + 0.35 * f["ela_gap"]),
+        ((f["sharp_gap"] >= 0.55) & ((f["sharp"] > 40.0) | (f["near_sharp"] > 40.0)) & ((ela >= 5.0) | (void >= 0.30) | (gap >= 3.5)), 0.35 + 0.45 * f["sharp_gap"]),
+        ((step >= 3.0) & noisy & (w >= 35) & (h >= 15) & (f["background_pixels"] >= 60), 0.40 + 0.10 * step),
+        ((f["border"] > 160.0) & (w >= 30) & (h >= 16) & (f["background_pixels"] >= 35) & (gap >= 3.0), f["border"] / 400.0),
+    ]
+
+
 def cue_score(f: dict[str, Column]) -> Column:
     """Score of a text box from its cues, null where they don't suffice.
 
@@ -128,14 +148,7 @@ def cue_score(f: dict[str, Column]) -> Column:
     noisy, void, gap, step, std = f["noisy"], f["void"], f["background_gap"], f["background_step"], f["background_std"]
     ela, apart, w, h = f["ela"], F.abs(f["ela"] - f["near_ela"]), f["w"], f["h"]
     capped = lambda x: F.least(F.lit(1.0), x)
-    cues = [
-        (noisy & ((void >= 0.50) | ((void >= 0.40) & (gap >= 3.0))) & (std < 3.5), 0.45 + 0.55 * void),
-        (((f["ela_gap"] >= 1.6) & (ela >= 7.0) & (apart >= 3.5)) | ((ela >= 10.0) & (f["ela_gap"] >= 1.8)), 0.45 + 0.35 * f["ela_gap"]),
-        ((f["sharp_gap"] >= 0.55) & ((f["sharp"] > 40.0) | (f["near_sharp"] > 40.0)) & ((ela >= 5.0) | (void >= 0.30) | (gap >= 3.5)), 0.35 + 0.45 * f["sharp_gap"]),
-        ((step >= 3.0) & noisy & (w >= 35) & (h >= 15) & (f["background_pixels"] >= 60), 0.40 + 0.10 * step),
-        ((f["border"] > 160.0) & (w >= 30) & (h >= 16) & (f["background_pixels"] >= 35) & (gap >= 3.0), f["border"] / 400.0),
-    ]
-    scores = F.filter(F.array(*[F.when(on, capped(x)) for on, x in cues]), lambda x: x.isNotNull())
+    scores = F.filter(F.array(*[F.when(on, capped(x)) for on, x in _cues(f)]), lambda x: x.isNotNull())
     n = F.size(scores)
     mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / n
     strong = noisy & ((void >= 0.55) | ((void >= 0.45) & (gap >= 3.0))) & (std < 3.2)
@@ -145,3 +158,86 @@ def cue_score(f: dict[str, Column]) -> Column:
     base = F.when(n > 0, mean).otherwise(0.70)
     score = F.when(n >= 2, capped(base + 0.12 * (n - 1))).when(strong, capped(0.45 + 0.55 * void)).when(patch, capped(0.50 + 0.10 * step)).otherwise(base)
     return F.when(strong | anomaly | patch | several, score)
+
+
+def cue_reasons(f: dict[str, Column]) -> Column:
+    """The sentences of the cues that ``cue_score`` counts, in its order; empty where none holds.
+
+    ``f`` is that of ``cue_score`` with paper_mean and background_mean besides. Numbers are rounded half to
+    even in their shortest decimal form. A cue with a null feature doesn't hold. The sentences are fixed values.
+    """
+    n = lambda x, digits: F.format_string(f"%.{digits}f", F.bround(x.cast("double"), digits))
+    held = [
+        F.concat(F.lit("Substrate noise void around text (void: "), n(f["void"] * 100, 0), F.lit("%, local bg std: "), n(f["background_std"], 2), F.lit(" vs doc: "), n(f["paper_std"], 2), F.lit(")")),
+        F.concat(F.lit("Local ELA compression disparity ("), n(f["ela_gap"], 2), F.lit("x relative to neighboring text)")),
+        F.concat(F.lit("Stroke rendering disparity ("), n(f["sharp_gap"], 2), F.lit("x relative to neighboring text)")),
+        F.concat(F.lit("Substrate brightness step in text patch ("), n(f["background_mean"], 1), F.lit(" vs doc: "), n(f["paper_mean"], 1), F.lit(")")),
+        F.concat(F.lit("Paste / erasure perimeter boundary step ("), n(f["border"], 1), F.lit(")")),
+    ]
+    return F.filter(F.array(*[F.when(on, text) for (on, _), text in zip(_cues(f), held, strict=True)]), lambda x: x.isNotNull())
+
+
+def _touches(c: list, x: float, y: float, w: float, h: float) -> bool:
+    return abs(y - c[1]) < max(h, c[3]) and x <= c[0] + c[2] + TEXT_GAP and c[0] <= x + w + TEXT_GAP
+
+
+def _merge(batches: Iterator[pa.RecordBatch], keys: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Regions of rows that come by keys, island and id; held are the regions of the open island only."""
+    at, regions = None, []
+
+    def closed() -> pa.RecordBatch:
+        rows = [[*at[:keys], r[5], *r[:5], list(r[6]), r[7]] for r in regions]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    for batch in batches:
+        for *place, box_id, x, y, w, h, score, reasons in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if place != at:
+                if regions:
+                    yield closed()
+                at, regions = place, []
+            r = next((r for r in regions if _touches(r, x, y, w, h)), None)
+            if r is None:
+                regions.append([x, y, w, h, score, box_id, dict.fromkeys(reasons), 1])
+                continue
+            left, top = min(x, r[0]), min(y, r[1])
+            right, bottom = max(x + w, r[0] + r[2]), max(y + h, r[1] + r[3])
+            r[:5] = left, top, right - left, bottom - top, max(score, r[4])
+            r[6].update(dict.fromkeys(reasons))
+            r[7] += 1
+    if regions:
+        yield closed()
+
+
+def merged_text_boxes(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Text regions of ``boxes`` (keys, id, x, y, w, h, score, reasons): each box, by id, joins the first region that it touches, which grows by it, or begins one.
+
+    A box touches a region whose top is nearer to its own than the larger height, with a gap in x of TEXT_GAP at
+    most. One row per region: keys, id (of its first box), x, y, w, h, score (the highest), reasons (distinct, in
+    order of appearance), n_boxes and severity. Boxes without id, place or with negative sides are left
+    out; a null score is 0, null reasons are none; null keys are a document of their own. Boxes of one id go by place, score and reasons.
+
+    Regions only grow over boxes within the gap, so boxes beyond a wider empty stripe of x never meet: a
+    running maximum cuts each document into islands, and a task reads them in turn, holding one
+    island's regions. One shuffle by the keys; a document's rows are sorted, never gathered.
+    """
+    kinds = dict(boxes.dtypes)
+    number = {c: F.col(c).cast("double") for c in "xywh"}
+    whole = F.col("id").isNotNull() & (number["x"] + number["y"]).isNotNull() & (number["w"] >= 0) & (number["h"] >= 0)
+    plain = F.coalesce(F.filter("reasons", lambda r: r.isNotNull()), F.array().cast("array<string>"))
+    rows = boxes.where(whole).select(*keys, "id", *[number[c].alias(c) for c in "xywh"], F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), plain.alias("reasons"))
+    by_x = Window.partitionBy(*keys).orderBy("x", "id")
+    before = F.max(F.col("x") + F.col("w")).over(by_x.rowsBetween(Window.unboundedPreceding, -1))
+    begins = rows.withColumn("__begins", F.when(before.isNull() | (F.col("x") > before + TEXT_GAP), 1).otherwise(0))
+    placed = begins.select(*keys, F.sum("__begins").over(by_x.rowsBetween(Window.unboundedPreceding, 0)).alias("__island"), "id", "x", "y", "w", "h", "score", "reasons")
+    fields = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"id {kinds['id']}", *[f"{c} double" for c in ("x", "y", "w", "h", "score")], "reasons array<string>", "n_boxes long"])
+    schema = to_arrow_schema(boxes.sparkSession.createDataFrame([], fields).schema)
+    count = len(keys)
+    merged = placed.sortWithinPartitions(*keys, "__island", "id", "x", "y", "w", "h", "score", "reasons").mapInArrow(lambda batches: _merge(batches, count, schema), fields)
+    return merged.withColumn("severity", F.when(F.col("score") >= TEXT_HIGH, "HIGH").when(F.col("score") >= TEXT_MEDIUM, "MEDIUM").otherwise("LOW"))
+
+
+def text_signal(regions: DataFrame, keys: list[str]) -> DataFrame:
+    """Signal of each document of ``regions`` (keys, score): 0.75 of the highest score and, with several regions, 0.25 of the mean of the three highest, within 0 and 1."""
+    ranked = regions.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score")))).where("__r <= 3")
+    several = F.when(F.count("*") > 1, 0.25 * F.avg("score")).otherwise(0.0)
+    return ranked.groupBy(*keys).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.75 * F.max("score") + several)).alias("signal"))
