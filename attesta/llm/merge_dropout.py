@@ -57,13 +57,33 @@ class MergeModel:
         order = {s: r for r, s in enumerate(sorted({m[3] for m in merges}, reverse=True))}
         self.merges = {(left, right): (order[s], i) for left, right, i, s in merges}
         keys = np.array([(left << 32) | right for left, right in self.merges], np.int64)
-        by = np.argsort(keys)
-        self._keys, self._ranks, self._merged = keys[by], np.array([r for r, _ in self.merges.values()], np.int32)[by], np.array([i for _, i in self.merges.values()], np.int64)[by]
+        # Open addressing: a pair lies in the first free slot from its hash on, and most of eight slots are free.
+        self._shift = np.uint64(64 - (8 * len(keys)).bit_length())
+        slots = 1 << (8 * len(keys)).bit_length()
+        self._keys, number = np.full(slots + len(keys), -1, np.int64), np.full(slots + len(keys), -1, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self._keys[at[left]] < 0]
+            self._keys[at[free]], number[at[free]] = keys[free], free
+            left = left[number[at[left]] != left]
+            at[left] += 1
+        self._ranks = np.append(np.array([r for r, _ in self.merges.values()], np.int32), _NONE)[number]
+        self._merged = np.append(np.array([i for _, i in self.merges.values()], np.int64), 0)[number]
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of each pair; the rank of a pair that doesn't merge is _NONE."""
         key = (left << 32) | right
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], _NONE), self._merged[at]
+        at = self._slot(key)
+        held = self._keys[at]
+        on = np.flatnonzero((held != key) & (held >= 0))
+        while len(on):
+            at[on] += 1
+            held = self._keys[at[on]]
+            on = on[(held != key[on]) & (held >= 0)]
+        return self._ranks[at], self._merged[at]
 
 
 def skipped(word: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, rate: float) -> np.ndarray:
@@ -114,43 +134,43 @@ def _one(model: MergeModel, symbols: list[int], key: int, rate: float) -> tuple[
     return [symbols[i] for i in kept], kept
 
 
-def _bulk(model: MergeModel, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Agendas of many pre-tokens at once, a row of ``symbols`` each: in each round every one makes its best merge left.
+def _bulk(model: MergeModel, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+    """Agendas of many pre-tokens at once, a row of ``symbols`` each, ended by -1: in each round every one makes its best merge left.
 
-    Gives the symbols left and the characters they start at; -1 fills the rows.
+    Gives the symbols left, each in the column of its first character; -1 elsewhere. Symbols never move: cells
+    are linked to the next and the last one left of their row, so a round touches one merge's cells and looks for the row's best.
     """
-    wide = symbols.shape[1] - 1
-    places = np.broadcast_to(np.arange(wide + 1, dtype=np.int32), symbols.shape).copy()
-
-    def rank(row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        a, b = symbols[row, at], symbols[row, at + 1]
-        ranks = np.full(len(row), _NONE, np.int32)
-        pair = np.flatnonzero((a >= 0) & (b >= 0))
-        found, _ = model.look_up(a[pair], b[pair])
-        hit = pair[found != _NONE]
-        drop = skipped(keys[row[hit]], places[row[hit], at[hit]], a[hit], b[hit], rate)
-        ranks[pair] = found
-        ranks[hit[drop]] = _NONE
-        return ranks
-
-    rows, columns = np.nonzero(np.arange(wide) < sizes[:, None] - 1)
-    ranks = np.full(symbols.shape, _NONE, np.int32)
-    ranks[rows, columns] = rank(rows, columns)
-    active = np.arange(len(symbols))
+    rows, wide = symbols.shape
+    cell, cells = symbols.ravel(), np.arange(symbols.size, dtype=np.int64)
+    right, left = cells + 1, cells - 1
+    left[::wide] = -1
+    ranks, merged = np.full(symbols.shape, _NONE, np.int32), np.zeros(symbols.size, np.int64)
+    rank = ranks.ravel()
+
+    def offer(at: np.ndarray) -> None:
+        rank[at] = _NONE
+        at = at[cell[right[at]] >= 0]
+        a, b = cell[at], cell[right[at]]
+        found, to = model.look_up(a, b)
+        hit = np.flatnonzero(found != _NONE)
+        at, row = at[hit], at[hit] // wide
+        kept = ~skipped(keys[row], at - row * wide, a[hit], b[hit], rate)
+        rank[at[kept]], merged[at[kept]] = found[hit[kept]], to[hit[kept]]
+
+    offer(np.flatnonzero(np.arange(wide) < sizes[:, None] - 1))
+    active = np.arange(rows)
     while True:
-        best = ranks[active].argmin(axis=1)
-        more = ranks[active, best] != _NONE
+        best = active * wide + ranks[active].argmin(axis=1)
+        more = rank[best] != _NONE
         active, best = active[more], best[more]
         if not len(active):
-            return symbols, places
-        symbols[active, best] = model.look_up(symbols[active, best], symbols[active, best + 1])[1]
-        source = np.minimum(np.arange(wide + 1) + (np.arange(wide + 1) > best[:, None]), wide)
-        for m in (symbols, places, ranks):
-            m[active] = np.take_along_axis(m[active], source, axis=1)
-        symbols[active, wide], ranks[active, wide] = -1, _NONE
-        ranks[active, best] = rank(active, best)
-        inner = best > 0
-        ranks[active[inner], best[inner] - 1] = rank(active[inner], best[inner] - 1)
+            return symbols
+        gone = right[best]
+        after = right[gone]
+        cell[best], cell[gone], rank[gone] = merged[best], -1, _NONE
+        right[best], left[after] = after, best
+        before = left[best]
+        offer(np.concatenate([best, before[before >= 0]]))
 
 
 def segment(model: MergeModel, codes: np.ndarray, starts: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,9 +185,9 @@ def segment(model: MergeModel, codes: np.ndarray, starts: np.ndarray, keys: np.n
         wide = int(sizes[k[-1]]) + 1
         inside = np.arange(wide) < sizes[k, None]
         at = starts[k, None] + np.arange(wide)
-        left, places = _bulk(model, np.where(inside, symbols[np.minimum(at, len(codes) - 1)], -1), sizes[k], keys[k], rate)
+        left = _bulk(model, np.where(inside, symbols[np.minimum(at, len(codes) - 1)], -1), sizes[k], keys[k], rate)
         row, column = np.nonzero(left >= 0)
-        most[starts[k[row]] + places[row, column]] = left[row, column]
+        most[starts[k[row]] + column] = left[row, column]
     for k in np.flatnonzero(sizes > BULK).tolist():
         found, places = _one(model, symbols[starts[k] : starts[k] + sizes[k]].tolist(), int(keys[k]), rate)
         most[starts[k] + np.array(places)] = found
