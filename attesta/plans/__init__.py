@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports every module of queries once."""
-    from attesta.plans import aggregates, calendar, correlation, decisions, evidence, extraction, fields, fusion, intake, listings, records, regions, screening, streams, textboxes  # noqa: F401
+    from attesta.plans import aggregates, calendar, correlation, decisions, evidence, extraction, fields, fusion, heuristics, intake, listings, records, regions, screening, streams, textboxes  # noqa: F401
