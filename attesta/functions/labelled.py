@@ -81,25 +81,37 @@ COUNTRIES = ((("INDIAN",), "INDIAN", 0.95), (("IND",), "IND", 0.90), (("USA", "U
 BY_ORDER, BORN_BEFORE, ISSUED_LAST, EXPIRES_LATER, EXPIRES_LAST, PLACE_FOUND, CLASSES_FOUND, BOTH_NAMES = 0.99, 0.92, 0.88, 0.94, 0.85, 0.88, 0.95, 0.92
 
 
+def _bound(value: Column, then) -> Column:
+    """``then`` over a value that is worked out once, however often it is used, in functions over arrays too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """Group 1 of the first match; null where it is empty or there is none."""
+    return _bound(F.regexp_extract(text, pattern, 1), lambda v: F.when(v != "", v))
+
+
 def clean_value(text: Column) -> Column:
     """A value without what is in parentheses, second-language subtitles and leading signs; empty for null."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), PARENTHESES, "")
-    plain = reduce(lambda v, p: F.regexp_replace(v, f"(?iu){p}", ""), SUBTITLES, plain)
-    return trimmed(F.regexp_replace(plain, LEADING, ""))
+    without = lambda v: reduce(lambda v, p: F.regexp_replace(v, f"(?iu){p}", ""), SUBTITLES, v)
+    # Every subtitle begins with a slash.
+    return trimmed(F.regexp_replace(_bound(plain, lambda v: F.when(F.contains(v, F.lit("/")), without(v)).otherwise(v)), LEADING, ""))
 
 
 def is_noise(text: Column) -> Column:
     """Whether a text is empty or only a label."""
     plain = trimmed(F.regexp_replace(F.regexp_replace(F.upper(trimmed(F.coalesce(text, F.lit("")))), PARENTHESES, ""), LEADING, ""))
-    return (plain == "") | plain.isin(*NOISE)
+    return plain.isin("", *NOISE)
 
 
 def seen(regions: Column) -> Column:
     """An array of regions (struct of text and confidence, in reading order) prepared for ``labelled``: each with its upper-case text and, of the three after it, the first that is a value."""
     plain = F.transform(regions, lambda r: F.struct(r["text"].alias("text"), r["confidence"].cast("double").alias("confidence"), F.upper(r["text"]).alias("upper"), clean_value(r["text"]).alias("value")))
-    fit = F.transform(plain, lambda r: r.withField("fit", ~is_noise(r["value"])))
-    after = lambda i: F.get(F.filter(F.slice(fit, i + 2, F.lit(3)), lambda n: n["fit"]), F.lit(0))
-    return F.transform(fit, lambda r, i: F.struct(r["text"], r["confidence"], r["upper"], after(i).alias("next")))
+    fit = F.transform(plain, lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence"), r["upper"].alias("upper"), r["value"].alias("value"), (~is_noise(r["value"])).alias("fit")))
+    after = lambda all_, i: F.get(F.filter(F.slice(all_, i + 2, F.lit(3)), lambda n: n["fit"]), F.lit(0))
+    # Bound, since each region looks into the whole array.
+    return _bound(fit, lambda all_: F.transform(all_, lambda r, i: F.struct(r["text"], r["confidence"], r["upper"], after(all_, i).alias("next"))))
 
 
 def field(value: Column, confidence: Column, source: Column) -> Column:
@@ -124,7 +136,7 @@ def labelled(of: Column, labels: tuple[str, ...]) -> Column:
 
 def found_in(of: Column, pattern: str) -> Column:
     """Group 1 of the first region with a match, as a field."""
-    matches = F.transform(of, lambda r: field(F.nullif(F.regexp_extract(r["text"], pattern, 1), F.lit("")), r["confidence"], r["text"]))
+    matches = F.transform(of, lambda r: _bound(_found(r["text"], pattern), lambda v: field(v, r["confidence"], r["text"])))
     return F.get(F.filter(matches, lambda x: x.isNotNull()), F.lit(0))
 
 
@@ -135,8 +147,7 @@ def confidence_of(of: Column, text: Column) -> Column:
 
 def searched(of: Column, raw: Column, pattern: str) -> Column:
     """Group 1 of the first match in a whole text, as a field with the confidence of the region that holds it."""
-    value = F.nullif(F.regexp_extract(raw, pattern, 1), F.lit(""))
-    return field(value, confidence_of(of, value), value)
+    return _bound(_found(raw, pattern), lambda v: field(v, confidence_of(of, v), v))
 
 
 def dates_in(raw: Column) -> Column:
@@ -154,8 +165,7 @@ def dates_in(raw: Column) -> Column:
 
 def _map(name: Column, value) -> Column:
     """The field with its value changed; null where the value becomes null."""
-    new = value(name["value"])
-    return F.when(new.isNotNull(), name.withField("value", new))
+    return _bound(name, lambda f: _bound(value(f["value"]), lambda new: F.when(new.isNotNull(), f.withField("value", new))))
 
 
 def _sex(raw: Column) -> Column:
@@ -163,15 +173,15 @@ def _sex(raw: Column) -> Column:
 
 
 def _shown_sex(v: Column) -> Column:
-    raw = F.nullif(F.regexp_extract(trimmed(F.upper(F.regexp_replace(v, r"(?i)^[/\s]*SEXE\s*[:\s]*", ""))), SEX, 1), F.lit(""))
-    return F.when(raw.isNotNull(), _sex(raw))
+    shown = _found(trimmed(F.upper(F.regexp_replace(v, r"(?i)^[/\s]*SEXE\s*[:\s]*", ""))), SEX)
+    return _bound(shown, lambda raw: F.when(raw.isNotNull(), _sex(raw)))
 
 
 def passport_name(v: Column) -> Column:
     """A name as it is shown, or null: words that are labels, digits and single letters are none."""
     plain = F.upper(trimmed(F.regexp_replace(F.regexp_replace(v, PARENTHESES, ""), "/.*$", "")))
     words = "|".join(re.escape(n) for n in NAME_NOISE)
-    return F.when((F.length(plain) >= 2) & ~plain.rlike(rf"(?s)^(?:{words})(?: .*)?$|^.* (?:{words})$|[0-9]"), v)
+    return _bound(F.struct(v.alias("v"), plain.alias("plain")), lambda n: F.when((F.length(n["plain"]) >= 2) & ~n["plain"].rlike(rf"(?s)^(?:{words})(?: .*)?$|^.* (?:{words})$|[0-9]"), n["v"]))
 
 
 def _spoken(v: Column) -> Column:
@@ -183,8 +193,7 @@ def _upto(v: Column, pattern: str) -> Column:
 
 
 def _day_in(v: Column) -> Column:
-    first = lambda p: F.nullif(F.regexp_extract(v, p, 1), F.lit(""))
-    return F.coalesce(first(DAY), first(NAMED_DAY), trimmed(v))
+    return F.coalesce(_found(v, DAY), _found(v, NAMED_DAY), trimmed(v))
 
 
 def _dated(f: Column) -> Column:
@@ -216,11 +225,11 @@ def passport_fields(docs: DataFrame, regions: str, as_of: Column) -> DataFrame:
     anywhere = PLACE_ANYWHERE.replace("(?i)", "(?iu)")
 
     def country(v: Column) -> Column:
-        plain = F.upper(_upto(v, ENDS["nationality"]))
-        return F.when(plain.rlike("/|SURNAME|GIVEN|NAME|NOM|PASSPORT|CODE") | plain.isin("P", "TYPE"), None).when(plain.isin("IND", "INDIAN", "INDIA"), "INDIAN").when(F.length(plain) >= 2, plain)
+        told = lambda plain: F.when(plain.rlike("/|SURNAME|GIVEN|NAME|NOM|PASSPORT|CODE") | plain.isin("P", "TYPE"), None).when(plain.isin("IND", "INDIAN", "INDIA"), "INDIAN").when(F.length(plain) >= 2, plain)
+        return _bound(F.upper(_upto(v, ENDS["nationality"])), told)
 
     two = one.withColumns({
-        "__number": _map(c("l_passport_number"), lambda v: F.nullif(F.regexp_extract(F.replace(F.upper(v), F.lit(" "), F.lit("")), NUMBER, 1), F.lit(""))), "__other": searched(of, raw, NUMBER),
+        "__number": _map(c("l_passport_number"), lambda v: _found(F.replace(F.upper(v), F.lit(" "), F.lit("")), NUMBER)), "__other": searched(of, raw, NUMBER),
         "__shown": found_in(of, SEX_SHOWN), "__sex": _map(c("l_sex"), _shown_sex), "__last": _map(c("l_surname"), passport_name), "__first": _map(c("l_given_name"), passport_name), "__whole": _map(c("l_full_name"), passport_name),
         "__country": _map(c("l_nationality"), country), "__dates": dates_in(raw), **{f"__d_{n}": _map(c(f"l_{n}"), _day_in) for n in days},
         **{f"__p_{n}": _map(c(f"l_{n}"), lambda v, n=n: F.nullif(_upto(v, ENDS[n]), F.lit(""))) for n in ("place_of_birth", "place_of_issue")}, "__issued": F.nullif(_upto(F.regexp_extract(raw, anywhere, 1), PLACE_ENDS), F.lit("")), "__upper": F.upper(raw),
@@ -262,8 +271,8 @@ def visa_fields(docs: DataFrame, regions: str) -> DataFrame:
 def licence_name(v: Column) -> Column:
     """A personal name, or null: no signature or heading, three characters at least, nearly all letters, blanks and dots."""
     plain = F.upper(trimmed(v))
-    noisy = plain.rlike("|".join(LICENCE_PARTS)) | plain.isin(*LICENCE_NOISE)
-    return F.when((F.length(plain) >= 3) & ~noisy & (F.length(F.regexp_replace(plain, r"[^\p{L}\s.]", "")) >= F.length(plain) * 0.85), plain)
+    noisy = lambda n: n.rlike("|".join(LICENCE_PARTS)) | n.isin(*LICENCE_NOISE)
+    return _bound(plain, lambda n: F.when((F.length(n) >= 3) & ~noisy(n) & (F.length(F.regexp_replace(n, r"[^\p{L}\s.]", "")) >= F.length(n) * 0.85), n))
 
 
 def licence_fields(docs: DataFrame, regions: str, as_of: Column) -> DataFrame:
@@ -276,12 +285,12 @@ def licence_fields(docs: DataFrame, regions: str, as_of: Column) -> DataFrame:
     one = _staged(docs, regions, LICENCE_LABELS)
     of, raw, none = c("of"), c("raw"), F.lit(None).cast("string")
     dashed = lambda v: F.regexp_replace(v, "[./]", "-")
-    shown = F.transform(of, lambda r: F.struct(F.nullif(F.regexp_extract(trimmed(r["text"]), LICENCE_NAME, 1), F.lit("")).alias("v"), r["confidence"], r["text"]))
+    shown = F.transform(of, lambda r: F.struct(_found(trimmed(r["text"]), LICENCE_NAME).alias("v"), r["confidence"], r["text"]))
     fit = F.transform(F.filter(shown, lambda r: r["v"].isNotNull()), lambda r: F.struct(licence_name(r["v"]).alias("value"), r["confidence"], r["text"].alias("source")))
     two = one.withColumns({
-        "__found": searched(of, raw, LICENCE_NUMBER), "__line": F.get(F.filter(fit, lambda r: r["value"].isNotNull()), F.lit(0)), "__said": _map(c("l_name"), licence_name), "__anywhere": licence_name(F.nullif(F.regexp_extract(raw, LICENCE_NAME_ANYWHERE, 1), F.lit(""))), "__days": dates_in(raw),
+        "__found": searched(of, raw, LICENCE_NUMBER), "__line": F.get(F.filter(fit, lambda r: r["value"].isNotNull()), F.lit(0)), "__said": _map(c("l_name"), licence_name), "__anywhere": licence_name(_found(raw, LICENCE_NAME_ANYWHERE)), "__days": dates_in(raw),
         "__classes": F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit(CLASSES), 1), F.upper)),
-        **{f"__r_{n}": found_in(of, p) for n, p in LICENCE_DAYS.items()}, **{f"__y_{n}": _map(c(f"l_{n}"), lambda v: F.nullif(F.regexp_extract(v, DAY, 1), F.lit(""))) for n in LICENCE_DAYS},
+        **{f"__r_{n}": found_in(of, p) for n, p in LICENCE_DAYS.items()}, **{f"__y_{n}": _map(c(f"l_{n}"), lambda v: _found(v, DAY)) for n in LICENCE_DAYS},
     })
     days, n = c("days"), F.size("__days")
     first = lambda list_: F.get(list_, F.lit(0))["text"]

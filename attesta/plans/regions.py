@@ -35,6 +35,8 @@ REGIONS = {
         END""",
 }
 AS_OF = "2026-01-01"
+#: Tasks for each core that documents are dealt to.
+TASKS = 4
 
 
 def _clean(v: str) -> str:
@@ -77,8 +79,13 @@ def _days(raw: str = "raw") -> str:
 
 
 def _documents(t, kind: str):
-    """k and regions; every document with regions that all have a confidence."""
-    texts = t("customer").select(F.col("c_custkey").alias("k"), F.split(F.expr(REGIONS[kind]), "\n").alias("texts"))
+    """k and regions; every document with regions that all have a confidence.
+
+    The keys alone lie in few files and would be read by few tasks, while the work is in the regions: keys are dealt out first, to tasks for all cores.
+    """
+    keys = t("customer").select("c_custkey")
+    dealt = keys.repartition(TASKS * keys.sparkSession.sparkContext.defaultParallelism, "c_custkey")
+    texts = dealt.select(F.col("c_custkey").alias("k"), F.split(F.expr(REGIONS[kind]), "\n").alias("texts"))
     return texts.select("k", F.transform("texts", lambda x, i: F.struct(x.alias("text"), ((70 + ((i + 1) * 7 + F.col("k")) % 30) / F.lit(100.0)).alias("confidence"))).alias("regions"))
 
 

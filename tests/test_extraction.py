@@ -49,3 +49,16 @@ def test_cleaning(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: (r.v, r.n) for r in df.select("t", labelled.clean_value(F.col("t")).alias("v"), labelled.is_noise(F.col("t")).alias("n")).collect()}
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in cases.items()} and got["Surname / Nom"][0] == "Surname" and got["Pune"][0] == "Pune"
+
+
+def test_regions_are_worked_out_once_and_by_many_tasks(spark):
+    """Whatever looks into all regions of a document does so on values that are there already; documents from one small file go to all cores."""
+    from attesta.plans import regions
+    from tests.oracle import DATA
+
+    assert str(labelled.seen(F.col("r"))).count("PAYS") == 2  # its two subtitles
+    assert str(labelled.searched(F.col("r"), F.col("raw"), labelled.STAY)).count("month") == 2  # within one pattern
+    docs = regions._documents(lambda name: spark.read.parquet(f"{DATA}/{name}.parquet"), "VISA")
+    assert docs.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    long = spark.createDataFrame([(1, [("Surname / Nom", 0.5)] * 1500 + [("Late", 0.4)])], REGIONS)
+    assert labelled.visa_fields(long, "regions").first().surname.value == "LATE"
