@@ -29,6 +29,14 @@ STATE = "stage int, hold int, frames long, faceless int, start double, last doub
 _FRAME = ("at", "faces", "yaw", "pitch", "nose", "landmarks")
 
 
+def _mean(values: list[float]) -> float:
+    """Mean of a few numbers added up one after the other, as numpy and SQL do; Python's sum() carries what rounding loses, so means on a limit would go the other way."""
+    total = 0.0
+    for v in values:
+        total += v
+    return total / len(values)
+
+
 @dataclass
 class Challenge:
     """State of one session; ``failed`` holds the reason. Of the last snapshots of landmarks it keeps how many numbers they have, their sums and sums of squares."""
@@ -75,7 +83,7 @@ class Challenge:
             self.faceless = 0
             self._remember(landmarks)
             self.yaws, self.pitches = [*self.yaws, yaw][-SMOOTH:], [*self.pitches, pitch][-SMOOTH:]
-            mean, tilt = sum(self.yaws) / len(self.yaws), sum(self.pitches) / len(self.pitches)
+            mean, tilt = _mean(self.yaws), _mean(self.pitches)
             left, right = (False, False) if nose is None else (nose < NOSE_LEFT, nose > NOSE_RIGHT)
             met = (abs(mean) < YAW and abs(tilt) < PITCH, mean <= -YAW or left, mean >= YAW or right)[self.stage]
             self.hold = self.hold + 1 if met else max(0, self.hold - 1)

@@ -129,3 +129,10 @@ def test_audit_stream(spark, tmp_path):
     q = request_rates(source(), 1).writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) AS n FROM rates").first().n == events.count()
+
+
+def test_means_on_a_limit_go_as_in_sql():
+    """Added up one by one these four give 9.999999999999998 degrees, which is no turn; with what rounding loses they would give 10."""
+    c = Challenge(stage=2, hold=2, yaws=[3.72, 19.85, 17.2])
+    c.step(0.0, 1, -0.77, 0.0, 1.0)
+    assert (c.stage, c.hold) == (2, 1)
