@@ -35,6 +35,19 @@ def _cut_and_sum(links: DataFrame, columns: list[str]) -> tuple[DataFrame, dict]
     return kept, seen.get
 
 
+def tied(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of the numbers 0..n-1 the least one that it hangs together with through links between ``a`` and ``b``."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        if (root[a] == low).all() and (root[b] == low).all():
+            return root
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys, node and root of whole pages, a row of which has the page's links as its last column."""
     for batch in batches:
@@ -48,15 +61,7 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = np.empty(len(order), np.int64)
         code[order] = np.cumsum(new) - 1
         a, b = np.split(code, 2)
-        root = np.arange(new.sum())
-        while True:
-            low = np.minimum(root[a], root[b])
-            if (root[a] == low).all() and (root[b] == low).all():
-                break
-            np.minimum.at(root, root[a], low)
-            np.minimum.at(root, root[b], low)
-            while (root[root] != root).any():
-                root = root[root]
+        root = tied(a, b, int(new.sum()))
         first = order[new]
         yield pa.RecordBatch.from_arrays([*(k.take(pa.array(page[first])) for k in keys), pa.array(node[first]), pa.array(node[first][root])], [*batch.schema.names[:-1], "node", "root"])
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.operators import decisions as D
-from attesta.operators.components import components
-from attesta.operators.geometry import CONTAINMENT, IOU, iou, overlapping_pairs, smaller_overlap
+from attesta.operators.geometry import CONTAINMENT, IOU, iou, overlapping_pairs, rooted, smaller_overlap
 from attesta.operators.regions import severity_rank
 
 #: Score of a region without one, score from which a detector supports a region, and copy-move's that counts as two detectors.
@@ -80,9 +80,8 @@ def correlated_regions(regions: DataFrame, document: str, page: str, iou_thresho
     rows = known.select(document, F.coalesce(page, F.lit(1)).alias(page), F.col("id").cast("long").alias("id"), F.lower("detector").alias("detector"), F.coalesce(F.col("score").cast("double"), F.lit(ASSUMED)).alias("score"), *_BOX, F.when(F.col("target_x").isNotNull(), F.struct(*(f"target_{c}" for c in _BOX))).alias("target"))
     keys = [document, page]
     near = (iou("a_", "b_") >= iou_threshold) | (smaller_overlap("a_", "b_") >= max(iou_threshold, CONTAINMENT))
-    pairs = overlapping_pairs(rows, keys, near)
-    roots = components(pairs, keys, "a_id", "b_id").withColumnRenamed("node", "id")
-    grouped = rows.join(roots, [*keys, "id"], "left").withColumn("root", F.coalesce("root", "id"))
+    met = lambda shared, s, t: (shared / (s + t - shared) >= iou_threshold) | (shared / np.minimum(s, t) >= max(iou_threshold, CONTAINMENT))
+    grouped = rooted(rows, keys, met, near)
     counted = F.col("score") >= 0
     each = grouped.groupBy(*keys, "root", "detector").agg(
         F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"), F.count("*").alias("n"),

@@ -141,3 +141,21 @@ def test_equal_rows_meet_listed_names_each(spark):
     listed = spark.createDataFrame([("x", "Joanna Lee"), ("y", "ANNE")], "code string, listed string")
     got = sorted((r.id, r.code) for r in containing(rows, "name", listed, "listed").collect())
     assert got == [(1, "x"), (1, "x"), (1, "y"), (1, "y"), (2, "x")]
+
+
+def test_pages_are_folded_where_they_lie(spark, monkeypatch):
+    """Small pages and crowded ones give the same, with nulls and repeated ids; rows that the documents dealt out are not moved again to be folded."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2]), rng.choice([None, *range(60)]), *(rng.choice([None, 0, *range(1, 60)]) for _ in range(4))) for _ in range(400)]
+    df = spark.createDataFrame(rows, BOX)
+    tests = (lambda shared, s, t: shared / (s + t - shared) >= 0.3), geometry.iou("a_", "b_") >= 0.3
+    got = {}
+    for page in (0, 20, 1000):
+        monkeypatch.setattr(geometry, "PAGE", page)
+        got[page] = sorted(map(repr, geometry.rooted(df, ["document", "page"], *tests).collect()))
+    assert len(got[0]) == 400 and got[0] == got[20] == got[1000] and geometry.rooted(df.limit(0), ["document", "page"], *tests).count() == 0
+    monkeypatch.setattr(geometry, "PAIRS", 7)
+    assert sorted(map(repr, geometry.rooted(df, ["document", "page"], *tests).collect())) == got[0]
+    full = spark.createDataFrame([], REGIONS).repartition(8, "document")
+    plan = correlation.correlated_regions(full, "document", "page")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4  # one of them dealt the documents out, three group what was found
