@@ -23,6 +23,8 @@ HEAD = 24
 SIDE = WINDOW // 2
 #: Text bytes of a group of work at most, about; there are as many groups as shuffle partitions at least.
 GROUP_BYTES = 8 << 20
+#: Strings of an anchor or more that are sorted at a time, about; bounds the memory of a group.
+STRINGS = 1 << 18
 #: Up to this many copies of whole documents are broadcast as ids; more are joined.
 BROADCAST_IDS = 500_000
 
@@ -353,6 +355,32 @@ def _earlier(suffixes: Suffixes, group: np.ndarray, begin: np.ndarray, size: np.
     return out
 
 
+def _in_slices(suffixes: Suffixes, group: np.ndarray, begin: np.ndarray, strings: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Run and place in it of each SPAN-byte string of the runs, about STRINGS at a time; those that are equal and of one group come together.
+
+    Whole groups make a slice. A group of more strings than that is dealt by a hash of the strings themselves.
+    """
+    order = np.argsort(group, kind="stable")
+    head, n = _runs(group[order])
+    if not len(head):
+        return
+    for i, j in textops.slices(np.append(0, np.cumsum(np.add.reduceat(strings[order], head))), STRINGS):
+        runs = order[head[i] : head[j - 1] + n[j - 1]]
+        m = strings[runs]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        run = np.repeat(runs, m)
+        deals = -(-len(at) // STRINGS)
+        if deals == 1:
+            yield run, at
+            continue
+        deal = np.empty(len(at), np.uint16 if deals < 1 << 16 else np.int64)
+        for k in range(0, len(at), STRINGS):
+            a = begin[run[k : k + STRINGS]] + at[k : k + STRINGS]
+            deal[k : k + STRINGS] = textops.mix((suffixes.sums[a + SPAN] - suffixes.sums[a]) * suffixes.powers[len(suffixes.data) - a]) % _U(deals)
+        for _, x in _dealt(deal):
+            yield run[x], at[x]
+
+
 _RANGES = "part int, doc binary, tag binary, start binary, stop binary"
 
 
@@ -369,11 +397,14 @@ def _resolved(parts: int):
         gone = _earlier(suffixes, h[left], begin[left], size[left], doc[left])
         whole = np.concatenate([np.flatnonzero(known), left[gone]])
         left = left[~gone]
-        strings = size[left] - SPAN + 1
-        at = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-        owner = np.repeat(left, strings)
-        gone = _earlier(suffixes, h[owner], begin[owner] + at, np.full(len(owner), SPAN), doc[owner])
-        owner, at = owner[gone], at[gone]
+        found = [(left[:0], left[:0])]
+        for k, at in _in_slices(suffixes, h[left], begin[left], size[left] - SPAN + 1):
+            owner = left[k]
+            gone = _earlier(suffixes, h[owner], begin[owner] + at, np.full(len(owner), SPAN), doc[owner])
+            found.append((owner[gone], at[gone]))
+        owner, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((at, owner))
+        owner, at = owner[order], at[order]
         # neighbouring strings of a run make one range
         joins = np.zeros(len(at), bool)
         joins[1:] = (owner[1:] == owner[:-1]) & (at[1:] - at[:-1] <= SPAN)

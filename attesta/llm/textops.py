@@ -27,7 +27,7 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         grown = np.full(max(n, STEP + 1), base, np.uint64)
         grown[0] = 1
-        _powers[base] = have = np.cumprod(grown, dtype=np.uint64)
+        _powers[base] = have = np.cumprod(grown, dtype=np.uint64, out=grown)
     return have[:n]
 
 
@@ -42,8 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """S with S[j] - S[i] equal to the sum of code(data[k]) * BASE**k over i <= k < j."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(CODES[data] * powers(BASE, len(data)), dtype=np.uint64, out=out[1:])
+    out, scale = np.zeros(len(data) + 1, np.uint64), powers(BASE, len(data))
+    for i in range(0, len(data), STEP):
+        part = CODES[data[i : i + STEP]]
+        part *= scale[i : i + STEP]
+        np.cumsum(part, dtype=np.uint64, out=out[i + 1 : i + 1 + len(part)])
+        out[i + 1 : i + 1 + len(part)] += out[i]
     return out
 
 

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -575,6 +577,30 @@ def test_repeats_against_brute_force(spark, docs, texts, empty):
     assert all(r.spans == [] for r in suffix_dedup.remove_repeats(loose).collect())
 
 
+@pytest.mark.parametrize("anchors", [1, 5000])
+def test_a_group_of_many_strings_is_sorted_in_slices(monkeypatch, anchors):
+    """A million strings of one anchor or many take no more memory than a slice needs beside the bytes, and slices change nothing."""
+    rng = np.random.default_rng(3)
+    runs = 60_000
+    body = rng.integers(97, 123, (runs, 67), np.uint8)
+    body[runs // 2 : runs // 2 + 900, 5:60] = body[:900, 5:60]
+    body[:900, [4, 60]] = 33  # other bytes stand around the repeats: 55 bytes, thus six strings each
+    h = np.arange(runs) % (runs // 2) % anchors
+    cells = suffix_dedup._cells(h=(h, "<i8"), doc=(np.arange(runs), "<i8"), tag=(h * 0, "<i4"), first=(h * 0, "<i4"), size=(h * 0 + 67, "<i4"), content=(body, "u1"), known=(h * 0, "u1"))
+    group = pa.table(cells)
+    run = suffix_dedup._resolved(1)
+    run(group.slice(0, 0))
+    tracemalloc.start()
+    got = run(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    owner, start, stop = (np.frombuffer(got[c][0].as_py(), t).tolist() for c, t in (("doc", "<i8"), ("start", "<i4"), ("stop", "<i4")))
+    assert list(zip(owner, start, stop, strict=True)) == [(runs // 2 + k, 5, 60) for k in range(900)]
+    assert peak < 150 << 20
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 1 << 30)
+    assert run(group).equals(got)
+
+
 def test_hash_collisions_are_verified(monkeypatch):
     s = suffix_dedup.Suffixes(np.frombuffer(b"abcdabce" * 2, np.uint8))
     s.sums[:] = 0  # every hash agrees
