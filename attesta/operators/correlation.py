@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.operators import decisions as D
-from attesta.operators.geometry import CONTAINMENT, IOU, iou, overlapping_pairs, rooted, smaller_overlap
+from attesta.operators.geometry import CONTAINMENT, IOU, iou, overlapping_pairs, page_boxes, page_pairs, rooted, smaller_overlap, split_pages
 from attesta.operators.regions import severity_rank
 
 #: Score of a region without one, score from which a detector supports a region, and copy-move's that counts as two detectors.
@@ -101,32 +102,97 @@ def correlated_regions(regions: DataFrame, document: str, page: str, iou_thresho
     )
 
 
+def _backed(iou_threshold: float):
+    @F.arrow_udf("array<struct<nr:int,found:array<struct<place:int,raw:double>>>>")
+    def backed(ids: pa.Array, localised: pa.Array, place: pa.Array, score: pa.Array, x: pa.Array, y: pa.Array, w: pa.Array, h: pa.Array) -> pa.Array:
+        lengths, (kind, *box) = page_boxes(place, x, y, w, h)
+        own = localised.flatten().to_numpy(zero_copy_only=False).astype(bool)
+        page = np.repeat(np.arange(len(lengths)), lengths)
+        # Localised regions in order, and what stands for each id of a page; the last code is that of other boxes.
+        number = ids.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(own)
+        rows = rows[np.lexsort((number[rows], page[rows]))]
+        nr = np.zeros(len(own), np.int32)
+        nr[rows] = np.arange(len(rows)) - np.searchsorted(page[rows], page[rows]) + 1
+        new = np.ones(len(rows), bool)
+        new[1:] = (np.diff(number[rows]) != 0) | (np.diff(page[rows]) != 0)
+        code = np.full(len(own), new.sum())
+        code[rows] = np.cumsum(new) - 1
+        alone = np.flatnonzero(own & (kind > 0) & (box[2] > 0) & (box[3] > 0) & (iou_threshold <= 1))
+        ends = [np.stack([alone, alone])]
+        for a, b, shared, s, t in page_pairs(lengths, box):
+            near = shared / (s + t - shared) >= iou_threshold
+            for region, mark in ((a[near], b[near]), (b[near], a[near])):
+                ends.append(np.stack([region, mark])[:, own[region] & (kind[mark] > 0)])
+        at, mark = np.concatenate(ends, 1)
+        at, detector = code[at], kind[mark]
+        raw = np.maximum(score.flatten().fill_null(-np.inf).to_numpy(zero_copy_only=False)[mark], 0.0)
+        order = np.lexsort((raw, detector, at))
+        at, detector, raw = at[order], detector[order], raw[order]
+        last = np.ones(len(at), bool)  # the highest score of each detector on a region
+        last[:-1] = (at[1:] != at[:-1]) | (detector[1:] != detector[:-1])
+        found = pa.StructArray.from_arrays([pa.array(detector[last], pa.int32()), pa.array(raw[last], pa.float64())], ["place", "raw"])
+        found = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[last], np.arange(new.sum() + 2)), pa.int32()), found).take(pa.array(code))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.StructArray.from_arrays([pa.array(nr), found], ["nr", "found"]))
+
+    return backed
+
+
+def _met_by_grid(boxes: DataFrame, keys: list[str], iou_threshold: float) -> DataFrame:
+    """The localised ``boxes`` of crowded pages with nr and found, as ``_backed`` gives them."""
+    own, marks = boxes.where("localised"), boxes.where("place > 0")
+    # Both kinds meet as one set of boxes; what a box is travels in its id, and localised ones sort first.
+    tagged = lambda rows, nr, place, score: rows.select(*keys, F.struct(nr.isNull().alias("detected"), nr.alias("nr"), place.alias("place"), score.alias("score")).alias("id"), *_BOX)
+    both = tagged(own, F.col("id"), F.lit(None).cast("int"), F.lit(None).cast("double")).union(tagged(marks, F.lit(None).cast("long"), F.col("place"), F.col("score")))
+    pairs = overlapping_pairs(both, keys, ~F.col("a_id.detected") & F.col("b_id.detected") & (iou("a_", "b_") >= iou_threshold))
+    backing = pairs.select(*keys, F.col("a_id.nr").alias("id"), "b_id.place", "b_id.score").groupBy(*keys, "id", "place").agg(F.greatest(F.lit(0.0), F.max("score")).alias("raw"))
+    found = backing.groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("place", "raw"))).alias("found"))
+    told = own.join(found, [*keys, "id"], "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
+    return told.withColumn("nr", F.row_number().over(Window.partitionBy(*keys).orderBy("id")))
+
+
 def fused_regions(localised: DataFrame, detected: DataFrame, document: str, page: str, iou_threshold: float = IOU) -> DataFrame:
-    """``localised`` regions with the detectors whose own regions lie on them.
+    """``localised`` regions with the detectors whose own regions lie on them, as ``backed_regions`` tells it of one table.
+
+    ``localised`` holds document, page, id (long, their order), x, y, w, h and target_x, target_y, target_w, target_h; ``detected`` document, page, detector, score and x, y, w, h; boxes in whole numbers.
+    """
+    targets = [f"target_{c}" for c in _BOX]
+    own = localised.select(document, page, "id", F.lit(None).cast("string").alias("detector"), F.lit(None).cast("double").alias("score"), *_BOX, *targets, F.lit(True).alias("localised"))
+    marks = detected.select(document, page, F.lit(None).cast("long").alias("id"), "detector", F.col("score").cast("double").alias("score"), *_BOX, *(F.lit(None).cast(localised.schema[c].dataType).alias(c) for c in targets), F.lit(False).alias("localised"))
+    return backed_regions(own.union(marks), document, page, iou_threshold)
 
-    ``localised`` holds document, page, id (long, their order), x, y, w, h and target_x, target_y, target_w, target_h; ``detected`` document, page, detector, score and x, y, w, h; boxes in whole numbers. A
-    detector backs a region with the highest score (0 at least) of its regions whose intersection is ``iou_threshold`` of the union or more. Columns: document, page, region_id (numbered by id on a page), the box, severity,
+
+def backed_regions(boxes: DataFrame, document: str, page: str, iou_threshold: float = IOU) -> DataFrame:
+    """The localised of ``boxes`` with the detectors whose boxes lie on them; a box may be both.
+
+    ``boxes`` holds document, page, id (long, their order), detector, score, x, y, w, h, target_x, target_y, target_w, target_h and localised (boolean); boxes in whole numbers. A
+    detector backs a region with the highest score (0 at least) of its boxes whose intersection is ``iou_threshold`` of the union or more. Columns: document, page, region_id (numbered by id on a page), the box, severity,
     evidence_strength (copy-move alone is MODERATE), detector_count, supporting_signals (upper case, in the detectors' order), signals (array of detector, signal, score), reason
     and the target box. Regions without document, page or id are left out; those nothing lies on stay, as LOW.
+
+    Pages of up to PAGE boxes are a row each, where the keys, or some of them, have dealt them to; larger ones meet through grid cells.
     """
     keys = [document, page]
-    own = localised.where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "id")))
-    marks = detected.where(F.lower("detector").isin(*D.DETECTORS))
-    # Both kinds meet as one set of boxes; what a box is travels in its id, and localised ones sort first.
-    tagged = lambda rows, nr, detector, score: rows.select(*keys, F.struct(nr.isNull().alias("detected"), nr.alias("nr"), detector.alias("detector"), score.alias("score")).alias("id"), *_BOX)
-    boxes = tagged(own, F.col("id").cast("long"), F.lit(None).cast("string"), F.lit(None).cast("double")).union(tagged(marks, F.lit(None).cast("long"), F.lower("detector"), F.col("score").cast("double")))
-    pairs = overlapping_pairs(boxes, keys, ~F.col("a_id.detected") & F.col("b_id.detected") & (iou("a_", "b_") >= iou_threshold))
-    backing = pairs.select(*keys, F.col("a_id.nr").alias("id"), "b_id.detector", "b_id.score").groupBy(*keys, "id", "detector").agg(F.greatest(F.lit(0.0), F.max("score")).alias("raw"))
-    place = F.array_position(F.array(*map(F.lit, D.DETECTORS)), F.col("detector"))
-    found = backing.groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "detector", F.round("raw", 4).alias("signal"), D.normalised(F.col("raw")).alias("score")))).alias("found"))
-    told = own.join(found, [*keys, "id"], "left").withColumn("found", F.coalesce("found", F.array().cast(found.schema["found"].dataType)))
-    told = told.withColumn("supporting_signals", F.transform("found", lambda s: F.upper(s["detector"])))
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, D.DETECTORS)), F.lower("detector")), F.lit(0)).cast("int")
+    own = F.coalesce("localised", F.lit(False)) & F.col("id").isNotNull()
+    targets = [f"target_{c}" for c in _BOX]
+    known = boxes.where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
+    rows = known.select(*keys, F.col("id").cast("long").alias("id"), own.alias("localised"), place.alias("place"), F.col("score").cast("double").alias("score"), *_BOX, *targets).where("localised OR place > 0")
+    small, crowded = split_pages(rows, keys)
+    pages = small.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in keys])).alias("__rows"))
+    parts = [F.col(f"__rows.{c}") for c in ("id", "localised", "place", "score")] + [F.transform(F.col(f"__rows.{c}"), lambda v: v.cast("long")) for c in _BOX]
+    flat = pages.withColumn("__told", _backed(iou_threshold)(*parts)).select(*keys, F.explode(F.arrays_zip("__rows", "__told")).alias("__r")).where("__r.__rows.localised")
+    told = flat.select(*keys, *[F.col(f"__r.__rows.{c}").alias(c) for c in (*_BOX, *targets)], "__r.__told.nr", "__r.__told.found")
+    if crowded is not None:
+        told = told.union(_met_by_grid(crowded, keys, iou_threshold).select(*told.columns))
+    names = F.array(*map(F.lit, D.DETECTORS))
+    told = told.withColumn("found", F.transform("found", lambda s: F.struct(F.element_at(names, s["place"]).alias("detector"), F.round(s["raw"], 4).alias("signal"), D.normalised(s["raw"]).alias("score"))))
+    told = told.withColumn("supporting_signals", F.transform("found", lambda s: F.upper(s["detector"]))).withColumn("region_id", F.format_string("R%03d", "nr"))
     told = told.withColumn("evidence_strength", D.evidence_strength(F.size("found"), F.exists("found", lambda s: s["detector"] == "copy_move")))
     best = F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0))
-    placed = _numbered(told.withColumn("severity", corroborated(F.col("evidence_strength"), best)), keys, [F.col("id")])
-    return placed.select(
-        *keys, "region_id", *_BOX, "severity", "evidence_strength", F.size("found").alias("detector_count"), "supporting_signals", F.transform("found", lambda s: s.dropFields("place")).alias("signals"),
-        region_reason(F.col("region_id"), F.col("supporting_signals")).alias("reason"), *(f"target_{c}" for c in _BOX),
+    return told.select(
+        *keys, "region_id", *_BOX, corroborated(F.col("evidence_strength"), best).alias("severity"), "evidence_strength", F.size("found").alias("detector_count"), "supporting_signals", F.col("found").alias("signals"),
+        region_reason(F.col("region_id"), F.col("supporting_signals")).alias("reason"), *targets,
     )
 
 

@@ -79,7 +79,7 @@ _FUSED = f"""{_LOCALISED}, q AS (SELECT a.document_id, a.page, a.id, c.detector,
 
 def _pieces(t):
     found = _regions(t).withColumn("page", F.coalesce("page", F.lit(1)))
-    return found, C.fused_regions(found.where("w >= 60"), found, "document_id", "page")
+    return found, C.backed_regions(found.withColumn("localised", F.col("w") >= 60), "document_id", "page")
 
 
 @query("g20_fused_regions", f"WITH {_FUSED} SELECT document_id, page, region_id, x, y, w, h, severity, strength AS evidence_strength, CAST(len(names) AS INT) AS detector_count, {_TOLD} AS signals, {_REASON} AS reason, CASE WHEN detector = 'copy_move' THEN x + 9 END AS target_x FROM r")

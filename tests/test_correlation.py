@@ -1,5 +1,6 @@
 """Overlapping pairs, components, correlated regions and fusion against plain programs."""
 
+import math
 import random
 
 import pytest
@@ -159,3 +160,32 @@ def test_pages_are_folded_where_they_lie(spark, monkeypatch):
     full = spark.createDataFrame([], REGIONS).repartition(8, "document")
     plan = correlation.correlated_regions(full, "document", "page")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4  # one of them dealt the documents out, three group what was found
+
+
+def test_pages_are_fused_where_they_lie(spark, monkeypatch):
+    """Small pages and crowded ones give what brute force gives, with nulls, repeated ids and odd scores; boxes that the documents dealt out are moved once no more."""
+    rng = random.Random(6)
+    names = ["ela", "NOISE", "copy_move", "metadata", "other", None]
+    rows = []
+    for i in range(300):
+        place = tuple(rng.choice([None, 0, *range(1, 50)]) if rng.random() < 0.1 else rng.randrange(1, 50) for _ in range(4))
+        rows.append((rng.choice([None, "a", "b", "c"]), rng.choice([None, 1, 2]), rng.choice([None, *range(200)]), rng.choice(names), rng.choice([None, -0.5, 0.0, 0.3, 0.123456, 0.77, float("nan")]), *place, None, None, None, None, rng.choice([None, True, False])))
+    fields = REGIONS.rsplit(",", 1)[0] + ", localised boolean"
+    df = spark.createDataFrame(rows, fields)
+    want = {}
+    for a in rows:
+        if None in a[:3] or not a[-1]:
+            continue
+        found = want.setdefault(a[:3], {})
+        for b in rows:
+            if a[:2] == b[:2] and (b[3] or "").lower() in D.DETECTORS and None not in (*a[5:9], *b[5:9]) and (i := _shared(a[5:9], b[5:9])) > 0 and i / (a[7] * a[8] + b[7] * b[8] - i) >= 0.3:
+                found[b[3].lower()] = max(found.get(b[3].lower(), 0.0), b[4] or 0.0, key=lambda s: (math.isnan(s), s))
+    whole = sorted(a[:3] for a in rows if None not in a[:3] and a[-1])
+    want = sorted((d, p, f"R{1 + sum(w[:2] == (d, p) for w in whole[:k]):03d}", repr([(n, round(want[d, p, i][n], 4)) for n in D.DETECTORS if n in want[d, p, i]])) for k, (d, p, i) in enumerate(whole))
+    for page in (0, 40, 1000):
+        monkeypatch.setattr(geometry, "PAGE", page)
+        got = correlation.backed_regions(df, "document", "page").collect()
+        assert sorted((r.document, r.page, r.region_id, repr([(s.detector, s.signal) for s in r.signals])) for r in got) == want
+    assert correlation.backed_regions(df.limit(0), "document", "page").count() == 0
+    full = spark.createDataFrame([], fields).repartition(8, "document")
+    assert correlation.backed_regions(full, "document", "page")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
