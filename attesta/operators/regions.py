@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,6 +22,10 @@ SEAL_SIDE, SEAL_ALIKE, SEAL_SCORE = 65, 0.70, 0.85
 TEXT_GAP, TEXT_HIGH, TEXT_MEDIUM = 25, 0.65, 0.45
 
 
+#: Boxes of an island of text boxes that is merged together with others.
+ISLAND = 64
+
+
 def severity_rank(severity: Column) -> Column:
     """1 to 3; 0 for any other value or null."""
     return F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), severity), F.lit(0)).cast("int")
@@ -181,15 +187,80 @@ def _touches(c: list, x: float, y: float, w: float, h: float) -> bool:
     return abs(y - c[1]) < max(h, c[3]) and x <= c[0] + c[2] + TEXT_GAP and c[0] <= x + w + TEXT_GAP
 
 
+def _joined(begin: np.ndarray, n: np.ndarray, box: list[np.ndarray]) -> np.ndarray:
+    """For each box (x, y, w, h) the place of the first box of its region, of islands that begin at ``begin`` and hold ``n`` boxes, all islands a box at a time."""
+    at = np.arange(len(box[0]))
+    region = at.copy()
+    own = [c.copy() for c in box]  # at a region's first box: the region as it has grown
+    for k in range(1, int(n.max(initial=0))):
+        some = begin[n > k]
+        new = some + k
+        x, y, w, h = (c[new] for c in box)
+        open_ = np.arange(len(new))
+        for r in range(k):
+            c = some[open_] + r
+            left, top, wide, high = (o[c] for o in own)
+            i = open_
+            hit = (region[c] == c) & (np.abs(y[i] - top) < np.maximum(h[i], high)) & (x[i] <= left + wide + TEXT_GAP) & (left <= x[i] + w[i] + TEXT_GAP)
+            i, c, left, top, wide, high = i[hit], c[hit], left[hit], top[hit], wide[hit], high[hit]
+            region[new[i]] = c
+            own[0][c], own[1][c] = np.minimum(x[i], left), np.minimum(y[i], top)
+            own[2][c], own[3][c] = np.maximum(x[i] + w[i], left + wide) - own[0][c], np.maximum(y[i] + h[i], top + high) - own[1][c]
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+    for c, o in zip(box, own, strict=True):
+        c[:] = o
+    return region
+
+
+def _whole(batch: pa.RecordBatch, begin: np.ndarray, n: np.ndarray, keys: int, schema: pa.Schema) -> pa.RecordBatch:
+    """Regions of whole islands, which follow each other in ``batch``."""
+    box = [c.to_numpy(zero_copy_only=False).copy() for c in batch.columns[keys + 2 : keys + 6]]
+    region = _joined(begin, n, box)
+    first = np.flatnonzero(region == np.arange(len(region)))
+    place = np.searchsorted(first, region)
+    score = np.full(len(first), -np.inf)
+    np.maximum.at(score, place, batch.column(keys + 6).to_numpy(zero_copy_only=False))
+    reasons = batch.column(keys + 7)
+    words = reasons.flatten().dictionary_encode()
+    owner = np.repeat(place, reasons.value_lengths().to_numpy(zero_copy_only=False))
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    _, kept = np.unique(owner * max(len(words.dictionary), 1) + code, return_index=True)
+    kept = np.sort(kept)
+    kept = kept[np.argsort(owner[kept], kind="stable")]
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[kept], np.arange(len(first) + 1)), pa.int32()), words.dictionary.take(pa.array(code[kept])))
+    head = batch.take(pa.array(first))
+    columns = [*head.columns[:keys], head.column(keys + 1), *(pa.array(c[first]) for c in box), pa.array(score), lists, pa.array(np.bincount(place, minlength=len(first)), pa.int64())]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _islands(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Where islands begin in ``batch``, its end as well."""
+    n = batch.num_rows
+    new = np.ones(n + 1, bool)
+    if n:
+        new[1:n] = False
+        for c in batch.columns[: keys + 1]:
+            a, b = c.slice(1), c.slice(0, n - 1)
+            differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+            new[1:n] |= differs
+    return np.flatnonzero(new)
+
+
 def _merge(batches: Iterator[pa.RecordBatch], keys: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Regions of rows that come by keys, island and id; held are the regions of the open island only."""
+    """Regions of rows that come by keys, island and id; held are a batch and the regions of the open island only.
+
+    Islands of up to ISLAND boxes with finite numbers that lie in a batch whole are merged together, others box by box.
+    """
     at, regions = None, []
 
     def closed() -> pa.RecordBatch:
         rows = [[*at[:keys], r[5], *r[:5], list(r[6]), r[7]] for r in regions]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    for batch in batches:
+    def by_box(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        nonlocal at, regions
         for *place, box_id, x, y, w, h, score, reasons in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if place != at:
                 if regions:
@@ -204,6 +275,21 @@ def _merge(batches: Iterator[pa.RecordBatch], keys: int, schema: pa.Schema) -> I
             r[:5] = left, top, right - left, bottom - top, max(score, r[4])
             r[6].update(dict.fromkeys(reasons))
             r[7] += 1
+
+    for batch in batches:
+        ends = _islands(batch, keys)
+        begin, n = ends[:-1], np.diff(ends)
+        # The first island may have begun before, the last may go on. Numbers that are none are left to Python's comparisons.
+        odd = np.zeros(batch.num_rows, bool)
+        for c in batch.columns[keys + 2 : keys + 7]:
+            odd |= ~np.isfinite(c.to_numpy(zero_copy_only=False))
+        alone = (n <= ISLAND) & (np.add.reduceat(odd, begin) == 0) if len(begin) else n > 0
+        alone[:1] = alone[-1:] = False
+        yield from by_box(batch.take(pa.array(np.flatnonzero(np.repeat(~alone, n)))))
+        if alone.any():
+            rows = np.flatnonzero(np.repeat(alone, n))
+            small = n[alone]
+            yield _whole(batch.take(pa.array(rows)), np.cumsum(small) - small, small, keys, schema)
     if regions:
         yield closed()
 

@@ -1,7 +1,9 @@
 """Text regions against a direct fold, and sentences of cues."""
 
+import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from attesta.operators import regions as G
@@ -53,6 +55,28 @@ def test_text_regions_of_one_long_page_and_of_none(spark):
     assert none.count() == 0 and G.text_signal(none, ["doc"]).count() == 0
 
 
+def test_islands_of_a_batch_are_merged_together(monkeypatch):
+    """Short islands come out of a batch together, and as they come box by box; wherever batches end, with long islands, null keys and infinite places."""
+    rng = random.Random(13)
+    boxes = []
+    for i in range(6000):
+        doc = None if i % 90 == 0 else i % 1500 if i % 5 else 7
+        reasons = [rng.choice("abc") for _ in range(rng.randrange(4))]
+        boxes.append((doc, i % 2, rng.randrange(900), rng.choice([float(rng.randrange(200))] * 99 + [math.inf]), float(rng.randrange(90)), float(rng.randrange(60)), float(rng.randrange(25)), rng.choice([0.0, 0.3, 0.9]), reasons, 1))
+    boxes.sort(key=lambda b: (b[0] is not None, b[:2] if b[0] is not None else b[1:2], *b[2:9]))
+    fields = pa.schema([("doc", pa.int64()), ("page", pa.int32()), ("island", pa.int64()), ("id", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "w", "h", "score")), ("reasons", pa.list_(pa.string()))])
+    rows = pa.table([pa.array(c, f.type) for c, f in zip(zip(*(b[:2] + b[9:] + b[2:9] for b in boxes), strict=True), fields, strict=True)], schema=fields)
+    schema = pa.schema([f for f in fields if f.name != "island"]).append(pa.field("n_boxes", pa.int64()))
+    want = _fold(boxes)
+    for island, size in ((64, 6000), (64, 7), (3, 500), (0, 500)):
+        monkeypatch.setattr(G, "ISLAND", island)
+        found = list(G._merge(iter(rows.to_batches(max_chunksize=size)), 2, schema))
+        got = sorted(((*r[:8], tuple(r[8]), r[9]) for b in found for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=repr)
+        assert repr(got) == repr(want)
+        if size == 6000:
+            assert len(found) < 100 < len(want)  # there was a batch for every island
+
+
 def test_text_signal(spark):
     rows = spark.createDataFrame([(1, 0.8), (2, 0.9), (2, 0.6), (3, 1.0), (3, 0.9), (3, 0.8), (3, 0.1)], "doc long, score double")
     assert {r.doc: round(r.signal, 6) for r in G.text_signal(rows, ["doc"]).collect()} == {1: 0.6, 2: 0.8625, 3: 0.975}
